@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from orestrata.llm import quality
+from orestrata.llm import mixing, quality
 
 
 def queries():
-    return {"op3_line_frequency": quality.op3_line_frequency}
+    return {
+        "op1_sainte_lague_mix": mixing.op1_sainte_lague_mix,
+        "op3_line_frequency": quality.op3_line_frequency,
+    }
 
 
 def oracle_sql():
-    return {"op3_line_frequency": quality.OP3_SQL}
+    return {"op1_sainte_lague_mix": mixing.OP1_SQL, "op3_line_frequency": quality.OP3_SQL}
