@@ -37,7 +37,7 @@ class MixPlan:
     weights: tuple[int, ...] = (5, 2, 1)
     total_share: float = 1.5
     max_repeat: float = 2.0
-    block_words: int = 128
+    block_words: int = 64
     cell_words: int = 1 << 18
     seed: str = "mix-1"
 
@@ -182,7 +182,7 @@ s as (select idx, source, source_size, least(cap, w * level) as target,
     greatest(1, ceil(source_size / 262144.0))::bigint as cells from s2),
 x as (select d.*, s.idx, s.source_size, s.target, s.cells, d.h % s.cells as cell from d join s on d.source is not distinct from s.source),
 c0 as (select idx, cell, source_size, target, cells, sum(size)::bigint as cell_size from x group by all),
-c1 as (select *, ceil(cell_size / 128.0)::bigint as n, (select max(cells) from s) as shards from c0),
+c1 as (select *, ceil(cell_size / 64.0)::bigint as n, (select max(cells) from s) as shards from c0),
 c2 as (select *, case when source_size > 0 then target / source_size * n else 0 end as votes, cell * shards // cells as shard from c1),
 c3 as (select *, round(sum(votes) over (partition by shard))::bigint as seats, count(*) over (partition by shard) as sources from c2),
 c4 as (select *, 2 + ceil(votes * sources / greatest(1, seats))::bigint as slack from c3),
