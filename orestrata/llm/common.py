@@ -42,3 +42,14 @@ def n_words(text: Column) -> Column:
 def hash_int(*parts: Column) -> Column:
     """A 32-bit number from md5 of the parts joined by '|', which any SQL engine can repeat."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+
+
+def small_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Bound the bytes of an Arrow batch, so that very long texts don't fill a Python worker.
+
+    The setting is the session's; a lower one that is there already stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not (str(now).isdigit() and 0 < int(now) <= mb << 20):
+        spark.conf.set(name, str(mb << 20))

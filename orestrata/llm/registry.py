@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from orestrata.llm import mixing, quality
+from orestrata.llm import mixing, packing, quality
 
 
 def queries():
     return {
         "op1_sainte_lague_mix": mixing.op1_sainte_lague_mix,
         "op3_line_frequency": quality.op3_line_frequency,
+        "op7_exact_complement_packing": packing.op7_exact_complement_packing,
     }
 
 
