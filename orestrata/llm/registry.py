@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orestrata.llm import mixing, packing, quality
+from orestrata.llm import mixing, packing, quality, simhash
 
 
 def queries():
     return {
         "op1_sainte_lague_mix": mixing.op1_sainte_lague_mix,
+        "op2_simhash_bk_tree": simhash.op2_simhash_bk_tree,
         "op3_line_frequency": quality.op3_line_frequency,
         "op7_exact_complement_packing": packing.op7_exact_complement_packing,
     }
