@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orestrata.llm import mixing, packing, quality, simhash
+from orestrata.llm import mixing, packing, quality, simhash, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_sainte_lague_mix": mixing.op1_sainte_lague_mix,
         "op2_simhash_bk_tree": simhash.op2_simhash_bk_tree,
         "op3_line_frequency": quality.op3_line_frequency,
+        "op5_toxicity_lexicon": toxicity.op5_toxicity_lexicon,
         "op7_exact_complement_packing": packing.op7_exact_complement_packing,
     }
 
