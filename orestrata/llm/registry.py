@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orestrata.llm import mixing, packing, quality, simhash, toxicity
+from orestrata.llm import langid, licenses, mixing, packing, quality, simhash, toxicity, urls
 
 
 def queries():
@@ -11,9 +11,18 @@ def queries():
         "op2_simhash_bk_tree": simhash.op2_simhash_bk_tree,
         "op3_line_frequency": quality.op3_line_frequency,
         "op5_toxicity_lexicon": toxicity.op5_toxicity_lexicon,
+        "op6_language_ecoc": langid.op6_language_ecoc,
         "op7_exact_complement_packing": packing.op7_exact_complement_packing,
+        "op9_host_reputation": urls.op9_host_reputation,
+        "op10_license_digest": licenses.op10_license_digest,
     }
 
 
 def oracle_sql():
-    return {"op1_sainte_lague_mix": mixing.OP1_SQL, "op3_line_frequency": quality.OP3_SQL}
+    """Only where SQL can restate the operator; the others are held against brute force in the tests."""
+    return {
+        "op1_sainte_lague_mix": mixing.OP1_SQL,
+        "op3_line_frequency": quality.OP3_SQL,
+        "op9_host_reputation": urls.OP9_SQL,
+        "op10_license_digest": licenses.OP10_SQL,
+    }
