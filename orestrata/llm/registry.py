@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orestrata.llm import langid, licenses, mixing, packing, quality, simhash, toxicity, urls
+from orestrata.llm import htmltext, langid, licenses, mixing, packing, quality, simhash, toxicity, urls
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_toxicity_lexicon": toxicity.op5_toxicity_lexicon,
         "op6_language_ecoc": langid.op6_language_ecoc,
         "op7_exact_complement_packing": packing.op7_exact_complement_packing,
+        "op8_dom_boosted_trees": htmltext.op8_dom_boosted_trees,
         "op9_host_reputation": urls.op9_host_reputation,
         "op10_license_digest": licenses.op10_license_digest,
     }
@@ -23,6 +24,7 @@ def oracle_sql():
     return {
         "op1_sainte_lague_mix": mixing.OP1_SQL,
         "op3_line_frequency": quality.OP3_SQL,
+        "op8_dom_boosted_trees": htmltext.op8_dom_boosted_trees,
         "op9_host_reputation": urls.OP9_SQL,
         "op10_license_digest": licenses.OP10_SQL,
     }
