@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orestrata.llm import htmltext, langid, licenses, mixing, packing, quality, simhash, toxicity, urls
+from orestrata.llm import ann, htmltext, langid, licenses, mixing, packing, quality, simhash, toxicity, urls
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_sainte_lague_mix": mixing.op1_sainte_lague_mix,
         "op2_simhash_bk_tree": simhash.op2_simhash_bk_tree,
         "op3_line_frequency": quality.op3_line_frequency,
+        "op4_anisotropic_search": ann.op4_anisotropic_search,
         "op5_toxicity_lexicon": toxicity.op5_toxicity_lexicon,
         "op6_language_ecoc": langid.op6_language_ecoc,
         "op7_exact_complement_packing": packing.op7_exact_complement_packing,

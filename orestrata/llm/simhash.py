@@ -221,6 +221,35 @@ def links(fps: DataFrame, radius: int = 2, shard_rows: int = 2048) -> DataFrame:
     return out
 
 
+def fingerprint_groups(by_doc: DataFrame, radius: int = 2) -> DataFrame:
+    """``fp, component_id`` of every distinct fingerprint of ``by_doc`` (``doc_id, fp``)."""
+    groups = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(groups.select("fp"), radius))
+    linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp")
+    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = linked.join(best, "root").select("fp", "component_id")
+    return groups.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group of near-duplicates stays: that of the least id.
+
+    Where ids repeat or are missing, rows are told apart by their fingerprint as
+    well, which takes a second pass over the texts.
+    """
+    by_doc = cut(fingerprints(docs, width))
+    each = cut(fingerprint_groups(by_doc, radius))
+    if by_doc.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return docs.join(each.select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*docs.columns)
+    # The least (id, fingerprint) of each group, null ids last; of its equal rows, any one.
+    ranked = by_doc.distinct().join(each, "fp").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
+    stay = ranked.select(F.col("s.doc_id").alias("_s_id"), F.col("s.fp").alias("_s_fp"))
+    of = F.udf(lambda x: (lambda v: v - (1 << 64) if v >= 1 << 63 else v)(fingerprint(x, width)), "long")
+    rows = docs.withColumn("_s_row", of("text"))
+    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_s_id"]) & (rows["_s_row"] == stay["_s_fp"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_s_row"]).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` of every document.
 
@@ -228,12 +257,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     sums over copies combine on the map side.
     """
     by_doc = cut(fingerprints(docs, width))
-    groups = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(groups.select("fp"), radius))
-    linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp")
-    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(best, "root").select("fp", "component_id")
-    each = groups.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    each = fingerprint_groups(by_doc, radius)
     return by_doc.join(each, "fp").select("doc_id", "fp", "component_id")
 
 
