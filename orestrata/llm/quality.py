@@ -151,14 +151,9 @@ def judge(docs: DataFrame, rules: QualityRules = RULES, text: str = "text", host
     gone = F.aggregate(
         F.filter("_q_hashed", lambda s: F.coalesce(F.array_contains("_q_bad", s["h"]), F.lit(False))), F.lit(0).cast("long"), lambda a, s: a + s["n"]
     )
-    return (
-        joined.withColumn("_q_left", F.col("_q_n_words") - gone)
-        .withColumn(
-            "_q_kept",
-            ~F.col("_q_base_failed") & (F.col("_q_left") >= rules.min_words) & (F.col("_q_left") >= F.lit(rules.min_left) * F.col("_q_n_words")),
-        )
-        .drop("_q_bad", "_q_hashed")
-    )
+    kept = ~F.col("_q_base_failed") & (F.col("_q_left") >= rules.min_words) & (F.col("_q_left") >= F.lit(rules.min_left) * F.col("_q_n_words"))
+    # Exploding one verdict keeps a filter on it above: pushed down, it would repeat the measures within one another.
+    return joined.withColumn("_q_left", F.col("_q_n_words") - gone).withColumn("_q_kept", F.explode(F.array(kept))).drop("_q_bad", "_q_hashed")
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,6 @@ def oracle_sql():
     return {
         "op1_sainte_lague_mix": mixing.OP1_SQL,
         "op3_line_frequency": quality.OP3_SQL,
-        "op8_dom_boosted_trees": htmltext.op8_dom_boosted_trees,
         "op9_host_reputation": urls.OP9_SQL,
         "op10_license_digest": licenses.OP10_SQL,
     }
