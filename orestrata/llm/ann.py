@@ -35,9 +35,9 @@ from orestrata.llm.common import cut, small_batches, table
 
 @dataclass(frozen=True)
 class AnnParams:
-    """``sample`` bounds the vectors that codebooks are fitted on (about, by a hash of the ids). A cell's rows are
-    searched in blocks of ``block_rows``, its queries in blocks of ``block_queries``. ``probe`` is the share of
-    the cells that a query looks into, and at least ``min_probe`` cells; ``rerank`` candidates per block are scored exactly."""
+    """``sample`` bounds the vectors that codebooks are fitted on (about, by a hash of the ids). Cells are searched
+    in blocks of about ``block_rows`` rows (small cells share one, large cells take several), queries in blocks of ``block_queries``. ``probe`` is the share of
+    the cells that a query looks into, and at least ``min_probe`` cells; ``rerank`` candidates per cell and block are scored exactly."""
 
     k: int = 20
     sample: int = 16_000
@@ -46,7 +46,7 @@ class AnnParams:
     min_probe: int = 8
     probe: float = 0.75
     rerank: int = 384
-    block_rows: int = 4096
+    block_rows: int = 8192
     block_queries: int = 2048
     parallel_weight: float = 4.0
     iterations: int = 8
@@ -191,61 +191,75 @@ def _search_dimension(classes: DataFrame, queries: DataFrame, n: int, p: AnnPara
             if not batch.num_rows:
                 continue
             v = np.stack([np.asarray(a, dtype=np.float64) for a in batch.column(1).to_pylist()])
-            s = v @ b.centres.T
-            cell = np.argsort(-s, axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(len(v)), probes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.ravel().astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["cell", "query_id", "qv"]
-            )
+            cell = np.argsort(-(v @ b.centres.T), axis=1, kind="stable")[:, :probes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(cell.astype(np.int32)), pa.list_(pa.int32()))], names=["query_id", "qv", "cells"])
 
     index = cut(classes.select("v", "ids").mapInArrow(encode, "cell int, codes binary, v array<double>, ids array<long>"))
     per_cell = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell
     q = queries.select(F.col("vec_id").alias("query_id"), "v").distinct()
     n_queries = q.count()
-    blocks = F.create_map(*[F.lit(x) for c, m in per_cell.items() for x in (c, -(-m // p.block_rows))])
-    of_cell = F.coalesce(F.element_at(blocks, F.col("cell")), F.lit(0))
+    # Blocks of rows: a large cell takes several, small cells share one. A block meets its queries in blocks too, so both
+    # sides are bounded whatever a cell's size, and a query gives k rows a block, however many of its cells lie there.
+    first, held = {}, 0
+    at = 0
+    for c, m in sorted(per_cell.items()):
+        if held and held + m > p.block_rows:
+            at, held = at + 1, 0
+        first[c] = (at, max(1, -(-m // p.block_rows)))
+        at, held = (at + first[c][1], 0) if m > p.block_rows else (at, held + m)
+    first_of = F.create_map(*[F.lit(x) for c, (f, _) in first.items() for x in (c, f)])
+    number_of = F.create_map(*[F.lit(x) for c, (_, k) in first.items() for x in (c, k)])
     q_blocks = max(1, -(-n_queries // p.block_queries))
-    # A cell's rows in blocks, each met by the cell's queries in blocks: bounded on both sides whatever the cell's size.
-    left = index.withColumn("block", F.pmod(F.xxhash64("ids"), of_cell).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    own = (F.element_at(first_of, F.col("cell")) + F.pmod(F.xxhash64("ids"), F.element_at(number_of, F.col("cell")))).cast("int")
+    left = index.withColumn("block", own).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    filled = F.filter("cells", lambda c: F.array_contains(F.map_keys(first_of), c))
+    met = F.flatten(F.transform(filled, lambda c: F.sequence(F.element_at(first_of, c), F.element_at(first_of, c) + F.element_at(number_of, c) - 1)))
     right = (
-        q.mapInArrow(route, "cell int, query_id long, qv array<double>")
+        q.mapInArrow(route, "query_id long, qv array<double>, cells array<int>")
         .withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-        .withColumn("block", F.explode(F.when(of_cell > 0, F.sequence(F.lit(0), of_cell - 1))))
+        .withColumn("block", F.explode(F.array_distinct(met)))
     )
 
     def meet(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         b: Codebook = book.value
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(rows) or not len(queries):
-            return none
-        v = np.stack(rows["v"].to_numpy())
-        codes = np.stack([_unpack(c, len(b.points)) for c in rows["codes"]])
-        ids = rows["ids"].to_numpy()
-        qid, qv = queries["query_id"].to_numpy(), np.stack(queries["qv"].to_numpy())
-        centre = qv @ b.centres[key[0]]
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        all_v, all_ids, cell = np.stack(rows["v"].to_numpy()), rows["ids"].to_numpy(), rows["cell"].to_numpy()
+        all_codes = np.stack([_unpack(c, len(b.points)) for c in rows["codes"]])
+        qid, qv, probed = queries["query_id"].to_numpy(), np.stack(queries["qv"].to_numpy()), np.stack(queries["cells"].to_numpy())
         tables = b.tables(qv)
-        keep = min(p.rerank, len(v))
+        best_of: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in qid]
+        for c in np.unique(cell):
+            asks, here = np.flatnonzero((probed == c).any(axis=1)), np.flatnonzero(cell == c)
+            v, codes, ids = all_v[here], all_codes[here], all_ids[here]
+            keep = min(p.rerank, len(v))
+            for lo in range(0, len(asks), 256):
+                part = asks[lo : lo + 256]
+                t = tables[part]
+                approx = np.zeros((len(part), len(v)), dtype=np.float32)
+                for m in range(t.shape[1]):
+                    approx += t[:, m, :][:, codes[:, m]]
+                best = np.argpartition(-approx, keep - 1, axis=1)[:, :keep]
+                for i, at_q in enumerate(part):
+                    exact = (v[best[i]] * qv[at_q]).sum(axis=1)
+                    # Classes below the k + 1 best can't be among the k nearest.
+                    order = np.flatnonzero(exact >= np.partition(exact, -(p.k + 1))[-(p.k + 1)]) if keep > p.k else np.arange(keep)
+                    groups = ids[best[i][order]]
+                    best_of[at_q].append((np.concatenate(groups), np.repeat(exact[order], [len(g) for g in groups])))
         out_q, out_v, out_s = [], [], []
-        for lo in range(0, len(qv), 256):
-            t = tables[lo : lo + 256]
-            approx = np.repeat(centre[lo : lo + 256, None].astype(np.float32), len(v), axis=1)
-            for m in range(t.shape[1]):
-                approx += t[:, m, :][:, codes[:, m]]
-            best = np.argpartition(-approx, keep - 1, axis=1)[:, :keep]
-            for i in range(len(t)):
-                rows_i = best[i]
-                exact = (v[rows_i] * qv[lo + i]).sum(axis=1)
-                cand = np.concatenate([ids[r] for r in rows_i])
-                s = np.repeat(exact, [len(ids[r]) for r in rows_i])
-                own = cand != qid[lo + i]
-                cand, s = cand[own], s[own]
-                order = np.lexsort((cand, -s))[: p.k]
-                out_q.append(np.full(len(order), qid[lo + i]))
-                out_v.append(cand[order])
-                out_s.append(s[order])
+        for i, found in enumerate(best_of):
+            if not found:
+                continue
+            cand, s = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            other = cand != qid[i]
+            cand, s = cand[other], s[other]
+            order = np.lexsort((cand, -s))[: p.k]
+            out_q.append(np.full(len(order), qid[i]))
+            out_v.append(cand[order])
+            out_s.append(s[order])
         return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
-    keys = ["cell", "block", "q_block"]
+    keys = ["block", "q_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
