@@ -17,7 +17,7 @@ Defined cases: a null or empty html gives an empty text; html is read whole;
 broken markup is read as far as it goes; a page whose blocks are all rejected has
 an empty text; repeated rows are extracted alike; without a page to learn from
 every text is empty; an empty table gives no rows; other columns are kept by
-``extract`` and never read.
+``extract`` and never read, but one named ``main_text`` is replaced.
 """
 
 from __future__ import annotations
@@ -204,6 +204,7 @@ def extract(pages: DataFrame, model: BoostedTrees, column: str = "html") -> Data
     """``pages`` with ``main_text``."""
     small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
+    pages = pages.drop("main_text")
     at = pages.columns.index(column)
     schema = T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())])
 

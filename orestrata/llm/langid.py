@@ -9,7 +9,8 @@ Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 texts are read whole; languages that are null are not learnt; one learnt language
 is always predicted with score 1 and none makes every text ``und``; ties go to
 the language first in code point order; repeated rows are predicted alike; an
-empty table gives no rows; other columns are kept by ``predict`` and never read.
+empty table gives no rows; a row without an id is predicted, not held out and never learnt;
+other columns are kept by ``predict`` and never read, but those named like its results are replaced.
 """
 
 from __future__ import annotations
@@ -176,6 +177,7 @@ def predict(docs: DataFrame, model: LangModel, ambiguous: float = PARAMS.ambiguo
     """``docs`` (with ``text``) plus ``lang_pred``, ``lang_score`` and ``lang_ambiguous``."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "lang_score", "lang_ambiguous")
     names = docs.columns
     at = names.index("text")
     schema = T.StructType(
@@ -215,7 +217,7 @@ def op6_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs.select("doc_id", "text", "lang"))
     return predict(docs.select("doc_id", "text"), model).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
         "lang_pred",
         F.col("lang_score").alias("score"),
         F.col("lang_ambiguous").alias("ambiguous"),

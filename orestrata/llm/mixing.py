@@ -48,26 +48,26 @@ _STEPS = (1000003, 999983)
 
 
 def source_targets(sized: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
-    """One row per source: ``_m_idx``, ``_m_source``, size, target, cells and shards.
+    """One row per source: ``_m_idx``, ``_m_source``, size, target, cells and shards (all named ``_m_``, as ``docs`` may have such columns).
 
     ``sized`` has ``_m_source`` and ``_m_size``. Unpartitioned windows see one row per source.
     """
-    totals = sized.groupBy("_m_source").agg(F.sum("_m_size").alias("source_size"))
+    totals = sized.groupBy("_m_source").agg(F.sum("_m_size").alias("_m_source_size"))
     by_name = Window.orderBy(F.col("_m_source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in plan.weights]), (F.col("_m_idx") % len(plan.weights) + 1).cast("int"))
     s = totals.withColumn("_m_idx", (F.row_number().over(by_name) - 1).cast("int")).withColumn("_m_w", weight)
-    s = s.withColumn("_m_cap", F.lit(plan.max_repeat) * F.col("source_size"))
+    s = s.withColumn("_m_cap", F.lit(plan.max_repeat) * F.col("_m_source_size"))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rising = Window.orderBy(F.col("_m_cap") / F.col("_m_w"), "_m_idx")
     s = s.withColumn("_m_before", F.sum("_m_cap").over(rising.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m_cap"))
     s = s.withColumn("_m_rest", F.sum("_m_w").over(rising.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("_m_total", F.lit(plan.total_share) * F.sum("source_size").over(everything))
+    s = s.withColumn("_m_total", F.lit(plan.total_share) * F.sum("_m_source_size").over(everything))
     # The level rises while capped sources leave the sharing and falls after, so its peak is the final one.
     s = s.withColumn("_m_level", F.max((F.col("_m_total") - F.col("_m_before")) / F.col("_m_rest")).over(everything))
-    s = s.withColumn("target", F.least(F.col("_m_cap"), F.col("_m_w") * F.col("_m_level")))
-    s = s.withColumn("_m_cells", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(plan.cell_words))).cast("long"))
+    s = s.withColumn("_m_target", F.least(F.col("_m_cap"), F.col("_m_w") * F.col("_m_level")))
+    s = s.withColumn("_m_cells", F.greatest(F.lit(1), F.ceil(F.col("_m_source_size") / F.lit(plan.cell_words))).cast("long"))
     s = s.withColumn("_m_shards", F.max("_m_cells").over(everything))
-    return s.select("_m_idx", "_m_source", "source_size", "target", "_m_cells", "_m_shards")
+    return s.select("_m_idx", "_m_source", "_m_source_size", "_m_target", "_m_cells", "_m_shards")
 
 
 def cell_quotas(cells: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
@@ -77,7 +77,7 @@ def cell_quotas(cells: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
     window of a shard holds one row per source and a few quotients for each.
     """
     c = cells.withColumn("_m_n", F.ceil(F.col("_m_cell_size") / F.lit(plan.block_words)).cast("long"))
-    c = c.withColumn("_m_votes", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("_m_n")).otherwise(0.0))
+    c = c.withColumn("_m_votes", F.when(F.col("_m_source_size") > 0, F.col("_m_target") / F.col("_m_source_size") * F.col("_m_n")).otherwise(0.0))
     c = c.withColumn("_m_shard", F.floor(F.col("_m_cell") * F.col("_m_shards") / F.col("_m_cells")))
     shard = Window.partitionBy("_m_shard")
     c = c.withColumn("_m_seats", F.round(F.sum("_m_votes").over(shard)).cast("long"))
@@ -97,7 +97,7 @@ def cell_quotas(cells: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
 
 
 def mix(docs: DataFrame, plan: MixPlan = PLAN, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` with ``_m_size``, ``source_size``, ``target``, ``_m_base`` (whole copies),
+    """``docs`` with ``_m_size``, ``_m_source_size``, ``_m_target``, ``_m_base`` (whole copies),
     ``_m_ranges`` (word ranges, from 0, of one more partial copy) and ``_m_taken``."""
     sized = cut(docs.select(F.col(doc_id).alias("_m_doc"), F.col(source).alias("_m_source"), n_words(F.col(text)).alias("_m_size")))
     sources = cut(source_targets(sized, plan))
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, plan: MixPlan = PLAN, doc_id: str = "doc_id", source: s
         j = rows.withColumn("_m_hash", order).join(sources.withColumnRenamed("_m_source", "_m_s"), rows["_m_source"].eqNullSafe(F.col("_m_s")), "left")
         return j.withColumn("_m_cell", F.pmod("_m_hash", "_m_cells")).drop("_m_s")
 
-    numbers = ["_m_idx", "_m_cell", "source_size", "target", "_m_cells", "_m_shards"]
+    numbers = ["_m_idx", "_m_cell", "_m_source_size", "_m_target", "_m_cells", "_m_shards"]
     cells = dealt(sized).groupBy(*numbers).agg(F.sum("_m_size").alias("_m_cell_size"))
     quotas = cut(cell_quotas(cells, plan))
     rows = dealt(docs.withColumn("_m_doc", F.col(doc_id)).withColumn("_m_source", F.col(source)).withColumn("_m_size", n_words(F.col(text))))
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, plan: MixPlan = PLAN, doc_id: str = "doc_id", source: s
     out = out.withColumn("_m_ranges", F.when(has & (F.col("_m_more") > 0), ranges))
     extra = F.coalesce(F.aggregate("_m_ranges", F.lit(0).cast("long"), lambda a, r: a + r["to"] - r["from"]), F.lit(0))
     out = out.withColumn("_m_taken", (F.col("_m_base") * F.col("_m_size") + extra).cast("long"))
-    return out.drop(*[c for c in out.columns if c.startswith("_m_") and c not in ("_m_size", "_m_base", "_m_ranges", "_m_taken")])
+    return out.drop(*[c for c in out.columns if c.startswith("_m_") and c not in ("_m_size", "_m_source_size", "_m_target", "_m_base", "_m_ranges", "_m_taken")])
 
 
 def _int_div(a, b):
@@ -166,7 +166,7 @@ def mixed_texts(docs: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
 def op1_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", F.col("_m_size").alias("size"), "source_size", "target", F.col("_m_taken").alias("taken"))
+    return mix(docs).select("doc_id", "source", F.col("_m_size").alias("size"), F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), F.col("_m_taken").alias("taken"))
 
 
 OP1_SQL = r"""

@@ -12,7 +12,9 @@ none; texts are matched whole; repeated rows are scored alike; labels whose
 toxic is null, or whose document is absent, are not learnt from, and a document
 with several labels counts once for each; without a single label of each kind
 the fixed list alone is used with its standard curve; an empty table gives no
-rows; columns other than ``doc_id`` and ``text`` are kept by ``score`` and never read.
+rows; a row without an id is scored, not held out and never learnt; columns other than
+``doc_id`` and ``text`` are kept by ``score`` and never read, but one named
+``toxicity_score`` is replaced.
 """
 
 from __future__ import annotations
@@ -238,7 +240,7 @@ def op5_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
         F.col("toxicity_score").alias("score"),
         (F.col("toxicity_score") >= PARAMS.threshold).cast("int").alias("predicted"),
     )

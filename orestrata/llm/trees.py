@@ -32,9 +32,11 @@ class BoostedTrees:
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, pull: float = 1.0, bins: int = 32) -> BoostedTrees:
-    """Newton boosting on binned features. Splits are found level by level from histograms of all features."""
+    """Newton boosting on binned features. Splits are found level by level from histograms of all features.
+
+    Without a row the trees say one half to everything."""
     n, m = x.shape
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)))[:-1] for j in range(m)]
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)))[:-1] if n else np.zeros(0) for j in range(m)]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1) if n else np.zeros((0, m), dtype=int)
     rate_1 = min(max(float(y.mean()) if n else 0.5, 1e-3), 1 - 1e-3)
     start = float(np.log(rate_1 / (1 - rate_1)))
