@@ -131,11 +131,11 @@ def layout(blocks: list[str], pool: list[str], rng: random.Random) -> tuple[str,
         t = "h1" if i == 0 and rng.random() < 0.7 else rng.choice(["p"] * 8 + ["h2", "blockquote", "div", "li", "pre"])
         x = f"<{t} data-main=1>{esc(b)}"
         body.append(x + ("" if t == "p" and rng.random() < 0.1 else f"</{t}>"))
-        if rng.random() < 0.06:
+        if rng.random() < 0.15:
             body.append(rng.choice([wrap(_ADS, prose(2, 25)), wrap(_NOTES, prose(4, 25)), wrap(_SIDE, links(3))]))
     inner = "".join(body)
     for _ in range(rng.randint(0, 2)):
-        inner = f"<{rng.choice(['div', 'section'])}>{inner}</div></section>"
+        inner = wrap(_MAIN, inner) if rng.random() < 0.5 else f"<{rng.choice(['div', 'section'])}>{inner}</div></section>"
     if rng.random() < 0.3:
         inner += rng.choice([wrap(_TALK, comments()), '<div class="share">' + link() + link() + "</div>"])
     main = wrap(_MAIN, inner)
