@@ -87,3 +87,20 @@ def summary(locations: DataFrame, samples: DataFrame) -> DataFrame:
         one = one.select(F.lit(kind).alias("entity"), "n", "n_valid", "n_errors")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def key_values(rows: DataFrame, key: str) -> DataFrame:
+    """``key, field, value``: one row for each other column, as text; a missing value is empty."""
+    pairs = [F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in rows.columns if c != key]
+    return rows.select(key, F.explode(F.array(*pairs)).alias("p")).select(key, "p.field", "p.value")
+
+
+def cross_warnings(samples: DataFrame, locations: DataFrame, coordinates: DataFrame, spread: float = 0.1) -> DataFrame:
+    """``warning, subject``: samples without a location, and places (``place, latitude, longitude``) whose several
+    coordinates lie more than ``spread`` degrees apart."""
+    far = lambda c: (F.max(c) - F.min(c)) > spread
+    places = coordinates.groupBy("place").agg(F.count("*").alias("n"), far("latitude").alias("latitude"), far("longitude").alias("longitude")).where("n > 1")
+    out = orphans(samples, locations).select(F.lit("orphan").alias("warning"), F.col("sample_id").cast("string").alias("subject"))
+    for c in ("latitude", "longitude"):
+        out = out.unionByName(places.where(c).select(F.lit(c).alias("warning"), F.col("place").cast("string").alias("subject")))
+    return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ("slope_deg", "aspect_deg", "edge_density", "dist_m")
@@ -41,3 +43,39 @@ def score(model: RandomForestClassificationModel | None, rows: DataFrame, column
     d = rows.select("row_id", "col_id", *[F.when(finite([c]), F.col(c)).otherwise(0.0).alias(c) for c in columns])
     x = VectorAssembler(inputCols=list(columns), outputCol="features").transform(d)
     return model.transform(x).select("row_id", "col_id", vector_to_array("probability")[1].alias("proba"))
+
+
+def smote(rows: DataFrame, columns=COLUMNS, key=("row_id", "col_id"), k: int = 5, bucket_rows: int = 2000, seed: int = 42) -> DataFrame:
+    """``columns`` and ``label`` of all rows with finite features, and new rows of the rarer class until both are as many.
+
+    A new row lies between a row and one of its ``k`` nearest of the class. Neighbours are exact among about
+    ``bucket_rows`` rows, which is the whole class if it is that small; larger classes are dealt by ``key``. With
+    fewer than two rows of a class nothing is added.
+    """
+    d = rows.where(finite(columns)).withColumn("label", F.col("label").cast("int"))
+    kept = d.select(*columns, "label")
+    n = {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}  # two rows
+    if len(n) < 2 or min(n.values()) < 2 or len(set(n.values())) < 2:
+        return kept
+    rare = min(n, key=n.get)
+    few, need = n[rare], max(n.values()) - n[rare]
+    deal = F.pmod(F.xxhash64(*key), F.lit(-(-few // bucket_rows))).cast("int")
+    members = d.where(F.col("label") == rare).withColumn("_bucket", deal)
+    end = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    share = lambda at: F.floor(at * need / F.lit(few))
+    wanted = members.groupBy("_bucket").agg(F.count("*").alias("_size")).withColumn("_end", end).select("_bucket", (share(F.col("_end")) - share(F.col("_end") - F.col("_size"))).alias("_want"))
+
+    def between(bucket: pd.DataFrame) -> pd.DataFrame:
+        b = bucket.sort_values(list(columns))
+        x, want = b[list(columns)].to_numpy(dtype=float), int(b["_want"].iloc[0])
+        rng = np.random.default_rng([seed, int(b["_bucket"].iloc[0])])
+        apart = ((x[:, None] - x[None]) ** 2).sum(axis=2) if len(x) <= 500 else np.maximum(0, (x**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * x @ x.T)
+        np.fill_diagonal(apart, np.inf)
+        near = np.argsort(apart, axis=1)[:, : max(1, min(k, len(x) - 1))]
+        base = rng.integers(len(x), size=want)
+        other = near[base, rng.integers(near.shape[1], size=want)]
+        out = pd.DataFrame(x[base] + rng.random((want, 1)) * (x[other] - x[base]), columns=list(columns))
+        return out.assign(label=rare)
+
+    new = members.join(wanted, "_bucket").groupBy("_bucket").applyInPandas(between, ", ".join(f"{c} double" for c in columns) + ", label int")
+    return kept.unionByName(new)

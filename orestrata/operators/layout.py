@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +93,43 @@ def best_engine(results: DataFrame) -> DataFrame:
     """The engine with the highest confidence on each page, of those that didn't fail; ties go to the first by name."""
     d = results.where(F.col("error").isNull())
     return d.groupBy("page_id").agg(F.max_by(F.struct("engine", "confidence"), F.struct("confidence", F.when(F.col("engine") == "paddle", 1).otherwise(0))).alias("b")).select("page_id", "b.engine", "b.confidence")
+
+
+def table_clusters(points: DataFrame, reach: int = 100, least: int = 4) -> DataFrame:
+    """Tables of a page: the first free point gathers the free points less than ``reach`` away on both axes, and so on.
+
+    Only distinct points count. The fold runs page by page; a page's distinct points are bounded by its pixels,
+    and its clusters by how many anchors lie ``reach`` apart.
+    """
+    distinct = points.groupBy("page_id", "x", "y").agg(F.min(F.struct("h_ord", "v_ord")).alias("o")).select("page_id", "x", "y", F.col("o.h_ord").alias("h_ord"), F.col("o.v_ord").alias("v_ord"))
+
+    def gather(page: pd.DataFrame) -> pd.DataFrame:
+        p = page.sort_values(["h_ord", "v_ord"])
+        x, y, free, out = p["x"].to_numpy(), p["y"].to_numpy(), np.ones(len(p), dtype=bool), []
+        while free.any():
+            i = int(free.argmax())
+            near = free & (abs(x - x[i]) < reach) & (abs(y - y[i]) < reach)
+            free &= ~near
+            if near.sum() >= least:
+                a, b = x[near], y[near]
+                out.append((p["page_id"].iloc[0], len(out) + 1, int(near.sum()), a.min(), a.max(), b.min(), b.max(), len(set(b)), len(set(a))))
+        return pd.DataFrame(out, columns=["page_id", "table_no", "n_points", "x_min", "x_max", "y_min", "y_max", "n_rows", "n_cols"])
+
+    return distinct.groupBy("page_id").applyInPandas(gather, "page_id long, table_no int, n_points long, x_min long, x_max long, y_min long, y_max long, n_rows long, n_cols long")
+
+
+def text_shapes(boxes: DataFrame) -> DataFrame:
+    """Boxes shaped like text (area above 200, height above a twentieth of the width) with the confidence of their shape."""
+    area, aspect = F.col("w") * F.col("h"), F.try_divide("h", "w")
+    return boxes.where((area > 200) & (aspect > 0.05)).withColumn("shape_confidence", F.least(F.lit(1.0), (area / 10000) * (aspect / 0.5)))
+
+
+def text_regions(boxes: DataFrame) -> DataFrame:
+    """Boxes of regions with text: area above 100 and height above a tenth of the width."""
+    return boxes.where((F.col("w") * F.col("h") > 100) & (F.try_divide("h", "w") > 0.1))
+
+
+def numbered_paragraphs(blocks: DataFrame) -> DataFrame:
+    """Paragraphs by the number that recognition gave: their text by line and place, and how many blocks they have."""
+    parts = F.array_sort(F.collect_list(F.struct("line_num", "block_ord", "text")))
+    return blocks.groupBy("page_id", "par_num").agg(F.count("*").alias("n_blocks"), F.array_join(F.transform(parts, lambda b: b["text"]), " ").alias("text"))

@@ -106,3 +106,21 @@ def class_report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     d = d.withColumn("precision", F.coalesce(F.try_divide("hit", "said"), F.lit(0.0))).withColumn("recall", F.coalesce(F.try_divide("hit", "support"), F.lit(0.0)))
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
     return d.select("label", "precision", "recall", f1.alias("f1"), "support")
+
+
+def resample(grid: DataFrame, pixel: float = 30.0, to_pixel: float = 45.0) -> DataFrame:
+    """The grid's box in pixels of another size, bilinear: up to four neighbours by an equi-join, those that lack are left out."""
+    ends = grid.agg(F.min("row_id").alias("r0"), F.max("row_id").alias("r1"), F.min("col_id").alias("c0"), F.max("col_id").alias("c1"))
+    k = to_pixel / pixel
+    upto = lambda lo, hi: F.sequence(F.lit(0), (F.ceil((F.col(hi) - F.col(lo) + 1) / k) - 1).cast("int"))
+    rows = ends.where("r0 is not null").select("*", F.explode(upto("r0", "r1")).alias("row_id")).repartition("row_id")
+    place = lambda i, lo: F.col(lo) + (F.col(i) + 0.5) * k - 0.5
+    t = rows.select("*", F.explode(upto("c0", "c1")).alias("col_id")).select("row_id", "col_id", place("row_id", "r0").alias("y"), place("col_id", "c0").alias("x"))
+    t = t.withColumns({"r": F.floor("y").cast("int"), "c": F.floor("x").cast("int")})
+    fy, fx = F.col("y") - F.col("r"), F.col("x") - F.col("c")
+    corner = lambda a, b: F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w"))
+    near = t.select("row_id", "col_id", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])).alias("n")).select("row_id", "col_id", "n.r", "n.c", "n.w")
+    known = grid.select(F.col("row_id").alias("r"), F.col("col_id").alias("c"), "z")
+    j = near.join(known, ["r", "c"], "left")
+    weight = F.sum(F.when(F.col("z").isNotNull(), F.col("w")))
+    return j.groupBy("row_id", "col_id").agg(F.try_divide(F.sum(F.col("w") * F.col("z")), weight).alias("z"))

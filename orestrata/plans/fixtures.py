@@ -89,6 +89,18 @@ from lineitem""",
   when 5 then concat(cast(1000 + c_custkey as string), '.5E, ', cast(5000 + c_custkey as string), '.5N')
   else c_name end as source_text
 from customer""",
+    ),
+    "date_text": (
+        ("orders",),
+        """select o_orderkey as text_id, case o_orderkey % 7
+  when 0 then concat(cast(1950 + o_orderkey % 70 as string), '-', lpad(cast(1 + o_orderkey % 12 as string), 2, '0'), '-', lpad(cast(1 + o_orderkey % 28 as string), 2, '0'))
+  when 1 then concat(lpad(cast(1 + o_orderkey % 12 as string), 2, '0'), '/', lpad(cast(1 + o_orderkey % 31 as string), 2, '0'), '/', cast(1950 + o_orderkey % 70 as string))
+  when 2 then concat(lpad(cast(13 + o_orderkey % 16 as string), 2, '0'), '/', lpad(cast(1 + o_orderkey % 12 as string), 2, '0'), '/', cast(1950 + o_orderkey % 70 as string))
+  when 3 then concat(cast(1950 + o_orderkey % 70 as string), '-', lpad(cast(1 + o_orderkey % 12 as string), 2, '0'), '-', lpad(cast(1 + o_orderkey % 28 as string), 2, '0'), 'T10:20:30')
+  when 4 then cast(1950 + o_orderkey % 70 as string)
+  when 5 then 'undated'
+  else null end as date_text
+from orders""",
     ),
     "dem_grid": (
         ("orders",),

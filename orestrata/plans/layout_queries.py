@@ -120,3 +120,26 @@ select page_id, n_paragraph, n_table, n_header, n_footer, case when n_table > n
 )
 def page_structure(spark, sf_dir):
     return layout.page_structure(_classified(spark, sf_dir))
+
+
+@register("table_clusters")
+def table_clusters(spark, sf_dir):
+    return layout.table_clusters(_points(spark, sf_dir))
+
+
+@register(
+    "text_shapes",
+    cte("ocr_line") + "select line_ord, round(least(1.0::double, (w * h / 10000::double) * (h / w::double / 0.5::double)), 6) as shape_confidence from ocr_line where w * h > 200 and h / w::double > 0.05",
+)
+def text_shapes(spark, sf_dir):
+    return layout.text_shapes(projection(spark, sf_dir, "ocr_line")).select("line_ord", F.round("shape_confidence", 6).alias("shape_confidence"))
+
+
+@register("text_regions", cte("ocr_block") + "select page_id, block_ord, y from ocr_block where w * h > 100 and h / w::double > 0.1")
+def text_regions(spark, sf_dir):
+    return layout.text_regions(_blocks(spark, sf_dir)).select("page_id", "block_ord", "y")
+
+
+@register("numbered_paragraphs", cte("ocr_block") + "select page_id, par_num, count(*) as n_blocks, string_agg(text, ' ' order by line_num, block_ord) as text from ocr_block group by page_id, par_num")
+def numbered_paragraphs(spark, sf_dir):
+    return layout.numbered_paragraphs(_blocks(spark, sf_dir))

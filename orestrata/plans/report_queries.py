@@ -213,3 +213,30 @@ def geojson_doc(spark, sf_dir):
 @register("jsonld_doc")
 def jsonld_doc(spark, sf_dir):
     return entities.jsonld(location(spark, sf_dir))
+
+
+@register(
+    "metadata_kv",
+    cte("geo_location")
+    + """, m as (select doc_id, count(*) as n_locations, count(distinct location_type) as n_types, min(country) as country from geo_location group by doc_id)
+select doc_id, 'n_locations' as field, n_locations::varchar as value from m union all select doc_id, 'n_types', n_types::varchar from m union all select doc_id, 'country', coalesce(country, '') from m""",
+)
+def metadata_kv(spark, sf_dir):
+    m = location(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_locations"), F.countDistinct("location_type").alias("n_types"), F.min("country").alias("country"))
+    return entities.key_values(m, "doc_id")
+
+
+_SPREAD = "select '{0}', country from geo_location group by country having count(*) > 1 and max({0}) - min({0}) > 0.1"
+
+
+@register(
+    "cross_validate",
+    cte("geo_location", "geo_sample")
+    + "select 'orphan' as warning, sample_id as subject from geo_sample s where not exists (select 1 from geo_location l where l.location_id = s.location_id) union all "
+    + _SPREAD.format("latitude")
+    + " union all "
+    + _SPREAD.format("longitude"),
+)
+def cross_validate(spark, sf_dir):
+    l = location(spark, sf_dir)
+    return entities.cross_warnings(sample(spark, sf_dir), l, l.select(F.col("country").alias("place"), "latitude", "longitude"))

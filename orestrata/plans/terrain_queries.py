@@ -124,3 +124,34 @@ def rf_grid_proba(spark, sf_dir):
     f = _features(spark, sf_dir)
     known = f.join(terrain.labels(_dist(spark, sf_dir)), ["row_id", "col_id"]).where("label >= 0")
     return forest.score(forest.train(known, forest.COLUMNS, trees=30, depth=10), f, forest.COLUMNS)
+
+
+@register("within_300", cte("dem_grid", "dem_point") + _DIST + "select row_id, col_id from dist where dist_m <= 300")
+def within_300(spark, sf_dir):
+    return _dist(spark, sf_dir).where("dist_m <= 300").select("row_id", "col_id")
+
+
+@register("outside_1000", cte("dem_grid", "dem_point") + _DIST + "select row_id, col_id from dist where dist_m > 1000")
+def outside_1000(spark, sf_dir):
+    return _dist(spark, sf_dir).where("dist_m > 1000").select("row_id", "col_id")
+
+
+@register(
+    "resampled_grid",
+    cte("dem_grid")
+    + """, e as (select min(row_id) as r0, max(row_id) as r1, min(col_id) as c0, max(col_id) as c1 from dem_grid),
+a as (select *, unnest(range(0, ceil((r1 - r0 + 1) / 1.5::double)::bigint)) as i from e), b as (select *, unnest(range(0, ceil((c1 - c0 + 1) / 1.5::double)::bigint)) as j from a),
+t as (select i::int as row_id, j::int as col_id, r0 + (i + 0.5::double) * 1.5 - 0.5 as y, c0 + (j + 0.5::double) * 1.5 - 0.5 as x from b),
+n as (select t.row_id, t.col_id, (1 - abs(y - g.row_id)) * (1 - abs(x - g.col_id)) as w, z from t left join dem_grid g
+  on g.row_id in (floor(y)::int, floor(y)::int + 1) and g.col_id in (floor(x)::int, floor(x)::int + 1))
+select row_id, col_id, round(sum(w * z) / sum(w), 6) as z from n group by row_id, col_id""",
+)
+def resampled_grid(spark, sf_dir):
+    return terrain.resample(_grid(spark, sf_dir)).withColumn("z", F.round("z", 6))
+
+
+@register("smote_rows")
+def smote_rows(spark, sf_dir):
+    known = _features(spark, sf_dir).join(terrain.labels(_dist(spark, sf_dir)), ["row_id", "col_id"])
+    # Positives against all other pixels: two classes of different size.
+    return forest.smote(known.withColumn("label", F.when(F.col("label") == 1, 1).otherwise(0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orestrata.functions import checks, coords
+from orestrata.functions import checks, coords, dates
 from orestrata.plans.catalog import register
 from orestrata.plans.fixtures import cte, projection
 from orestrata.session import read_table
@@ -106,3 +106,18 @@ def keyword_filter(spark, sf_dir):
 @register("coord_blocks", cte("ocr_block") + f"select block_ord, text from ocr_block where regexp_matches(text, {_q(coords.COORDINATE_BLOCK)})")
 def coord_blocks(spark, sf_dir):
     return projection(spark, sf_dir, "ocr_block").where(F.col("text").rlike(coords.COORDINATE_BLOCK)).select("block_ord", "text")
+
+
+def _dates(*formats: str) -> str:
+    tries = ", ".join(f"try_strptime(date_text, '{f}')" for f in formats)
+    return cte("date_text") + f"select text_id, strftime(coalesce({tries}), '%Y-%m-%d %H:%M:%S') as parsed from date_text"
+
+
+@register("date_parse", _dates("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y"))
+def date_parse(spark, sf_dir):
+    return projection(spark, sf_dir, "date_text").select("text_id", F.date_format(dates.sample_date(F.col("date_text")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@register("report_dates", _dates("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y"))
+def report_dates(spark, sf_dir):
+    return projection(spark, sf_dir, "date_text").select("text_id", F.date_format(dates.report_date(F.col("date_text")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
