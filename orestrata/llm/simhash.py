@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -244,7 +245,12 @@ def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     # The least (id, fingerprint) of each group, null ids last; of its equal rows, any one.
     ranked = by_doc.distinct().join(each, "fp").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
     stay = ranked.select(F.col("s.doc_id").alias("_s_id"), F.col("s.fp").alias("_s_fp"))
-    of = F.udf(lambda x: (lambda v: v - (1 << 64) if v >= 1 << 63 else v)(fingerprint(x, width)), "long")
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(x, width) for x in texts], dtype=np.uint64).view(np.int64))
+
     rows = docs.withColumn("_s_row", of("text"))
     kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_s_id"]) & (rows["_s_row"] == stay["_s_fp"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "_s_row"]).select(*docs.columns)

@@ -148,3 +148,10 @@ def test_html_without_pages_to_learn_from(spark):
     page = spark.createDataFrame([(1, "u", "<p>text</p>", "x"), (2, None, None, "x"), (2, None, None, "x")], "page_id long, url string, html string, main_text string")
     assert [r["main_text"] for r in htmltext.extract(page, model).collect()] == ["", "", ""]
     assert htmltext.extract(none, model).count() == 0
+
+
+def test_one_of_each_group_where_ids_repeat(spark):
+    """Rows of one id with different texts are told apart; of equal rows one stays."""
+    rows = [(1, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (1, "quite another text with other words"), (2, "alpha beta gamma delta"), (None, "alpha beta gamma delta"), (None, "a text of no id at all here")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, "a text of no id at all here"), (1, "alpha beta gamma delta"), (1, "quite another text with other words")]
