@@ -223,13 +223,16 @@ def links(fps: DataFrame, radius: int = 2, shard_rows: int = 2048) -> DataFrame:
 
 
 def fingerprint_groups(by_doc: DataFrame, radius: int = 2) -> DataFrame:
-    """``fp, component_id`` of every distinct fingerprint of ``by_doc`` (``doc_id, fp``)."""
+    """``fp, root, component_id`` of every distinct fingerprint of ``by_doc`` (``doc_id, fp``).
+
+    ``root`` is a fingerprint of the group; where an id has several texts, groups can share a ``component_id``.
+    """
     groups = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(groups.select("fp"), radius))
     linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp")
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(best, "root").select("fp", "component_id")
-    return groups.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = linked.join(best, "root").select("fp", "root", "component_id")
+    return groups.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
@@ -243,7 +246,7 @@ def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     if by_doc.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
         return docs.join(each.select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*docs.columns)
     # The least (id, fingerprint) of each group, null ids last; of its equal rows, any one.
-    ranked = by_doc.distinct().join(each, "fp").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
+    ranked = by_doc.distinct().join(each, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
     stay = ranked.select(F.col("s.doc_id").alias("_s_id"), F.col("s.fp").alias("_s_fp"))
     small_batches(docs.sparkSession)
 
