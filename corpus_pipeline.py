@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orestrata.llm import mixing, packing, quality, simhash, toxicity
+from orestrata.llm import mixing, packing, quality, similar, simhash, toxicity
 from orestrata.llm.common import stored, table
 
 
@@ -25,8 +25,8 @@ def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (op2) stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (op2) stays, and of those, one of each group of 0.8 similarity in 5-word shingles."""
+    return similar.one_of_similar(simhash.one_of_each(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
