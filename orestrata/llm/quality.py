@@ -2,8 +2,8 @@
 
 DataFrame functions only. A host's boilerplate is found by hashing normalised
 lines and counting, for each host, the distinct documents that hold a line.
-Lines above the limit are taken out, and documents that they leave depleted are
-rejected.
+Lines above the limit are taken out (``_q_text`` is the text without them), and
+documents that they leave depleted are rejected.
 
 Defined cases: a null text counts as empty (no words, so it fails the base
 rules); an empty table gives no rows; repeated rows are judged alike, and exact
@@ -132,7 +132,7 @@ def boilerplate(docs: DataFrame, rules: QualityRules = RULES, text: str = "text"
 
 
 def judge(docs: DataFrame, rules: QualityRules = RULES, text: str = "text", host: str = "source") -> DataFrame:
-    """``docs`` with the measures, ``_q_left`` (words outside boilerplate) and ``_q_kept``.
+    """``docs`` with the measures, ``_q_left`` (words outside boilerplate), ``_q_text`` (the text without its boilerplate lines) and ``_q_kept``.
 
     A host has no more lines above its limit than 1 / host_share times the lines
     of its average document, so a host's list is short. The lists of all hosts
@@ -148,12 +148,14 @@ def judge(docs: DataFrame, rules: QualityRules = RULES, text: str = "text", host
         "_q_hashed", F.transform(lines, lambda s: F.struct(F.xxhash64(line_key(s)).alias("h"), F.regexp_count(s, F.lit(WORD)).alias("n")))
     )
     joined = measured.join(bad, measured[host].eqNullSafe(bad["_q_host"]), "left").drop("_q_host")
-    gone = F.aggregate(
-        F.filter("_q_hashed", lambda s: F.coalesce(F.array_contains("_q_bad", s["h"]), F.lit(False))), F.lit(0).cast("long"), lambda a, s: a + s["n"]
-    )
+    flagged = lambda h: F.coalesce(F.array_contains("_q_bad", h), F.lit(False))
+    gone = F.aggregate(F.filter("_q_hashed", lambda s: flagged(s["h"])), F.lit(0).cast("long"), lambda a, s: a + s["n"])
     kept = ~F.col("_q_base_failed") & (F.col("_q_left") >= rules.min_words) & (F.col("_q_left") >= F.lit(rules.min_left) * F.col("_q_n_words"))
     # Exploding one verdict keeps a filter on it above: pushed down, it would repeat the measures within one another.
-    return joined.withColumn("_q_left", F.col("_q_n_words") - gone).withColumn("_q_kept", F.explode(F.array(kept))).drop("_q_bad", "_q_hashed")
+    out = joined.withColumn("_q_left", F.col("_q_n_words") - gone).withColumn("_q_kept", F.explode(F.array(kept)))
+    # A flagged line has words, so without one the text is as it was.
+    rest = F.array_join(F.filter(F.split(x, "\n", -1), lambda s: ~(s.rlike(WORD) & flagged(F.xxhash64(line_key(s))))), "\n")
+    return out.withColumn("_q_text", F.when(F.col("_q_left") < F.col("_q_n_words"), rest).otherwise(F.col(text))).drop("_q_bad", "_q_hashed")
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
