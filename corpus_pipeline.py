@@ -21,7 +21,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules (op3) reject go; the others go on without their boilerplate lines."""
-    kept = quality.judge(docs).where("_q_kept")
+    kept = quality.judge(docs, quality.CORPUS_RULES).where("_q_kept")
     n = F.when(F.col("_q_left") < F.col("_q_n_words"), F.length("_q_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return kept.withColumns({"n_chars": n, "text": F.col("_q_text")}).select(*docs.columns)
 

@@ -42,8 +42,12 @@ class QualityRules:
 
 
 RULES = QualityRules()
+#: The pipeline's: a count of documents that doesn't rise with the source. (``RULES`` are those that op3's SQL restates.)
+CORPUS_RULES = QualityRules(host_share=0.0)
 #: Lists of up to so many lines (8 bytes each) are broadcast.
 BROADCAST_LINES = 100_000
+#: A host's list of up to so many lines goes to all its documents; of longer ones a document gets the lines that it holds.
+HOST_LINES = 4000
 
 
 def line_key(line: Column) -> Column:
@@ -134,12 +138,25 @@ def boilerplate(docs: DataFrame, rules: QualityRules = RULES, text: str = "text"
 def judge(docs: DataFrame, rules: QualityRules = RULES, text: str = "text", host: str = "source") -> DataFrame:
     """``docs`` with the measures, ``_q_left`` (words outside boilerplate), ``_q_text`` (the text without its boilerplate lines) and ``_q_kept``.
 
-    A host has no more lines above its limit than 1 / host_share times the lines
-    of its average document, so a host's list is short. The lists of all hosts
-    are broadcast if they hold ``BROADCAST_LINES`` lines at most; beyond that the
-    join is left to a shuffle, which splits large hosts.
+    With a share, a host has no more lines above its limit than 1 / host_share
+    times the lines of its average document, so a host's list is short; without
+    one it grows with the host, and beyond ``HOST_LINES`` lines a document is
+    joined with those of them alone that it holds. Lists are broadcast if they
+    hold ``BROADCAST_LINES`` lines at most; beyond that the join is left to a
+    shuffle, which splits large hosts.
     """
-    bad = cut(boilerplate(docs, rules, text, host).groupBy("_q_host").agg(F.collect_set("_q_line").alias("_q_bad")))
+    flagged_lines = cut(boilerplate(docs, rules, text, host))
+    most = flagged_lines.groupBy("_q_host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    own = most > HOST_LINES
+    if own:
+        rows = _line_rows(docs, text, host)
+        rows = rows.select("_q_host", "_q_copy", F.explode(F.array_distinct(F.transform("_q_hashed", lambda s: s["h"]))).alias("_q_line")).distinct()
+        lists = flagged_lines.select(F.col("_q_host").alias("_q_of"), F.col("_q_line").alias("_q_flag"))
+        lists = F.broadcast(lists) if flagged_lines.count() <= BROADCAST_LINES else lists
+        held = rows.join(lists, rows["_q_host"].eqNullSafe(lists["_q_of"]) & (rows["_q_line"] == lists["_q_flag"]))
+        bad = cut(held.groupBy("_q_host", "_q_copy").agg(F.collect_list("_q_line").alias("_q_bad")))
+    else:
+        bad = cut(flagged_lines.groupBy("_q_host").agg(F.collect_set("_q_line").alias("_q_bad")))
     if bad.agg(F.count("*") + F.coalesce(F.sum(F.size("_q_bad")), F.lit(0))).first()[0] <= BROADCAST_LINES:
         bad = F.broadcast(bad)
     x = F.coalesce(F.col(text), F.lit(""))
@@ -147,7 +164,10 @@ def judge(docs: DataFrame, rules: QualityRules = RULES, text: str = "text", host
     measured = measures(docs, rules, text).withColumn(
         "_q_hashed", F.transform(lines, lambda s: F.struct(F.xxhash64(line_key(s)).alias("h"), F.regexp_count(s, F.lit(WORD)).alias("n")))
     )
-    joined = measured.join(bad, measured[host].eqNullSafe(bad["_q_host"]), "left").drop("_q_host")
+    same = measured[host].eqNullSafe(bad["_q_host"])
+    if own:
+        same = same & (F.xxhash64(x) == bad["_q_copy"])
+    joined = measured.join(bad, same, "left").drop("_q_host", "_q_copy")
     flagged = lambda h: F.coalesce(F.array_contains("_q_bad", h), F.lit(False))
     gone = F.aggregate(F.filter("_q_hashed", lambda s: flagged(s["h"])), F.lit(0).cast("long"), lambda a, s: a + s["n"])
     kept = ~F.col("_q_base_failed") & (F.col("_q_left") >= rules.min_words) & (F.col("_q_left") >= F.lit(rules.min_left) * F.col("_q_n_words"))

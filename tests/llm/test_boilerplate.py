@@ -1,6 +1,8 @@
 """Boilerplate lines leave the texts that the pipeline's quality stage hands on."""
 
 import corpus_pipeline
+import pytest
+from orestrata.llm import quality
 
 
 def corpus(spark, size, shared):
@@ -25,3 +27,14 @@ def test_flagged_lines_are_removed(spark, sf_dir):
     before, after = handed_on(spark, corpus(spark, 60, 40), sf_dir)
     assert after == {i: "\n".join(s for s in t.split("\n") if "Notice" not in s) for i, t in before.items()}
     assert after[0].count("\n") == 2
+
+
+@pytest.mark.parametrize("host_lines", [quality.HOST_LINES, 0])
+def test_a_large_source_has_no_higher_limit(spark, sf_dir, monkeypatch, host_lines):
+    """Eight percent of a source's documents are as many as forty percent of a smaller one's."""
+    monkeypatch.setattr(quality, "HOST_LINES", host_lines)
+    small = corpus(spark, 60, 24)
+    large = corpus(spark, 300, 24).selectExpr("doc_id + 1000 as doc_id", "text", "lang", "'large' as source", "n_chars")
+    before, after = handed_on(spark, small.unionByName(large), sf_dir)
+    assert sum("Notice" in t for t in before.values()) == 48 and not any("Notice" in t for t in after.values())
+    assert all(len(after[i]) == len(t) for i, t in before.items() if "Notice" not in t)
