@@ -120,10 +120,10 @@ def _features(spark, sf_dir):
 
 @register("rf_grid_proba")
 def rf_grid_proba(spark, sf_dir):
-    """Probability of every pixel by a forest of 30 trees (fewer than in production, for the check's sake a parameter)."""
+    """Probability of every pixel by a forest of 300 trees."""
     f = _features(spark, sf_dir)
     known = f.join(terrain.labels(_dist(spark, sf_dir)), ["row_id", "col_id"]).where("label >= 0")
-    return forest.score(forest.train(known, forest.COLUMNS, trees=30, depth=10), f, forest.COLUMNS)
+    return forest.score(forest.train(known), f, forest.COLUMNS)
 
 
 @register("within_300", cte("dem_grid", "dem_point") + _DIST + "select row_id, col_id from dist where dist_m <= 300")
