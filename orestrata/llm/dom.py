@@ -10,6 +10,8 @@ import numpy as np
 # Element kinds.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SILENT = {"script", "style", "head", "title", "template", "noscript", "iframe", "svg", "canvas", "object", "select", "option", "textarea", "button", "datalist"}
+#: Silent elements that hold text alone: only their own end tag ends them.
+RAW = {"script", "style", "title", "textarea"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input", "nobr",
@@ -57,16 +59,26 @@ class _Builder(HTMLParser):
         self.open: list[tuple[str, Node]] = [("body", self.root)]  # inline elements stay with their block
         self.silent = 0
         self.silent_tag = ""
+        self.inside: list[str] = []  # blocks open inside a silent element
         self.links = 0
 
+    def parse_marked_section(self, i, report=1):
+        """A section of no known kind is a comment up to the next '>', as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         if self.silent:
-            self.silent += tag == self.silent_tag and tag not in VOID
+            if tag not in VOID and tag not in INLINE:
+                self.silent += tag == self.silent_tag
+                self.inside.append(tag)
             return
         if tag in SILENT:
             # A head that is never closed must not swallow the page.
             if tag != "head":
-                self.silent, self.silent_tag = 1, tag
+                self.silent, self.silent_tag, self.inside = 1, tag, []
             return
         block = self.open[-1][1]
         if tag in INLINE:
@@ -113,10 +125,19 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.silent:
-            if tag == self.silent_tag:
-                self.silent -= 1
+        if self.silent and (tag in self.inside or tag == self.silent_tag or tag in INLINE or self.silent_tag in RAW):
+            if tag in self.inside:
+                at = len(self.inside) - 1 - self.inside[::-1].index(tag)
+                self.silent -= self.inside[at:].count(self.silent_tag)
+                del self.inside[at:]
+            elif tag == self.silent_tag:
+                self.silent = 0
             return
+        if self.silent:
+            # The end of a block around it ends an element that was never closed.
+            if all(name != tag for name, _ in self.open[1:]):
+                return
+            self.silent = 0
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
                 self._pop_to(i)
