@@ -48,9 +48,10 @@ def score(model: RandomForestClassificationModel | None, rows: DataFrame, column
 def smote(rows: DataFrame, columns=COLUMNS, key=("row_id", "col_id"), k: int = 5, bucket_rows: int = 2000, seed: int = 42) -> DataFrame:
     """``columns`` and ``label`` of all rows with finite features, and new rows of the rarer class until both are as many.
 
-    A new row lies between a row and one of its ``k`` nearest of the class. Neighbours are exact among about
-    ``bucket_rows`` rows, which is the whole class if it is that small; larger classes are dealt by ``key``. With
-    fewer than two rows of a class nothing is added.
+    A new row lies between a row and one of its ``k`` nearest of the whole class. Blocks of about ``bucket_rows`` rows,
+    dealt by ``key``, are compared with all blocks, and a row keeps its ``k`` nearest of each and then of all, so the work
+    grows with the square of the class and no task holds more than two blocks. With fewer than two rows of a class
+    nothing is added.
     """
     d = rows.where(finite(columns)).withColumn("label", F.col("label").cast("int"))
     kept = d.select(*columns, "label")
@@ -59,23 +60,46 @@ def smote(rows: DataFrame, columns=COLUMNS, key=("row_id", "col_id"), k: int = 5
         return kept
     rare = min(n, key=n.get)
     few, need = n[rare], max(n.values()) - n[rare]
-    deal = F.pmod(F.xxhash64(*key), F.lit(-(-few // bucket_rows))).cast("int")
-    members = d.where(F.col("label") == rare).withColumn("_bucket", deal)
+    n_blocks = -(-few // bucket_rows)
+    members = d.where(F.col("label") == rare).select(*[F.col(c).cast("double").alias(c) for c in columns], *key)
+    members = members.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(n_blocks)).cast("int"))
     end = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
     share = lambda at: F.floor(at * need / F.lit(few))
     wanted = members.groupBy("_bucket").agg(F.count("*").alias("_size")).withColumn("_end", end).select("_bucket", (share(F.col("_end")) - share(F.col("_end") - F.col("_size"))).alias("_want"))
+    cols, others = list(columns), [f"_o_{c}" for c in columns]
+
+    def nearest(at: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        """The ``k`` nearest rows of one block for each row of another."""
+        names = ["_bucket", "_at", "_apart", "_other", "_rank", *cols, *others]
+        if mine.empty or theirs.empty:
+            return pd.DataFrame({c: [] for c in names})
+        x, y = (b.sort_values([*cols, *key])[cols].to_numpy(dtype=float) for b in (mine, theirs))
+        apart = sum((x[:, c, None] - y[None, :, c]) ** 2 for c in range(len(cols)))
+        if at[0] == at[1]:
+            np.fill_diagonal(apart, np.inf)
+        near = np.argsort(apart, axis=1, kind="stable")[:, :k]
+        i, j = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
+        out = pd.DataFrame({"_bucket": at[0], "_at": i, "_apart": apart[i, j], "_other": at[1], "_rank": j})
+        out[cols], out[others] = x[i], y[j]
+        return out[np.isfinite(out["_apart"])][names]
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    left = members.withColumnRenamed("_bucket", "_i").withColumn("_j", blocks)
+    right = members.withColumnRenamed("_bucket", "_j").withColumn("_i", blocks)
+    kind = "_bucket int, _at long, _apart double, _other int, _rank long, " + ", ".join(f"{c} double" for c in cols + others)
+    pairs = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(nearest, kind)
+    order = F.row_number().over(Window.partitionBy("_bucket", "_at").orderBy("_apart", "_other", "_rank"))
+    near = pairs.withColumn("_nth", order).where(F.col("_nth") <= k)
 
     def between(bucket: pd.DataFrame) -> pd.DataFrame:
-        b = bucket.sort_values(list(columns))
-        x, want = b[list(columns)].to_numpy(dtype=float), int(b["_want"].iloc[0])
+        b = bucket.sort_values(["_at", "_nth"])
+        x, y, want = b[cols].to_numpy(dtype=float), b[others].to_numpy(dtype=float), int(b["_want"].iloc[0])
+        first, count = np.unique(b["_at"].to_numpy(), return_index=True, return_counts=True)[1:]
         rng = np.random.default_rng([seed, int(b["_bucket"].iloc[0])])
-        apart = ((x[:, None] - x[None]) ** 2).sum(axis=2) if len(x) <= 500 else np.maximum(0, (x**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * x @ x.T)
-        np.fill_diagonal(apart, np.inf)
-        near = np.argsort(apart, axis=1)[:, : max(1, min(k, len(x) - 1))]
-        base = rng.integers(len(x), size=want)
-        other = near[base, rng.integers(near.shape[1], size=want)]
-        out = pd.DataFrame(x[base] + rng.random((want, 1)) * (x[other] - x[base]), columns=list(columns))
+        base = rng.integers(len(first), size=want)
+        pick = first[base] + rng.integers(count[base])
+        out = pd.DataFrame(x[pick] + rng.random((want, 1)) * (y[pick] - x[pick]), columns=cols)
         return out.assign(label=rare)
 
-    new = members.join(wanted, "_bucket").groupBy("_bucket").applyInPandas(between, ", ".join(f"{c} double" for c in columns) + ", label int")
+    new = near.join(wanted, "_bucket").groupBy("_bucket").applyInPandas(between, ", ".join(f"{c} double" for c in columns) + ", label int")
     return kept.unionByName(new)
