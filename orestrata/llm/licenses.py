@@ -113,7 +113,9 @@ def scan(docs: DataFrame, text: str = "text", texts: list[tuple[str, str]] | Non
     known = known_texts(spark, texts)
     rows = {r["_l_digest"]: r["license"] for r in known.collect()}  # as many as the fixed list has
     notice_ids = F.create_map(*[F.lit(v) for k, name in sorted(rows.items()) for v in (k, name)])
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda s: s.rlike(r"(?i)licen|permission|redistribution|rights reserved|public domain"))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    if texts is None:  # a quick test that the fixed texts and notices pass; a caller's needn't
+        lines = F.filter(lines, lambda s: s.rlike(r"(?i)licen|permission|redistribution|rights reserved|public domain"))
     found = F.transform(lines, lambda s: F.element_at(notice_ids, F.coalesce(digest(_plain(s)), F.lit(""))))
     out = docs.withColumn("_l_text_digest", digest(canonical(F.col(text))))
     out = out.withColumn("_l_notices", F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))))
