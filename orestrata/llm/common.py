@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; only a session that names none (a test) gets a temporary one."""
+    """The checkpoint folder that the session names. A local master without one gets a folder beside its warehouse;
+    on a cluster executors couldn't see such a folder, so that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="orestrata-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -49,6 +52,32 @@ def hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
+def hash_below(h_of_63_bits: Column, size: int, n: int) -> Column:
+    """Whether a hash lies in the share ``size / n`` of its 63 bits, however small that share is."""
+    return h_of_63_bits < F.lit(min((1 << 63) - 1, (size << 63) // max(1, n)))
+
+
+def hash_63(*keys: Column | str, seed: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 1)
+
+
+def sample(rows: DataFrame, n: int, size: int, *keys: Column | str, seed: str) -> DataFrame:
+    """The ``size`` of about ``n`` rows whose ``keys`` have the least hashes, so reruns agree.
+
+    A task keeps ``size`` rows at most. Rows far above the share that is wanted
+    are left out before anything is sorted; if ``n`` was far too high, so that
+    too few are left, all rows are looked at. A table that has rows never gives
+    an empty sample.
+    """
+    hashed = rows.withColumn("_sample_h", hash_63(*keys, seed=seed))
+    least = lambda d: cut(d.orderBy("_sample_h").limit(size).drop("_sample_h"))
+    if n > 2 * size:
+        picked = least(hashed.where(hash_below(F.col("_sample_h"), 2 * size, n)))
+        if picked.count() >= size // 2:
+            return picked
+    return least(hashed)
+
+
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
     """Bound the bytes of an Arrow batch, so that very long texts don't fill a Python worker.
 

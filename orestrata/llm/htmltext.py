@@ -33,18 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orestrata.llm.common import small_batches, table
+from orestrata.llm.common import sample, small_batches, table
 from orestrata.llm.dom import FEATURES, Node, node_features, parse
 from orestrata.llm.trees import BoostedTrees, fit
 
 
 @dataclass(frozen=True)
 class HtmlParams:
-    """``sample_pages`` bounds the pages that are learnt from (about, by a hash of the url), ``max_chars`` what is
-    read of each of them (extraction reads pages whole), ``layouts`` how often each is laid out anew."""
+    """``sample_pages`` bounds the pages that are learnt from (picked by a hash of the url and length, read whole),
+    ``layouts`` how often each is laid out anew."""
 
     sample_pages: int = 120
-    max_chars: int = 20_000
     layouts: int = 6
     seed: int = 11
 
@@ -159,11 +158,9 @@ def layout(blocks: list[str], pool: list[str], rng: random.Random) -> tuple[str,
 
 
 def learn(pages: DataFrame, p: HtmlParams = PARAMS) -> BoostedTrees:
-    """Fit the trees on about ``sample_pages`` pages, which come to the driver."""
-    total = pages.count()
-    share = min(1.0, p.sample_pages / max(1, total))
-    picked = pages.where(F.pmod(F.xxhash64(F.lit("html"), "url", F.length("html")), F.lit(1_000_000)) < int(share * 1_000_000)).where("html is not null")
-    rows = picked.select(F.substring("html", 1, p.max_chars).alias("html")).limit(2 * p.sample_pages).collect()
+    """Fit the trees on ``sample_pages`` pages, which come to the driver."""
+    known = pages.where("html is not null")
+    rows = sample(known.select("url", "html"), known.select("url").count(), p.sample_pages, "url", F.length("html"), seed="html").collect()
     rng = random.Random(p.seed)
     seen = []
     for r in sorted(r["html"] for r in rows):

@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orestrata.llm.common import small_batches, table
+from orestrata.llm.common import hash_63, hash_below, small_batches, table
 
 #: Characters of a text that are hashed at a time, so that a very long text needs bounded memory.
 _BLOCK = 1 << 17
@@ -32,9 +32,11 @@ _BLOCK = 1 << 17
 
 @dataclass(frozen=True)
 class LangParams:
-    """``sample_docs`` bounds the labelled training documents (about, picked by a hash of their ids)."""
+    """``sample_docs`` bounds the labelled training documents; every language gets an equal part of them, picked by a
+    hash of their ids, so a rare language is learnt too. ``max_languages`` (the commonest) bounds what is learnt."""
 
     sample_docs: int = 3000
+    max_languages: int = 1000
     bins_log2: int = 12
     bits: int = 24
     steps: int = 150
@@ -118,14 +120,29 @@ def codewords(k: int, bits: int, seed: int) -> np.ndarray:
     return best
 
 
+def training_rows(docs: DataFrame, p: LangParams = PARAMS, counts: dict[str, int] | None = None) -> DataFrame:
+    """``lang, text`` of the sample: of each language the documents with the least hashes. ``counts`` are the rows by language."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    if counts is None:
+        by_lang = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_languages)
+        counts = {r["lang"]: r["n"] for r in by_lang.collect()}
+    if not counts:
+        return known.select("lang", "text").limit(0)
+    quota = max(1, p.sample_docs // len(counts))
+    rows = known.withColumn("_l_h", hash_63("doc_id", F.length("text"), seed="lang"))
+    # Twice the share that is wanted is looked at; common languages' other rows go before anything is sorted.
+    near = F.lit(False)
+    for lang, n in sorted(counts.items()):
+        near = near | ((F.col("lang") == lang) & (F.lit(True) if n <= 2 * quota else hash_below(F.col("_l_h"), 2 * quota, n)))
+    order = Window.partitionBy("lang").orderBy("_l_h")
+    return rows.where(near).withColumn("_l_k", F.row_number().over(order)).where(F.col("_l_k") <= quota).select("lang", "text")
+
+
 def learn(docs: DataFrame, p: LangParams = PARAMS) -> LangModel:
-    """Fit on about ``sample_docs`` training rows. Tasks turn whole texts into sparse features; the
+    """Fit on ``sample_docs`` training rows at most. Tasks turn whole texts into sparse features; the
     driver gets those of the bounded sample."""
     small_batches(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    n = known.select("lang").count()
-    share = min(1.0, p.sample_docs / max(1, n))
-    sample = known.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
+    sample = training_rows(docs, p)
     bins = p.bins_log2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +160,6 @@ def learn(docs: DataFrame, p: LangParams = PARAMS) -> LangModel:
             )
 
     got = sample.mapInArrow(run, "lang string, at binary, value binary").collect()
-    # All learnt languages count, the sampled ones have examples.
     languages = tuple(sorted({r["lang"] for r in got}))
     x = np.zeros((len(got), 1 << bins), dtype=np.float32)
     y = np.zeros(len(got), dtype=int)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orestrata.llm.common import cut, small_batches, table
+from orestrata.llm.common import cut, sample, small_batches, table
 
 # Letters of other scripts and signs that are drawn like Latin letters.
 LOOK_ALIKES = {
@@ -48,6 +48,9 @@ SEED_TERMS = ["idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthles
 # Phrases in which such a word is no insult.
 EXCEPTIONS = ["trash can", "trash bin", "trash collection", "clown fish", "clownfish", "clown school", "sore loser", "stupid question", "stupid mistake"]
 
+#: The sum per 100 words counts up to here, in fitting and in scoring.
+DENSEST = 50.0
+
 _WORD = re.compile(r"[^\W\d_](?:[\w@$!]*\w)?|[\d@$!]+[^\W\d_]\w*")
 _FOLD_CHARS = str.maketrans(LOOK_ALIKES)
 _FOLD_SIGNS = str.maketrans(SUBSTITUTES)
@@ -101,8 +104,14 @@ class ToxicityModel:
                 spans.append((at, end))
             else:
                 found[at] = max(w, found.get(at, 0.0))
-        total = sum(w for at, w in found.items() if not any(lo <= at <= hi for lo, hi in spans))
-        return total, 100.0 * total / max(20, folded.count(" ") - 1)
+        spans.sort()
+        total, i, reach = 0.0, 0, -1
+        for at, w in sorted(found.items()):
+            while i < len(spans) and spans[i][0] <= at:  # of the phrases that have begun, how far the farthest goes
+                reach = max(reach, spans[i][1])
+                i += 1
+            total += w if at > reach else 0.0
+        return total, min(DENSEST, 100.0 * total / max(20, folded.count(" ") - 1))
 
     def score(self, folded: str) -> float:
         total, dense = self.features(folded)
@@ -112,11 +121,10 @@ class ToxicityModel:
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``sample_docs`` bounds the labelled documents that are learnt from (about, picked by a hash of their ids);
-    ``max_terms`` bounds the lexicon."""
+    """``sample_docs`` bounds the labels that are learnt from (picked by a hash of their ids), and with them the
+    lexicon: a term of it begins words of ``min_docs`` toxic documents of the sample at least."""
 
     sample_docs: int = 8000
-    max_terms: int = 3000
     min_docs: int = 5
     prefix: tuple[int, int] = (4, 10)
     min_weight: float = 2.0
@@ -127,20 +135,24 @@ PARAMS = ToxicityParams()
 
 
 def _sample(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> DataFrame:
-    """About ``sample_docs`` labelled training rows with ``text`` and ``toxic``. Held-out rows never enter."""
+    """``sample_docs`` labelled training rows with ``text`` and ``toxic``. Held-out rows never enter.
+
+    The labels of absent documents are left out before the sample is drawn, which looks at ids alone; a document
+    whose id comes several times is learnt from once for each label."""
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).select("doc_id", "toxic")
-    n = known.count()
-    share = min(1.0, p.sample_docs / max(1, n))
-    picked = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic")
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    picked = sample(known, known.count(), p.sample_docs, "doc_id", "toxic", seed="toxicity")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(picked, "doc_id").select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = PARAMS) -> ToxicityModel:
-    """Fit lexicon and curve. Counting is distributed; the driver gets at most ``max_terms`` terms
-    (with a few counts each) and three numbers for each of the bounded sample's documents."""
+    """Fit lexicon and curve. Counting is distributed; the driver gets the terms of several of the bounded sample's
+    documents (with two counts each) and three numbers for each of them."""
     small_batches(docs.sparkSession)
-    sample = cut(_sample(docs, labels, p))
-    size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    seen = cut(_sample(docs, labels, p))
+    size = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     fixed = {t: 3.0 for t in SEED_TERMS}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
@@ -166,8 +178,8 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = PARAMS) -> Tox
         yield counted(c)
 
     toxic = (
-        sample.where("toxic = 1").select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= p.min_docs).orderBy(F.desc("n"), "term").limit(20 * p.max_terms)
+        seen.where("toxic = 1").select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= p.min_docs)
     )
     in_toxic = {r["term"]: r["n"] for r in toxic.collect()}
     shared = docs.sparkSession.sparkContext.broadcast(set(in_toxic))
@@ -179,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = PARAMS) -> Tox
                 c.update(prefixes(fold(x.as_py()), shared.value))
         yield counted(c)
 
-    clean = sample.where("toxic = 0").select("text").mapInArrow(count_known, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    clean = seen.where("toxic = 0").select("text").mapInArrow(count_known, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     in_clean = {r["term"]: r["n"] for r in clean.collect()}
 
     def weight(t: str) -> float:
@@ -195,8 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = PARAMS) -> Tox
         above = max((weights[t[:k]] for k in range(lo, len(t)) if t[:k] in weights), default=0.0)
         if w > above + 0.5:
             weights[t] = min(w, 8.0)
-    keep = sorted(weights, key=lambda t: (t not in fixed, -in_toxic.get(t, 0) * weights[t], t))[: p.max_terms]
-    model = ToxicityModel({t: weights[t] for t in keep})
+    model = ToxicityModel(weights)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,13 +215,13 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = PARAMS) -> Tox
             f = [held.value.features(fold(x)) for x in b["text"]]
             yield pd.DataFrame({"total": [a for a, _ in f], "dense": [d for _, d in f], "toxic": b["toxic"]})
 
-    seen = sample.mapInPandas(measure, "total double, dense double, toxic int").toPandas()
-    return ToxicityModel(model.weights, _fit_curve(seen))
+    measured = seen.mapInPandas(measure, "total double, dense double, toxic int").toPandas()
+    return ToxicityModel(model.weights, _fit_curve(measured))
 
 
 def _fit_curve(seen: pd.DataFrame) -> tuple[float, float, float]:
     """Logistic regression on two features by Newton's steps, with a weak pull of the slopes to zero."""
-    x = np.c_[np.ones(len(seen)), np.log1p(seen["total"]), np.minimum(seen["dense"], 50.0)]
+    x = np.c_[np.ones(len(seen)), np.log1p(seen["total"]), seen["dense"]]
     y = seen["toxic"].to_numpy(float)
     b, pull = np.zeros(3), np.diag([1e-6, 0.5, 0.5])
     for _ in range(30):
