@@ -6,6 +6,13 @@ anisotropic loss: the error along the vector counts more than the error across
 it, because it changes large inner products more. A query looks into the cells
 with the largest inner products, adds up table entries for the codes, and the
 candidates with the best sums are scored again exactly on the original vectors.
+How many cells it looks into is measured on the sample: as few as hold
+``coverage`` of the nearest neighbours there.
+
+The index stays where it is: a cell's codes and vectors go to one task (a large
+cell's to several), queries are sent to the cells that they look into and stream
+past in batches, so a task holds ``block_rows`` rows and one batch, whatever the
+number of queries.
 
 Equal vectors are one class: only its ``k`` + 1 least ids can be among the
 nearest ``k`` (ties go to the lesser id), so the other copies needn't be
@@ -13,10 +20,12 @@ searched, and the answer is as if they were. Every class is indexed.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite
 components take no part, as queries or candidates; a query compares only with
-candidates of its own length; fewer than ``k`` candidates give all; null ids
-take no part; rows that repeat an id with one vector count once, and an id with
-different vectors counts with each; a query's own id is never among its
-candidates; an empty table gives no rows; other columns are ignored.
+candidates of its own length; fewer than ``k`` candidates give all that lie in
+the cells looked into, and all cells are looked into while the table holds
+``min_rows`` rows or less; null ids take no part; rows that repeat an id with one
+vector count once, and an id with different vectors counts with each; a query's
+own id is never among its candidates; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,31 +34,32 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orestrata.llm.common import cut, small_batches, table
+from orestrata.llm.common import cut, sample, small_batches, table
 
 
 @dataclass(frozen=True)
 class AnnParams:
-    """``sample`` bounds the vectors that codebooks are fitted on (about, by a hash of the ids). Cells are searched
-    in blocks of about ``block_rows`` rows (small cells share one, large cells take several), queries in blocks of ``block_queries``. ``probe`` is the share of
-    the cells that a query looks into, and at least ``min_probe`` cells; ``rerank`` candidates per cell and block are scored exactly."""
+    """``sample`` bounds the vectors that cells and codebooks are fitted on; every vector is indexed. There are about
+    sqrt(rows) / ``root_share`` cells (at most one for 16 sampled rows); a cell of more than ``block_rows`` rows takes
+    several blocks. ``rerank`` candidates per query and block are scored exactly. Beyond ``block_queries`` queries a
+    block is held by several tasks, which bounds how long one works."""
 
     k: int = 20
-    sample: int = 16_000
-    rows_per_cell: int = 1500
-    max_cells: int = 512
-    min_probe: int = 8
-    probe: float = 0.75
-    rerank: int = 384
+    sample: int = 8192
+    root_share: float = 3.0
+    min_rows: int = 64
+    coverage: float = 0.95
+    rerank: int = 64
     block_rows: int = 8192
-    block_queries: int = 2048
+    block_queries: int = 2_000_000
+    batch_queries: int = 256
     parallel_weight: float = 4.0
-    iterations: int = 8
+    iterations: int = 6
     seed: int = 5
 
 
@@ -86,8 +96,18 @@ class Codebook:
         return code.astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of each query's pairs with the 16 points: queries x pairs x 16."""
-        return np.einsum("qmd,mkd->qmk", _pairs(q), self.points).astype(np.float32)
+        """Inner products of the queries' pairs with the points, for two codes (a byte) at a time: bytes x 256 x queries."""
+        t = np.einsum("qmd,mkd->mkq", _pairs(q), self.points).astype(np.float32)
+        if len(t) % 2:
+            t = np.concatenate([t, np.zeros_like(t[:1])])
+        return (t[0::2, None, :, :] + t[1::2, :, None, :]).reshape(len(t) // 2, 256, -1)
+
+    def scan(self, codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Sums of table entries, rows x queries. ``codes`` are rows x bytes. A cell's own centre adds the same to all its rows."""
+        out = np.take(tables[0], codes[:, 0], axis=0)
+        for j in range(1, codes.shape[1]):
+            out += np.take(tables[j], codes[:, j], axis=0)
+        return out
 
 
 def _pairs(x: np.ndarray) -> np.ndarray:
@@ -130,16 +150,39 @@ def fit(x: np.ndarray, cells: int, p: AnnParams = PARAMS) -> Codebook:
     return Codebook(centres, points)
 
 
+def probes_needed(x: np.ndarray, book: Codebook, p: AnnParams = PARAMS, queries: int = 256) -> int:
+    """The least number of cells that hold ``coverage`` of the ``k`` nearest in the sample ``x``.
+
+    Of a larger table the nearest lie nearer, in cells that come earlier, so the sample asks for rather too many."""
+    q = x[:: max(1, len(x) // queries)]
+    score = q @ x.T
+    k = min(p.k + 1, len(x))
+    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    order = np.argsort(-(q @ book.centres.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(q), 0), 1)
+    at = np.sort(np.take_along_axis(place, book.cells_of(x)[best], 1).ravel())
+    return int(at[min(len(at) - 1, int(np.ceil(p.coverage * len(at))))]) + 1
+
+
 def valid(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v`` (doubles) of the vectors that take part."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """``vec_id, v`` of the vectors that take part, as they are stored."""
+    v = F.col("v")
     ok = (
         F.col("vec_id").isNotNull()
-        & (F.size("v") > 0)
-        & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        & F.exists("v", lambda x: x != 0)
+        & (F.size(v) > 0)
+        & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+        & F.exists(v, lambda x: x != 0)
     )
-    return vectors.select("vec_id", v.alias("v")).where(F.col("v").isNotNull()).where(ok)
+    return vectors.select("vec_id", F.col("embedding").alias("v")).where(F.col("v").isNotNull()).where(ok)
+
+
+def classes_of(rows: DataFrame, k: int) -> DataFrame:
+    """``v, ids``: each vector with the ``k`` + 1 least of its ids. A task passes on ``k`` + 1 rows of a vector at most."""
+    once = rows.groupBy("vec_id", "v").agg(F.lit(1).alias("one")).withColumn("h", F.xxhash64("v"))
+    order = Window.partitionBy("h", "v").orderBy("vec_id")
+    least = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    return least.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("v", "ids")
 
 
 def search(vectors: DataFrame, is_query, p: AnnParams = PARAMS) -> DataFrame:
@@ -147,13 +190,8 @@ def search(vectors: DataFrame, is_query, p: AnnParams = PARAMS) -> DataFrame:
     spark = vectors.sparkSession
     small_batches(spark, 4)
     rows = valid(vectors)
-    # Classes of equal vectors, with their k + 1 least ids: an aggregate of small arrays that combines by id before it meets.
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
-    least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, p.k + 1)
-    by_salt = salted.groupBy("v", "salt", (F.floor(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(64)))).alias("salt2")).agg(least(F.collect_set("vec_id")).alias("ids"))
-    part = by_salt.groupBy("v", "salt").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
-    classes = cut(part.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")))
-    sizes = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    classes = cut(classes_of(rows, p.k))
+    sizes = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # a row for each length of vectors
     out = None
     for r in sizes:
         one = _search_dimension(classes.where(F.size("v") == r["d"]), rows.where(is_query & (F.size("v") == r["d"])), r["n"], p)
@@ -161,110 +199,112 @@ def search(vectors: DataFrame, is_query, p: AnnParams = PARAMS) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def codebook(classes: DataFrame, n: int, p: AnnParams) -> tuple[Codebook, int]:
+    """The codebook fitted on the sample, and the number of cells that a query looks into."""
+    drawn = sample(classes, n, p.sample, F.element_at("ids", 1), "v", seed="ann").select("v").collect()
+    x = np.array([r["v"] for r in drawn], dtype=np.float64)
+    cells = 1 if n <= p.min_rows else max(1, min(len(x) // 16, round(n**0.5 / p.root_share)))
+    book = fit(x, cells, p)
+    return book, probes_needed(x, book, p)
+
+
 def _search_dimension(classes: DataFrame, queries: DataFrame, n: int, p: AnnParams) -> DataFrame:
-    spark = classes.sparkSession
-    share = min(1.0, p.sample / n)
-    sample = classes.where(F.pmod(F.xxhash64(F.lit("ann"), F.element_at("ids", 1)), F.lit(1_000_000)) < int(share * 1_000_000)).select("v").limit(2 * p.sample)
-    x = np.array([r["v"] for r in sample.collect()] or [r["v"] for r in classes.limit(16).select("v").collect()], dtype=np.float64)
-    cells = int(min(p.max_cells, max(1, n // p.rows_per_cell)))
-    book = spark.sparkContext.broadcast(fit(x, cells, p))
-    n_cells = len(book.value.centres)
-    probes = min(n_cells, max(p.min_probe, int(np.ceil(p.probe * n_cells))))
-    eta = p.parallel_weight
+    fitted, probes = codebook(classes, n, p)
+    book = classes.sparkSession.sparkContext.broadcast(fitted)
+    kind = classes.schema["v"].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Codebook = book.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.stack([np.asarray(a, dtype=np.float64) for a in batch.column(0).to_pylist()])
-            cell = b.cells_of(v)
-            codes = b.encode(v, cell, eta)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype(np.int32)), pa.array([_pack(c) for c in codes], pa.binary()), batch.column(0), batch.column(1)],
-                names=["cell", "codes", "v", "ids"],
-            )
+            if batch.num_rows:
+                v = _matrix(batch.column(0))
+                cell = b.cells_of(v)
+                codes = [_pack(c) for c in b.encode(v, cell, p.parallel_weight)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(codes, pa.binary()), *batch.columns], names=["cell", "codes", "v", "ids"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Codebook = book.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.stack([np.asarray(a, dtype=np.float64) for a in batch.column(1).to_pylist()])
-            cell = np.argsort(-(v @ b.centres.T), axis=1, kind="stable")[:, :probes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(cell.astype(np.int32)), pa.list_(pa.int32()))], names=["query_id", "qv", "cells"])
+            if batch.num_rows:
+                cell = np.argsort(-(_matrix(batch.column(1)) @ b.centres.T), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cell.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "v", "cells"])
 
-    index = cut(classes.select("v", "ids").mapInArrow(encode, "cell int, codes binary, v array<double>, ids array<long>"))
+    fields = [T.StructField("v", kind), T.StructField("ids", T.ArrayType(T.LongType()))]
+    index = cut(classes.select("v", "ids").mapInArrow(encode, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType()), *fields])))
     per_cell = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell
-    q = queries.select(F.col("vec_id").alias("query_id"), "v").distinct()
-    n_queries = q.count()
-    # Blocks of rows: a large cell takes several, small cells share one. A block meets its queries in blocks too, so both
-    # sides are bounded whatever a cell's size, and a query gives k rows a block, however many of its cells lie there.
-    first, held = {}, 0
-    at = 0
+    # Blocks: a cell of more than block_rows rows takes several. first is a cell's first block, parts their number.
+    first, parts, at = {}, {}, 0
     for c, m in sorted(per_cell.items()):
-        if held and held + m > p.block_rows:
-            at, held = at + 1, 0
-        first[c] = (at, max(1, -(-m // p.block_rows)))
-        at, held = (at + first[c][1], 0) if m > p.block_rows else (at, held + m)
-    first_of = F.create_map(*[F.lit(x) for c, (f, _) in first.items() for x in (c, f)])
-    number_of = F.create_map(*[F.lit(x) for c, (_, k) in first.items() for x in (c, k)])
-    q_blocks = max(1, -(-n_queries // p.block_queries))
-    own = (F.element_at(first_of, F.col("cell")) + F.pmod(F.xxhash64("ids"), F.element_at(number_of, F.col("cell")))).cast("int")
-    left = index.withColumn("block", own).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    filled = F.filter("cells", lambda c: F.array_contains(F.map_keys(first_of), c))
-    met = F.flatten(F.transform(filled, lambda c: F.sequence(F.element_at(first_of, c), F.element_at(first_of, c) + F.element_at(number_of, c) - 1)))
-    right = (
-        q.mapInArrow(route, "query_id long, qv array<double>, cells array<int>")
-        .withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-        .withColumn("block", F.explode(F.array_distinct(met)))
+        first[c], parts[c] = at, -(-m // p.block_rows)
+        at += parts[c]
+    of_cell = lambda d, c: F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(d.items()) for x in (k, v)]), c)
+    q = queries.select(F.col("vec_id").alias("id"), "v").distinct()
+    turns = max(1, -(-q.count() // p.block_queries))
+    cell = F.col("cell")
+    left = index.withColumn("block", (of_cell(first, cell) + F.pmod(F.xxhash64("ids"), of_cell(parts, cell))).cast("int")).select(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "v", "codes", "ids"
+    )
+    met = F.flatten(F.transform("cells", lambda c: F.sequence(of_cell(first, c), of_cell(first, c) + of_cell(parts, c) - 1)))
+    routed = q.mapInArrow(route, T.StructType([T.StructField("id", T.LongType()), T.StructField("v", kind), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    right = routed.withColumn("cells", F.filter("cells", lambda c: of_cell(first, c).isNotNull())).select(
+        F.explode(met).alias("block"), F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("array<long>").alias("ids")
     )
+    dealt = left.unionByName(right).repartition("block", "turn").sortWithinPartitions("block", "turn", "kind")
 
-    def meet(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        b: Codebook = book.value
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        all_v, all_ids, cell = np.stack(rows["v"].to_numpy()), rows["ids"].to_numpy(), rows["cell"].to_numpy()
-        all_codes = np.stack([_unpack(c, len(b.points)) for c in rows["codes"]])
-        qid, qv, probed = queries["query_id"].to_numpy(), np.stack(queries["qv"].to_numpy()), np.stack(queries["cells"].to_numpy())
-        tables = b.tables(qv)
-        best_of: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in qid]
-        for c in np.unique(cell):
-            asks, here = np.flatnonzero((probed == c).any(axis=1)), np.flatnonzero(cell == c)
-            v, codes, ids = all_v[here], all_codes[here], all_ids[here]
-            keep = min(p.rerank, len(v))
-            for lo in range(0, len(asks), 256):
-                part = asks[lo : lo + 256]
-                t = tables[part]
-                approx = np.zeros((len(part), len(v)), dtype=np.float32)
-                for m in range(t.shape[1]):
-                    approx += t[:, m, :][:, codes[:, m]]
-                best = np.argpartition(-approx, keep - 1, axis=1)[:, :keep]
-                for i, at_q in enumerate(part):
-                    exact = (v[best[i]] * qv[at_q]).sum(axis=1)
-                    # Classes below the k + 1 best can't be among the k nearest.
-                    order = np.flatnonzero(exact >= np.partition(exact, -(p.k + 1))[-(p.k + 1)]) if keep > p.k else np.arange(keep)
-                    groups = ids[best[i][order]]
-                    best_of[at_q].append((np.concatenate(groups), np.repeat(exact[order], [len(g) for g in groups])))
-        out_q, out_v, out_s = [], [], []
-        for i, found in enumerate(best_of):
-            if not found:
-                continue
-            cand, s = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            other = cand != qid[i]
-            cand, s = cand[other], s[other]
-            order = np.lexsort((cand, -s))[: p.k]
-            out_q.append(np.full(len(order), qid[i]))
-            out_v.append(cand[order])
-            out_s.append(s[order])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-    keys = ["block", "q_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted: those of a block, then its queries."""
+        here, held, block = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            edges = np.r_[0, np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1, batch.num_rows] if batch.num_rows else np.zeros(1, dtype=int)
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if tuple(key[:2, lo]) != here:
+                    here, held, block = tuple(key[:2, lo]), [], None
+                if key[2, lo] == 0:
+                    held.append((_matrix(part.column(4)), np.stack([np.frombuffer(c, dtype=np.uint8) for c in part.column(5).to_pylist()]), part.column(6).to_pylist()))
+                elif held:
+                    if block is None:
+                        block = np.vstack([h[0] for h in held]), np.vstack([h[1] for h in held]), [i for h in held for i in h[2]]
+                    for at in range(0, part.num_rows, p.batch_queries):
+                        few = part.slice(at, p.batch_queries)
+                        yield _nearest(block, few.column(3).to_numpy(), _matrix(few.column(4)), book.value, p)
+
+    found = dealt.mapInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 
+def _nearest(block: tuple, qid: np.ndarray, q: np.ndarray, book: Codebook, p: AnnParams) -> pa.RecordBatch:
+    """The nearest ``k`` of a block for each query: a table scan of the codes, then exact scores of the best."""
+    v, codes, ids = block
+    # All rows of a block lie in one cell, so what the centre adds doesn't change their order.
+    rough = book.scan(codes, book.tables(q)).T
+    keep = min(max(p.rerank, p.k + 1), len(v))
+    best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < len(v) else np.arange(len(v))[None].repeat(len(q), 0)
+    exact = np.einsum("qrd,qd->qr", v[best], q)
+    order = np.argsort(-exact, axis=1, kind="stable")
+    out_q, out_v, out_s = [], [], []
+    for i in range(len(q)):
+        # Classes below the k + 1 best can't be among the k nearest.
+        top = order[i, : p.k + 1]
+        top = np.flatnonzero(exact[i] >= exact[i, top[-1]])
+        groups = [ids[j] for j in best[i, top]]
+        cand, s = np.array([x for g in groups for x in g], dtype=np.int64), np.repeat(exact[i, top], [len(g) for g in groups])
+        other = cand != qid[i]
+        cand, s = cand[other], s[other]
+        first = np.lexsort((cand, -s))[: p.k]
+        out_q.append(np.full(len(first), qid[i]))
+        out_v.append(cand[first])
+        out_s.append(s[first])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+
+
 def _pack(codes: np.ndarray) -> bytes:
     """Two 4-bit codes a byte."""
     if len(codes) % 2:
@@ -272,11 +312,6 @@ def _pack(codes: np.ndarray) -> bytes:
     return (codes[0::2] | (codes[1::2] << 4)).astype(np.uint8).tobytes()
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    b = np.frombuffer(data, dtype=np.uint8)
-    return np.stack([b & 15, b >> 4], axis=1).ravel()[:n]
-
-
 def op4_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every row whose id is divisible by 20, among all rows."""
     return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
