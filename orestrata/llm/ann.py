@@ -288,21 +288,18 @@ def _nearest(block: tuple, qid: np.ndarray, q: np.ndarray, book: Codebook, p: An
     keep = min(max(p.rerank, p.k + 1), len(v))
     best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < len(v) else np.arange(len(v))[None].repeat(len(q), 0)
     exact = np.einsum("qrd,qd->qr", v[best], q)
-    order = np.argsort(-exact, axis=1, kind="stable")
-    out_q, out_v, out_s = [], [], []
-    for i in range(len(q)):
-        # Classes below the k + 1 best can't be among the k nearest.
-        top = order[i, : p.k + 1]
-        top = np.flatnonzero(exact[i] >= exact[i, top[-1]])
-        groups = [ids[j] for j in best[i, top]]
-        cand, s = np.array([x for g in groups for x in g], dtype=np.int64), np.repeat(exact[i, top], [len(g) for g in groups])
-        other = cand != qid[i]
-        cand, s = cand[other], s[other]
-        first = np.lexsort((cand, -s))[: p.k]
-        out_q.append(np.full(len(first), qid[i]))
-        out_v.append(cand[first])
-        out_s.append(s[first])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+    # Classes below the k + 1 best can't be among the k nearest.
+    last = np.partition(exact, -(p.k + 1), axis=1)[:, -(p.k + 1)] if exact.shape[1] > p.k else np.full(len(q), -np.inf)
+    at_q, at_c = np.nonzero(exact >= last[:, None])
+    row, score = best[at_q, at_c], exact[at_q, at_c]
+    n = np.array([len(i) for i in ids])[row]
+    if (n > 1).any():
+        cand = np.array([x for j in row for x in ids[j]], dtype=np.int64)
+    else:
+        cand = np.array([i[0] for i in ids], dtype=np.int64)[row]
+    asked, score = np.repeat(qid[at_q], n), np.repeat(score, n)
+    other = cand != asked
+    return pa.RecordBatch.from_arrays([pa.array(c[other]) for c in (asked, cand, score)], names=["query_id", "vec_id", "score"])
 
 
 def _pack(codes: np.ndarray) -> bytes:
