@@ -4,9 +4,9 @@
    total, no source passes ``max_repeat`` times its size, and the excess is
    shared again by weight (a water level over sources, found with windows over
    one row per source).
-2. Every source is dealt into cells of about ``cell_words`` words by a hash, so
-   a source with a third of all rows is many cells. A cell's documents in hash
-   order are one stream, cut into equal blocks.
+2. Every source is dealt into cells of about ``cell_words`` words by a hash of
+   id and text, so a source, an id or a text with a third of all rows is many
+   cells. A cell's documents in hash order are one stream, cut into equal blocks.
 3. Cells at the same relative place form a shard. In a shard, seats (blocks)
    go to cells by the highest quotients votes / (2 k + 1). Only quotients near
    the expected seat count are made, as the others are decided beforehand.
@@ -15,7 +15,8 @@
 
 Defined cases: a null or empty text has size 0, is returned with taken 0 and
 takes no part in the shares of words; a null source is a source of its own and
-comes last; repeated rows are separate documents that lie one after the other;
+comes last; repeated rows (one id, one text) are separate documents that lie one
+after the other in one cell;
 an empty table gives no rows. Columns besides the three that are read are kept
 by ``mix``; its own columns start with ``_m_``.
 """
@@ -80,7 +81,8 @@ def cell_quotas(cells: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
     c = c.withColumn("_m_votes", F.when(F.col("_m_source_size") > 0, F.col("_m_target") / F.col("_m_source_size") * F.col("_m_n")).otherwise(0.0))
     c = c.withColumn("_m_shard", F.floor(F.col("_m_cell") * F.col("_m_shards") / F.col("_m_cells")))
     shard = Window.partitionBy("_m_shard")
-    c = c.withColumn("_m_seats", F.round(F.sum("_m_votes").over(shard)).cast("long"))
+    # Whole millionths add up to the same in any order, so the seats don't hang on it.
+    c = c.withColumn("_m_seats", F.floor((F.sum(F.floor(F.col("_m_votes") * 1_000_000)).over(shard) + 500_000) / 1_000_000).cast("long"))
     slack = F.lit(2) + F.ceil(F.col("_m_votes") * F.count("*").over(shard) / F.greatest(F.lit(1), F.col("_m_seats")))
     most = F.ceil(F.lit(plan.max_repeat) * F.col("_m_n")).cast("long")
     c = c.withColumn("_m_lo", F.greatest(F.lit(0), F.floor("_m_votes") - slack).cast("long"))
@@ -99,18 +101,18 @@ def cell_quotas(cells: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
 def mix(docs: DataFrame, plan: MixPlan = PLAN, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with ``_m_size``, ``_m_source_size``, ``_m_target``, ``_m_base`` (whole copies),
     ``_m_ranges`` (word ranges, from 0, of one more partial copy) and ``_m_taken``."""
-    sized = cut(docs.select(F.col(doc_id).alias("_m_doc"), F.col(source).alias("_m_source"), n_words(F.col(text)).alias("_m_size")))
+    order = hash_int(F.lit(plan.seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    sized = cut(docs.select(F.col(doc_id).alias("_m_doc"), F.col(source).alias("_m_source"), n_words(F.col(text)).alias("_m_size"), order.alias("_m_hash")))
     sources = cut(source_targets(sized, plan))
-    order = hash_int(F.lit(plan.seed), F.coalesce(F.col("_m_doc").cast("string"), F.lit("")))
 
     def dealt(rows: DataFrame) -> DataFrame:
-        j = rows.withColumn("_m_hash", order).join(sources.withColumnRenamed("_m_source", "_m_s"), rows["_m_source"].eqNullSafe(F.col("_m_s")), "left")
+        j = rows.join(sources.withColumnRenamed("_m_source", "_m_s"), rows["_m_source"].eqNullSafe(F.col("_m_s")), "left")
         return j.withColumn("_m_cell", F.pmod("_m_hash", "_m_cells")).drop("_m_s")
 
     numbers = ["_m_idx", "_m_cell", "_m_source_size", "_m_target", "_m_cells", "_m_shards"]
     cells = dealt(sized).groupBy(*numbers).agg(F.sum("_m_size").alias("_m_cell_size"))
     quotas = cut(cell_quotas(cells, plan))
-    rows = dealt(docs.withColumn("_m_doc", F.col(doc_id)).withColumn("_m_source", F.col(source)).withColumn("_m_size", n_words(F.col(text))))
+    rows = dealt(docs.withColumn("_m_doc", F.col(doc_id)).withColumn("_m_source", F.col(source)).withColumn("_m_size", n_words(F.col(text))).withColumn("_m_hash", order))
     stream = Window.partitionBy("_m_idx", "_m_cell").orderBy("_m_hash", "_m_doc", "_m_size").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("_m_end", F.sum("_m_size").over(stream)).withColumn("_m_start", F.col("_m_end") - F.col("_m_size"))
     out = out.join(quotas, ["_m_idx", "_m_cell"], "left")
@@ -171,7 +173,7 @@ def op1_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from documents),
+    ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 8))::bigint as h from documents),
 t as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as idx from d group by source),
 s0 as (select *, case idx % 3 when 0 then 5 when 1 then 2 else 1 end::double as w, 2.0::double * source_size as cap from t),
 s1 as (select *, sum(cap) over (order by cap / w, idx rows unbounded preceding) - cap as before,
@@ -184,7 +186,7 @@ x as (select d.*, s.idx, s.source_size, s.target, s.cells, d.h % s.cells as cell
 c0 as (select idx, cell, source_size, target, cells, sum(size)::bigint as cell_size from x group by all),
 c1 as (select *, ceil(cell_size / 64.0)::bigint as n, (select max(cells) from s) as shards from c0),
 c2 as (select *, case when source_size > 0 then target / source_size * n else 0 end as votes, cell * shards // cells as shard from c1),
-c3 as (select *, round(sum(votes) over (partition by shard))::bigint as seats, count(*) over (partition by shard) as sources from c2),
+c3 as (select *, (sum(floor(votes * 1000000)::bigint) over (partition by shard)::bigint + 500000) // 1000000 as seats, count(*) over (partition by shard) as sources from c2),
 c4 as (select *, 2 + ceil(votes * sources / greatest(1, seats))::bigint as slack from c3),
 c5 as (select *, greatest(0, floor(votes)::bigint - slack) as lo, least(2 * n, floor(votes)::bigint + slack) as hi from c4),
 c6 as (select *, seats - sum(lo) over (partition by shard) as need from c5),

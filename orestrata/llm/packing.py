@@ -2,11 +2,12 @@
 
 Pieces of equal length are interchangeable, so the packing is planned on the
 histogram of piece lengths, which has at most ``capacity`` rows whatever the
-size of the corpus. The plan is a list of patterns with multiplicities: a length
-with single, pair or triple complements that fill the sequence exactly, as many
-times as all parts are available, then best-fit for what is left. Pieces get a
-rank within their length (by salted chunks, so a common length is not one
-task), and a rank is a place in the plan.
+size of the corpus. The sums of single lengths, pairs and triples are indexed by
+hash; the plan is a list of patterns with multiplicities: a length with the
+single, pair or triple that fills its sequence exactly, as many times as all
+parts are available, then best-fit for what is left. Pieces get a rank within
+their length (by chunks of row numbers, so neither a common length nor a row that
+repeats is one task), and a rank is a place in the plan.
 
 Defined cases: a null or empty text is the closing id alone; a text longer than
 the capacity is cut into full pieces and a remainder; repeated rows and repeated
@@ -136,80 +137,83 @@ class Pattern:
     times: int
 
 
-def plan_patterns(counts: dict[int, int], capacity: int = 4096) -> list[Pattern]:
-    """Patterns that use every length exactly as often as ``counts`` has it.
+class SumIndex:
+    """Sums of one, two and three available lengths, hashed by the sum.
 
-    Complements of up to three parts come first. Where those strand awkward
-    lengths, shallower complements can need fewer sequences, so they are tried
-    until one plan meets the least number of sequences possible; the shortest is taken.
+    Availability only falls, so an entry that is used up never comes back: the entries of a sum are listed when it
+    is first asked for, and a cursor goes past the dead ones. Lists hold at most ``capacity`` / 2 pairs a sum, and
+    a triple is a largest length with the sum of the other two.
     """
-    least = -(-sum(n * c for n, c in counts.items()) // capacity)
-    best: list[Pattern] = []
-    for parts in (3, 2, 1, 0):
-        plan = _complements(counts, capacity, parts)
-        if not best or sum(p.times for p in plan) < sum(p.times for p in best):
-            best = plan
-        if sum(p.times for p in best) <= least:
-            break
-    return best
-
-
-def _complements(counts: dict[int, int], capacity: int, parts: int) -> list[Pattern]:
-    """Exact complements of up to ``parts`` lengths, then best-fit for the rest."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for n, c in counts.items():
-        left[n] = c
-    out: list[Pattern] = []
 
-    def use(lengths: list[int]) -> None:
-        runs: dict[int, int] = {}
-        for n in lengths:
-            runs[n] = runs.get(n, 0) + 1
-        times = min(int(left[n]) // k for n, k in runs.items())
-        for n, k in runs.items():
-            left[n] -= times * k
-        out.append(Pattern(sorted(runs.items(), reverse=True), times))
-
-    def complement(gap: int, below: int) -> list[int] | None:
-        """One, two or three available lengths of ``below`` at most that sum to ``gap``."""
-        if gap <= below and left[gap] and parts:
-            return [gap]
-        if parts < 2:
-            return None
-        pair = pair_of(gap, min(below, gap - 1))
-        if pair or parts < 3:
-            return pair
-        for a in np.flatnonzero(left[: min(below, gap - 2) + 1])[::-1]:
-            if 3 * a < gap:  # the largest of three is a third at least
-                break
-            left[a] -= 1
-            pair = pair_of(gap - int(a), min(int(a), gap - int(a) - 1))
-            left[a] += 1
-            if pair:
-                return [int(a), *pair]
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, dtype=np.int64)
+        for n, c in counts.items():
+            self.left[n] = c
+        self.pairs: dict[int, list] = {}
+        self.triples: dict[int, list] = {}
+
+    def times(self, lengths: list[int]) -> int:
+        """How often these lengths, with their repeats, are available together."""
+        return min(int(self.left[n]) // lengths.count(n) for n in lengths)
+
+    def single(self, total: int, beside: list[int]) -> list[int] | None:
+        return [total] if total > 0 and self.times([*beside, total]) else None
+
+    def pair(self, total: int, beside: list[int]) -> list[int] | None:
+        if total not in self.pairs:
+            a = np.arange((total + 1) // 2, max(0, total - 1) + 1)
+            a = a[(self.left[a] > 0) & (self.left[total - a] > 0)]
+            # The most plentiful first, so that few patterns take many pieces.
+            a = a[np.argsort(-np.minimum(self.left[a], self.left[total - a]), kind="stable")]
+            self.pairs[total] = [0, [(int(x), total - int(x)) for x in a]]
+        return self._next(self.pairs[total], lambda e: list(e), lambda e: self.times(list(e)) > 0, beside)
+
+    def triple(self, total: int, beside: list[int]) -> list[int] | None:
+        if total not in self.triples:
+            a = np.flatnonzero(self.left[: max(0, total - 1)])[::-1]
+            self.triples[total] = [0, [int(x) for x in a if 3 * x >= total]]
+
+        def whole(a: int) -> list[int] | None:
+            rest = self.pair(total - a, [*beside, a])
+            return [a, *rest] if rest else None
+
+        return self._next(self.triples[total], whole, lambda a: self.left[a] > 0 and self.pair(total - a, []) is not None, beside)
+
+    def _next(self, entry: list, parts, alive, beside: list[int]) -> list[int] | None:
+        """The first entry that is available beside other lengths; the cursor goes past leading dead entries."""
+        cursor, items = entry
+        for i in range(cursor, len(items)):
+            found = parts(items[i])
+            if found and self.times([*beside, *found]):
+                return found
+            if i == entry[0] and not alive(items[i]):
+                entry[0] = i + 1
         return None
 
-    def pair_of(gap: int, below: int) -> list[int] | None:
-        if below < 1 or gap < 2:
-            return None
-        a = np.arange((gap + 1) // 2, min(below, gap - 1) + 1)
-        ok = (left[a] > 0) & (left[gap - a] > 0) & ((2 * a != gap) | (left[a] > 1))
-        if not ok.any():
-            return None
-        best = int(a[ok][np.argmax(np.minimum(left[a[ok]], left[gap - a[ok]]))])
-        return [best, gap - best]
 
-    for n in range(capacity, 0, -1):
-        while left[n] and n == capacity:
-            use([n])
-        while left[n]:
-            left[n] -= 1
-            rest = complement(capacity - n, n)
-            left[n] += 1
-            if rest is None:
+def plan_patterns(counts: dict[int, int], capacity: int = 4096) -> list[Pattern]:
+    """Patterns that use every length exactly as often as ``counts`` has it.
+
+    From the longest length down, a gap is filled exactly by the single, else the
+    pair, else the triple of available lengths that the index has for it, as many
+    times as all parts are available; what no combination completes goes to best-fit.
+    """
+    index = SumIndex(counts, capacity)
+    out: list[Pattern] = []
+    for n in sorted(counts, reverse=True):
+        while index.left[n]:
+            if n == capacity:
+                parts: list[int] | None = []
+            else:
+                parts = index.single(capacity - n, [n]) or index.pair(capacity - n, [n]) or index.triple(capacity - n, [n])
+            if parts is None:
                 break
-            use([n, *rest])
-    return out + _best_fit(left, capacity)
+            lengths = [n, *parts]
+            times = index.times(lengths)
+            for x in lengths:
+                index.left[x] -= times
+            out.append(Pattern(sorted({x: lengths.count(x) for x in lengths}.items(), reverse=True), times))
+    return out + _best_fit(index.left, capacity)
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[Pattern]:
@@ -268,7 +272,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 4096, end_
     broadcast has a bounded number of runs too, as each of its steps uses up a
     length or a gap.
     """
-    cut_pieces = cut(pieces(docs, tokenizer, capacity, end_id))
+    # A number for each row, kept with it: equal rows are told apart by it.
+    cut_pieces = cut(pieces(docs, tokenizer, capacity, end_id).withColumn("_p_row", F.monotonically_increasing_id()))
     histogram = cut_pieces.groupBy("length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in histogram.collect()}
     plan = plan_table(plan_patterns(counts, capacity))
@@ -276,11 +281,11 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 4096, end_
     # Chunks of a length: as many as its count asks for.
     most = F.create_map(*[F.lit(v) for n, c in sorted(counts.items()) if c > chunk_rows for v in (n, -(-c // chunk_rows))]) if any(c > chunk_rows for c in counts.values()) else None
     chunks = F.lit(1) if most is None else F.coalesce(F.element_at(most, F.col("length")), F.lit(1))
-    keyed = cut_pieces.withColumn("_p_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), chunks).cast("int"))
+    keyed = cut_pieces.withColumn("_p_chunk", F.pmod(F.xxhash64("_p_row"), chunks).cast("int"))
     sizes = keyed.groupBy("length", "_p_chunk").agg(F.count("*").alias("_p_n"))
     before = Window.partitionBy("length").orderBy("_p_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_p_before", F.coalesce(F.sum("_p_n").over(before), F.lit(0))).drop("_p_n")
-    within = Window.partitionBy("length", "_p_chunk").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "_p_chunk").orderBy("_p_row")
     ranked = (
         keyed.withColumn("_p_rank", F.row_number().over(within) - 1)
         .join(sizes, ["length", "_p_chunk"])

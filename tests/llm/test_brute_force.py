@@ -88,6 +88,44 @@ def test_packing(spark, sf_dir):
     assert got.sequence_id.nunique() <= 1.02 * -(-got.length.sum() // 4096) + 1
 
 
+def test_packing_finds_complements_that_exist():
+    """The index gives a single, pair or triple for a gap exactly when there is one."""
+    import random
+
+    for seed in range(200):
+        rng = random.Random(seed)
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 9))}
+        index = packing.SumIndex(counts, 60)
+        bag = [n for n, c in counts.items() for _ in range(c)]
+        for total in range(1, 61):
+            beside = [rng.choice(bag)]
+            rest = list(bag)
+            rest.remove(beside[0])
+            two = {a + b for i, a in enumerate(rest) for b in rest[:i]}
+            three = {a + b + c for i, a in enumerate(rest) for j, b in enumerate(rest[:i]) for c in rest[:j]}
+            for found, exists in ((index.single(total, beside), total in rest), (index.pair(total, beside), total in two), (index.triple(total, beside), total in three)):
+                assert (found is not None) == exists
+                assert found is None or (sum(found) == total and index.times([*beside, *found]) > 0)
+        n = rng.choice(bag)  # availability falls, and the cursors with it
+        index.left[n] -= 1
+        bag.remove(n)
+
+
+def test_packing_uses_exact_complements():
+    """Lengths that only pairs and triples complete leave no gap."""
+    counts = {4000: 10, 96: 4, 50: 3, 46: 3, 30: 6, 36: 3}
+    plan = packing.plan_patterns(counts)
+    assert sum(p.times for p in plan) == 10 and all(sum(n * k for n, k in p.items) == 4096 for p in plan)
+
+
+def test_packing_one_row_many_times(spark):
+    d = spark.createDataFrame([(1, "a few words")] * 3000 + [(2, None)] * 10, "doc_id long, text string")
+    got = packing.pack(d, chunk_rows=100).toPandas()
+    assert len(got) == 3010 and not got.duplicated(["sequence_id", "offset"]).any()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == [0, *g.length.cumsum()[:-1]]
+
+
 def test_mixing(spark, sf_dir):
     got = mixing.op1_sainte_lague_mix(spark, sf_dir).toPandas()
     assert (got.taken <= 2 * got["size"]).all()
@@ -97,6 +135,17 @@ def test_mixing(spark, sf_dir):
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
 
 
+def test_mixing_deals_one_id_to_many_cells(spark):
+    """An id or a text that a third of all rows share isn't one cell's."""
+    rows = [(7 if i % 3 else i, "the same words " * 40 if i % 2 else f"w{i} " * 120, "web") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.MixPlan(cell_words=1200)
+    order = [r["h"] for r in d.select(mixing.hash_int(mixing.F.lit("mix-1"), mixing.F.col("doc_id").cast("string"), mixing.F.md5("text")).alias("h")).where("doc_id = 7").collect()]
+    assert len({h % 60 for h in order}) > 40
+    got = mixing.mix(d, plan).agg({"_m_taken": "sum", "_m_target": "max"}).first()
+    assert abs(got[0] - got[1]) <= 0.03 * got[1] or abs(got[1] - got[0]) <= 0.03 * got[0]
+
+
 def test_mixed_texts_have_the_words_taken(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     taken = {r["doc_id"]: r["_m_taken"] for r in mixing.mix(docs).select("doc_id", "_m_taken").collect()}
