@@ -2,13 +2,13 @@
 
 A fingerprint votes over the XXH64 of all word shingles of a whole text. Distinct
 fingerprints are dealt into shards that any two fingerprints within the radius
-share at least once: the 64 bits make four segments of 16, and two differing
-bits leave two segments alike, so each of the six pairs of segments is a key. A
-shard's BK-tree is built in the task that holds the shard; the trees of all
-fingerprints have no size bound, so they aren't broadcast. Shards above
-``shard_rows`` fingerprints are dealt again by parts of the bits that aren't
-fixed yet, until at most 2^14 fingerprints can share a key, so no shard is
-unbounded and none is skipped.
+share at least once: two differing bits leave one third of the 64 bits alike, so
+each third's value is a key. A shard's BK-tree is built in the task that holds
+the shard, and every member looks for its neighbours along the edges within the
+radius. The trees of all fingerprints have no size bound, so they aren't
+broadcast. Shards above ``shard_rows`` fingerprints are dealt again by thirds of
+the bits that aren't fixed yet, until at most 2^14 fingerprints can share a key,
+so no shard is unbounded and none is skipped.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any
 other; a text of fewer words than a shingle is one shingle; ties of a bit (half
@@ -30,12 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orestrata.llm.common import cut, small_batches, table
+from orestrata.llm.common import cut, small_batches, spread_join, table
 from orestrata.llm.components import components
 
 #: Shingles summed at a time, so that one very long text needs bounded memory.
 _BLOCK = 1 << 16
-_PAIRS = [(a, b) for a in range(4) for b in range(a)]
+#: How often bits are dealt in thirds: 64 bits leave 42, 28, 18 and then 12 open.
+_DEPTHS = 4
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -109,9 +110,6 @@ class BKTree:
 
 def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     """Links that join what lies within the radius, directly or by steps, inside one shard: (value, least of its group)."""
-    if len(values) == 2:
-        a, b = values
-        return [(max(a, b), min(a, b))] if (a ^ b).bit_count() <= radius else []
     up = list(range(len(values)))
 
     def root(i: int) -> int:
@@ -130,45 +128,26 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return [(x, values[root(i)]) for i, x in enumerate(values) if root(i) != i]
 
 
-def _segment(fp: Column, low: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
-
-
-def _first_keys(fps: DataFrame) -> DataFrame:
-    """Six rows a fingerprint: ``path`` (which bits are fixed), ``key`` (their values)."""
-    keys = [
-        F.struct(F.lit(i).alias("path"), F.shiftleft(_segment(F.col("fp"), 16 * a, 16), 16).bitwiseOR(_segment(F.col("fp"), 16 * b, 16)).alias("key"))
-        for i, (a, b) in enumerate(_PAIRS)
-    ]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.path", "k.key")
+def _thirds(free: list[int]) -> list[list[int]]:
+    k = -(-len(free) // 3)
+    return [free[:k], free[k : 2 * k], free[2 * k :]]
 
 
 def _free_bits(path: int, depth: int) -> list[int]:
-    """The bits, lowest first, that a path leaves open. A path's digits in base 3 (after the pair's number) are the thirds chosen."""
-    choices = []
-    for _ in range(depth):
-        choices.append(path % 3)
-        path //= 3
-    fixed = {b for s in _PAIRS[path] for b in range(16 * s, 16 * s + 16)}
-    free = [b for b in range(64) if b not in fixed]
-    for c in reversed(choices):
-        third = _thirds(free)[c]
-        free = [b for b in free if b not in third]
+    """The bits, lowest first, that a path leaves open. A path's digits in base 3 are the thirds chosen, the last one last."""
+    free = list(range(64))
+    for k in reversed(range(depth)):
+        chosen = set(_thirds(free)[path // 3**k % 3])
+        free = [b for b in free if b not in chosen]
     return free
 
 
-def _thirds(free: list[int]) -> list[list[int]]:
-    k = -(-len(free) // 3)
-    return [free[:k], free[k : 2 * k], free[2 * k :]]
-
-
-def _deeper_keys(rows: DataFrame, depth: int) -> DataFrame:
-    """Three rows for each of ``rows``: the open bits in thirds, one of which two fingerprints with two differing bits share."""
-    paths = [p for p in range(6 * 3**depth)]
+def _dealt(rows: DataFrame, depth: int) -> DataFrame:
+    """Three rows for each of ``rows`` (``fp, path, key``): the open bits in thirds, one of which two fingerprints with two differing bits share."""
     out = None
     for c in range(3):
         # The values of the chosen bits, by path; xxhash64 makes them a part of the key.
-        masks = {p: sum(1 << b for b in _thirds(_free_bits(p, depth))[c]) for p in paths}
+        masks = {p: sum(1 << b for b in _thirds(_free_bits(p, depth))[c]) for p in range(3**depth)}
         mask = F.element_at(F.create_map(*[F.lit(x) for p, m in masks.items() for x in (p, m - (1 << 64) if m >= 1 << 63 else m)]), F.col("path"))
         one = rows.select("fp", (F.col("path") * 3 + c).alias("path"), F.xxhash64("key", F.col("fp").bitwiseAND(mask)).alias("key"))
         out = one if out is None else out.unionByName(one)
@@ -207,32 +186,32 @@ def links(fps: DataFrame, radius: int = 2, shard_rows: int = 2048) -> DataFrame:
         yield of(*rest)
 
     out = None
-    rows = _first_keys(fps)
-    for depth in range(4):
+    rows = _dealt(fps.select("fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("key")), 0)
+    for depth in range(_DEPTHS):
         counts = rows.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
         large = cut(counts.where(F.col("n") > shard_rows).select("path", "key"))
-        deeper = depth < 3 and not large.isEmpty()
+        deeper = depth + 1 < _DEPTHS and not large.isEmpty()
         fit = rows.join(large, ["path", "key"], "left_anti") if deeper else rows
         shards = fit.select(F.col("path").cast("long"), "key", "fp").repartition("path", "key").sortWithinPartitions("path", "key", "fp")
         found = shards.mapInArrow(run, "a long, b long")
         out = found if out is None else out.unionByName(found)
         if not deeper:
             return out
-        rows = _deeper_keys(rows.join(large, ["path", "key"], "left_semi"), depth)
+        rows = _dealt(rows.join(large, ["path", "key"], "left_semi"), depth + 1)
     return out
 
 
 def fingerprint_groups(by_doc: DataFrame, radius: int = 2) -> DataFrame:
-    """``fp, root, component_id`` of every distinct fingerprint of ``by_doc`` (``doc_id, fp``).
+    """``fp, n, root, component_id`` of every distinct fingerprint of ``by_doc`` (``doc_id, fp``), ``n`` of whose rows have it.
 
     ``root`` is a fingerprint of the group; where an id has several texts, groups can share a ``component_id``.
     """
-    groups = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    groups = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(links(groups.select("fp"), radius))
     linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp")
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(best, "root").select("fp", "root", "component_id")
-    return groups.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return groups.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
@@ -246,7 +225,7 @@ def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     if by_doc.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
         return docs.join(each.select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*docs.columns)
     # The least (id, fingerprint) of each group, null ids last; of its equal rows, any one.
-    ranked = by_doc.distinct().join(each, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
+    ranked = spread_join(by_doc.distinct(), each, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
     stay = ranked.select(F.col("s.doc_id").alias("_s_id"), F.col("s.fp").alias("_s_fp"))
     small_batches(docs.sparkSession)
 
@@ -263,11 +242,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     """``doc_id, fp, component_id`` of every document.
 
     Only distinct fingerprints are compared, so exact copies meet nowhere; the
-    sums over copies combine on the map side.
+    sums over copies combine on the map side, and the rows of a common
+    fingerprint are spread over tasks when they get their component.
     """
     by_doc = cut(fingerprints(docs, width))
-    each = fingerprint_groups(by_doc, radius)
-    return by_doc.join(each, "fp").select("doc_id", "fp", "component_id")
+    each = cut(fingerprint_groups(by_doc, radius))
+    return spread_join(by_doc, each, "fp").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,32 @@ def test_simhash_large_shards(spark):
     assert len({root(v) for v in values}) == 1
 
 
+def test_simhash_thirds_leave_no_pair():
+    """Two fingerprints within the radius share a key at every depth, and a path's open bits get fewer."""
+    import random
+
+    rng = random.Random(5)
+    for depth, open_bits in enumerate((64, 42, 28, 18)):
+        for _ in range(300):
+            path = rng.randrange(3**depth)
+            free = simhash._free_bits(path, depth)
+            assert abs(len(free) - open_bits) <= 3
+            differ = set(rng.sample(free, 2))
+            assert any(not differ & set(t) for t in simhash._thirds(free))
+
+
+def test_simhash_one_fingerprint_many_times(spark):
+    rows = [(i, "the same words as ever" if i % 3 else f"other words {i} and some more {i * 7}") for i in range(2000)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    by_doc = got.cache()
+    each = by_doc.groupBy("fp").agg(mixing.F.count("*").alias("n"), mixing.F.min("component_id").alias("c"))
+    from orestrata.llm.common import spread_join
+
+    joined = spread_join(by_doc, each, "fp", chunk=50).toPandas()
+    assert len(joined) == 2000 and (joined.c == joined.component_id).all()
+    assert (joined[joined.doc_id % 3 != 0].component_id == 1).all()
+
+
 def test_packing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
     got = packing.op7_exact_complement_packing(spark, sf_dir).toPandas()
