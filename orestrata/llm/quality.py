@@ -1,14 +1,15 @@
 """Quality rules: per-document measures and cross-document line frequency.
 
 DataFrame functions only. A host's boilerplate is found by hashing normalised
-lines and counting, for each host, the distinct documents that hold a line.
-Lines above the limit are taken out (``_q_text`` is the text without them), and
-documents that they leave depleted are rejected.
+lines and counting, for each host, the distinct documents that hold a line, and
+how many different texts these documents have. Lines above both limits are taken
+out (``_q_text`` is the text without them), and documents that they leave
+depleted are rejected.
 
 Defined cases: a null text counts as empty (no words, so it fails the base
-rules); an empty table gives no rows; repeated rows are judged alike, and exact
-copies of a text count as one document in the line counts, so that copies alone
-never make a line boilerplate; a null host is a host of its own; columns other
+rules); an empty table gives no rows; repeated rows are judged alike, and each
+counts as a document, but copies of a few texts alone never make a line
+boilerplate: deduplication is left with one of them; a null host is a host of its own; columns other
 than the three that are read pass through ``judge`` untouched, whatever their
 names (internal columns start with ``_q_``).
 """
@@ -20,34 +21,32 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orestrata.llm.common import SPACE, WORD, cut, table, words
+from orestrata.llm.common import SPACE, WORD, cut, spread_join, table, words
 
 
 @dataclass(frozen=True)
 class QualityRules:
     """Limits of the rules.
 
-    A line is boilerplate on a host when more than ``min_documents`` distinct
-    documents of the host, and more than ``host_share`` of them, hold it. A
-    document is depleted when fewer than ``min_words`` words, or less than
-    ``min_left`` of its words, lie outside boilerplate lines.
+    A line is boilerplate on a host when more than ``min_documents`` documents of
+    the host, with more than ``min_texts`` different texts, hold it. A document is
+    depleted when fewer than ``min_words`` words, or less than ``min_left`` of its
+    words, lie outside boilerplate lines.
     """
 
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
     min_documents: int = 20
-    host_share: float = 0.1
+    min_texts: int = 5
     min_left: float = 0.3
 
 
 RULES = QualityRules()
-#: The pipeline's: a count of documents that doesn't rise with the source. (``RULES`` are those that op3's SQL restates.)
-CORPUS_RULES = QualityRules(host_share=0.0)
-#: Lists of up to so many lines (8 bytes each) are broadcast.
+#: The pipeline's: groups of near copies, of which one document is to stay, share their lines in many texts.
+CORPUS_RULES = QualityRules(min_texts=20)
+#: Lists of up to so many lines (8 bytes each) are broadcast; beyond that they meet the documents in a shuffle.
 BROADCAST_LINES = 100_000
-#: A host's list of up to so many lines goes to all its documents; of longer ones a document gets the lines that it holds.
-HOST_LINES = 4000
 
 
 def line_key(line: Column) -> Column:
@@ -105,77 +104,62 @@ def measures(docs: DataFrame, rules: QualityRules = RULES, text: str = "text") -
     )
 
 
-def _line_rows(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """One small row per host and document with hashes and word counts of its lines."""
-    x = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(x, "\n", -1), lambda s: s.rlike(WORD))
-    return docs.select(
-        F.col(host).alias("_q_host"),
-        F.xxhash64(x).alias("_q_copy"),
-        F.transform(lines, lambda s: F.struct(F.xxhash64(line_key(s)).alias("h"), F.regexp_count(s, F.lit(WORD)).alias("n"))).alias("_q_hashed"),
-    )
+def _lines(text: str) -> Column:
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda s: s.rlike(WORD))
+
+
+def _copy(text: str, host: str) -> Column:
+    """A key of host and text, alike for copies."""
+    return F.xxhash64(F.col(host), F.coalesce(F.col(text), F.lit("")))
+
+
+def _host_line(line: Column, host: str) -> Column:
+    """A key of host and normalised line."""
+    return F.xxhash64(F.col(host), F.xxhash64(line_key(line)))
 
 
-def boilerplate(docs: DataFrame, rules: QualityRules = RULES, text: str = "text", host: str = "source") -> DataFrame:
-    """Lines above the limits: ``_q_host``, ``_q_line`` (hash) and ``_q_docs``.
+def line_rows(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """``_q_copy, _q_lines``: one small row a document with the keys of its distinct lines."""
+    return docs.select(_copy(text, host).alias("_q_copy"), F.array_distinct(F.transform(_lines(text), lambda s: _host_line(s, host))).alias("_q_lines"))
 
-    Copies are merged before anything is counted, and both counts combine on
-    the map side, so neither a large host nor a line that all documents share
-    meets in one task.
+
+def boilerplate(rows: DataFrame, rules: QualityRules = RULES) -> DataFrame:
+    """``_q_line, n``: the keys of lines above the limits, and how many documents hold them. ``rows`` are those of ``line_rows``.
+
+    Copies are merged before texts are counted, and both counts combine on the
+    map side, so neither a large host nor a line that all documents share meets
+    in one task.
     """
-    rows = _line_rows(docs, text, host)
-    lines = rows.select("_q_host", "_q_copy", F.explode(F.array_distinct(F.transform("_q_hashed", lambda s: s["h"]))).alias("_q_line")).distinct()
-    counted = lines.groupBy("_q_host", "_q_line").agg(F.count("*").alias("_q_docs")).where(F.col("_q_docs") > rules.min_documents)
-    hosts = rows.select("_q_host", "_q_copy").distinct().groupBy("_q_host").agg(F.count("*").alias("_q_host_docs"))
-    return (
-        counted.alias("l")
-        .join(hosts.alias("h"), F.col("l._q_host").eqNullSafe(F.col("h._q_host")))
-        .where(F.col("_q_docs") > F.lit(rules.host_share) * F.col("_q_host_docs"))
-        .select("l._q_host", "_q_line", "_q_docs")
-    )
+    held = rows.select("_q_copy", F.explode("_q_lines").alias("_q_line"))
+    texts = held.groupBy("_q_line", "_q_copy").agg(F.count("*").alias("n"))
+    counted = texts.groupBy("_q_line").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    return counted.where((F.col("n") > rules.min_documents) & (F.col("texts") > rules.min_texts)).select("_q_line", "n")
 
 
 def judge(docs: DataFrame, rules: QualityRules = RULES, text: str = "text", host: str = "source") -> DataFrame:
     """``docs`` with the measures, ``_q_left`` (words outside boilerplate), ``_q_text`` (the text without its boilerplate lines) and ``_q_kept``.
 
-    With a share, a host has no more lines above its limit than 1 / host_share
-    times the lines of its average document, so a host's list is short; without
-    one it grows with the host, and beyond ``HOST_LINES`` lines a document is
-    joined with those of them alone that it holds. Lists are broadcast if they
-    hold ``BROADCAST_LINES`` lines at most; beyond that the join is left to a
-    shuffle, which splits large hosts.
+    Only small rows of line keys meet the lines above the limits. A text with
+    such lines gets their keys, as a broadcast list of up to ``BROADCAST_LINES``
+    or else by a shuffle of the documents by copies.
     """
-    flagged_lines = cut(boilerplate(docs, rules, text, host))
-    most = flagged_lines.groupBy("_q_host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    own = most > HOST_LINES
-    if own:
-        rows = _line_rows(docs, text, host)
-        rows = rows.select("_q_host", "_q_copy", F.explode(F.array_distinct(F.transform("_q_hashed", lambda s: s["h"]))).alias("_q_line")).distinct()
-        lists = flagged_lines.select(F.col("_q_host").alias("_q_of"), F.col("_q_line").alias("_q_flag"))
-        lists = F.broadcast(lists) if flagged_lines.count() <= BROADCAST_LINES else lists
-        held = rows.join(lists, rows["_q_host"].eqNullSafe(lists["_q_of"]) & (rows["_q_line"] == lists["_q_flag"]))
-        bad = cut(held.groupBy("_q_host", "_q_copy").agg(F.collect_list("_q_line").alias("_q_bad")))
-    else:
-        bad = cut(flagged_lines.groupBy("_q_host").agg(F.collect_set("_q_line").alias("_q_bad")))
-    if bad.agg(F.count("*") + F.coalesce(F.sum(F.size("_q_bad")), F.lit(0))).first()[0] <= BROADCAST_LINES:
+    rows = cut(line_rows(docs, text, host))
+    above = cut(boilerplate(rows, rules))
+    held = rows.select("_q_copy", F.explode("_q_lines").alias("_q_line"))
+    held = held.join(F.broadcast(above.drop("n")), "_q_line") if above.count() <= BROADCAST_LINES else spread_join(held, above, "_q_line")
+    bad = cut(held.groupBy("_q_copy").agg(F.collect_set("_q_line").alias("_q_bad")))
+    if (bad.agg(F.count("*") + F.sum(F.size("_q_bad"))).first()[0] or 0) <= BROADCAST_LINES:
         bad = F.broadcast(bad)
-    x = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(x, "\n", -1), lambda s: s.rlike(WORD))
-    measured = measures(docs, rules, text).withColumn(
-        "_q_hashed", F.transform(lines, lambda s: F.struct(F.xxhash64(line_key(s)).alias("h"), F.regexp_count(s, F.lit(WORD)).alias("n")))
-    )
-    same = measured[host].eqNullSafe(bad["_q_host"])
-    if own:
-        same = same & (F.xxhash64(x) == bad["_q_copy"])
-    joined = measured.join(bad, same, "left").drop("_q_host", "_q_copy")
-    flagged = lambda h: F.coalesce(F.array_contains("_q_bad", h), F.lit(False))
-    gone = F.aggregate(F.filter("_q_hashed", lambda s: flagged(s["h"])), F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    joined = measures(docs, rules, text).withColumn("_q_copy", _copy(text, host)).join(bad, "_q_copy", "left").drop("_q_copy")
+    flagged = lambda s: s.rlike(WORD) & F.array_contains("_q_bad", _host_line(s, host))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    some = F.col("_q_bad").isNotNull()
+    gone = F.aggregate(F.filter(lines, flagged), F.lit(0).cast("long"), lambda a, s: a + F.regexp_count(s, F.lit(WORD)))
     kept = ~F.col("_q_base_failed") & (F.col("_q_left") >= rules.min_words) & (F.col("_q_left") >= F.lit(rules.min_left) * F.col("_q_n_words"))
     # Exploding one verdict keeps a filter on it above: pushed down, it would repeat the measures within one another.
-    out = joined.withColumn("_q_left", F.col("_q_n_words") - gone).withColumn("_q_kept", F.explode(F.array(kept)))
-    # A flagged line has words, so without one the text is as it was.
-    rest = F.array_join(F.filter(F.split(x, "\n", -1), lambda s: ~(s.rlike(WORD) & flagged(F.xxhash64(line_key(s))))), "\n")
-    return out.withColumn("_q_text", F.when(F.col("_q_left") < F.col("_q_n_words"), rest).otherwise(F.col(text))).drop("_q_bad", "_q_hashed")
+    out = joined.withColumn("_q_left", F.col("_q_n_words") - F.when(some, gone).otherwise(0)).withColumn("_q_kept", F.explode(F.array(kept)))
+    rest = F.array_join(F.filter(lines, lambda s: ~flagged(s)), "\n")
+    return out.withColumn("_q_text", F.when(some, rest).otherwise(F.col(text))).drop("_q_bad")
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,10 +193,7 @@ lw as (select rid, source, text, line,
   from ln),
 lx as (select * from lw where n > 0),
 dl as (select rid, count(*) - count(distinct line) as n from lx group by rid),
-cnt as (select source, k, count(distinct text) as c from lx group by source, k),
-hs as (select source, count(distinct text) as c from d group by source),
-bad as (select cnt.source, k from cnt join hs on cnt.source is not distinct from hs.source
-  where cnt.c > 20 and cnt.c > 0.1::double * hs.c),
+bad as (select source, k from lx group by source, k having count(distinct rid) > 20 and count(distinct text) > 5),
 gone as (select rid, sum(n) as n from lx join bad on lx.source is not distinct from bad.source and lx.k = bad.k group by rid),
 m as (select d.rid, doc_id, len(ws)::bigint as n_words,
     length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
