@@ -96,7 +96,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread_join(rows: DataFrame, few: DataFrame, key: str, chunk: int = 4096, most_keys: int = 1_000_000) -> DataFrame:
+def spread_join(rows: DataFrame, few: DataFrame, key: str, n: str = "n", chunk: int = 4096, most_keys: int = 1_000_000) -> DataFrame:
     """``rows`` joined with ``few``, which has one row a key and in ``n`` how many of ``rows`` may have it.
 
     Rows of a key that more than ``chunk`` rows have are dealt into parts, and the
@@ -105,9 +105,11 @@ def spread_join(rows: DataFrame, few: DataFrame, key: str, chunk: int = 4096, mo
     ``most_keys`` (24 bytes each), and beyond that the join is left to the
     engine's own splitting of skewed partitions.
     """
-    hot = cut(few.where(F.col("n") > chunk).select(key, F.ceil(F.col("n") / chunk).cast("int").alias("_s_parts")))
+    parts = F.when(F.col(n) > chunk, F.ceil(F.col(n) / chunk).cast("int")).otherwise(1)
+    hot = cut(few.where(F.col(n) > chunk).select(key, parts.alias("_s_parts")))
     if not 0 < hot.count() <= most_keys:
         return rows.join(few, key)
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("_s_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_s_parts", F.lit(1))).cast("int"))
-    copies = few.withColumn("_s_part", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > chunk, F.ceil(F.col("n") / chunk).cast("int") - 1).otherwise(0))))
+    left = rows.join(F.broadcast(hot), key, "left")
+    left = left.withColumn("_s_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_s_parts", F.lit(1))).cast("int"))
+    copies = few.withColumn("_s_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(copies, [key, "_s_part"]).drop("_s_part", "_s_parts")

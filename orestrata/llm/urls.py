@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orestrata.llm.common import table
+from orestrata.llm.common import cut, spread_join, table
 
 # The rules of the registered query (host and path beginning, verdict).
 RULES = [
@@ -82,14 +82,15 @@ def _strength(level: DataFrame, by: list[str]) -> DataFrame:
 
 
 def reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """``_u_host``, posterior ``_u_alpha`` and ``_u_beta`` of its blocked pages, and the lower bound ``_u_bound``.
+    """``_u_host``, ``n`` (its rows in ``hosts``), posterior ``_u_alpha`` and ``_u_beta`` of its blocked pages, and the lower bound ``_u_bound``.
 
-    ``outcomes`` has ``_u_host`` and ``_u_blocked`` (0 or 1); every host in
-    ``hosts`` gets a row. Counts combine on the map side, and from there on all
-    tables have a row per host, per domain or per suffix.
+    ``outcomes`` has ``_u_host`` and ``_u_blocked`` (0 or 1); every host of
+    either table gets a row. Counts combine on the map side, and from there on
+    all tables have a row per host, per domain or per suffix.
     """
     counts = outcomes.groupBy("_u_host").agg(F.count("*").alias("n"), F.sum("_u_blocked").alias("k"))
-    h = hosts.select("_u_host").distinct().join(counts, "_u_host", "left").na.fill(0, ["n", "k"])
+    pages = hosts.groupBy("_u_host").agg(F.count("*").alias("_u_pages"))
+    h = pages.join(counts, "_u_host", "full").na.fill(0, ["n", "k", "_u_pages"])
     h = h.withColumn("dom", domain_of(F.col("_u_host"))).withColumn("suf", suffix_of(F.col("_u_host")))
     d = h.groupBy("suf", "dom").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     s = d.groupBy("suf").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -105,7 +106,7 @@ def reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     h2 = h2.withColumn("_u_alpha", a).withColumn("_u_beta", b)
     t = F.col("_u_alpha") + F.col("_u_beta")
     deviation = F.sqrt(F.col("_u_alpha") * F.col("_u_beta") / (t * t * (t + 1)))
-    return h2.select("_u_host", "_u_alpha", "_u_beta", F.round(F.col("_u_alpha") / t - Z * deviation, 9).alias("_u_bound"))
+    return h2.select("_u_host", F.col("_u_pages").alias("n"), "_u_alpha", "_u_beta", F.round(F.col("_u_alpha") / t - Z * deviation, 9).alias("_u_bound"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, outcomes: DataFrame | None = None, url: str = "url") -> DataFrame:
@@ -119,8 +120,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, outcomes: Data
     p = p.withColumn("_u_ruled", verdict)
     if outcomes is None:
         outcomes = p.where(F.col("_u_ruled").isNotNull()).select("_u_host", (F.col("_u_ruled") == "block").cast("int").alias("_u_blocked"))
-    r = reputation(p, outcomes)
-    p = p.join(r.drop("_u_alpha", "_u_beta"), "_u_host", "left")
+    r = cut(reputation(p, outcomes).select("_u_host", F.col("n").alias("_u_n"), "_u_bound"))
+    p = spread_join(p, r, "_u_host", n="_u_n").drop("_u_n")
     method = F.when(F.col("_u_bound") > LIMIT, "block").otherwise("allow")
     return p.withColumn("_u_verdict", F.coalesce("_u_ruled", method)).drop("_u_ruled")
 
