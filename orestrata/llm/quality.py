@@ -46,7 +46,7 @@ RULES = QualityRules()
 #: The pipeline's: groups of near copies, of which one document is to stay, share their lines in many texts.
 CORPUS_RULES = QualityRules(min_texts=20)
 #: Lists of up to so many lines (8 bytes each) are broadcast; beyond that they meet the documents in a shuffle.
-BROADCAST_LINES = 100_000
+BROADCAST_LINES = 1_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -119,8 +119,9 @@ def _host_line(line: Column, host: str) -> Column:
 
 
 def line_rows(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """``_q_copy, _q_lines``: one small row a document with the keys of its distinct lines."""
-    return docs.select(_copy(text, host).alias("_q_copy"), F.array_distinct(F.transform(_lines(text), lambda s: _host_line(s, host))).alias("_q_lines"))
+    """``_q_copy, _q_lines``: one small row a document with the keys ``k`` of its lines and their words ``n``."""
+    line = F.transform(_lines(text), lambda s: F.struct(_host_line(s, host).alias("k"), F.regexp_count(s, F.lit(WORD)).alias("n")))
+    return docs.select(_copy(text, host).alias("_q_copy"), line.alias("_q_lines"))
 
 
 def boilerplate(rows: DataFrame, rules: QualityRules = RULES) -> DataFrame:
@@ -130,36 +131,41 @@ def boilerplate(rows: DataFrame, rules: QualityRules = RULES) -> DataFrame:
     map side, so neither a large host nor a line that all documents share meets
     in one task.
     """
-    held = rows.select("_q_copy", F.explode("_q_lines").alias("_q_line"))
+    held = rows.select("_q_copy", F.explode(F.array_distinct(F.transform("_q_lines", lambda s: s["k"]))).alias("_q_line"))
     texts = held.groupBy("_q_line", "_q_copy").agg(F.count("*").alias("n"))
     counted = texts.groupBy("_q_line").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
     return counted.where((F.col("n") > rules.min_documents) & (F.col("texts") > rules.min_texts)).select("_q_line", "n")
 
 
+def _above_limits(rows: DataFrame, rules: QualityRules) -> DataFrame:
+    """``_q_copy, _q_gone, _q_bad``: of texts with lines above the limits, these lines' words and keys."""
+    above = cut(boilerplate(rows, rules))
+    held = rows.select("_q_copy", F.posexplode("_q_lines").alias("_q_at", "_q_l")).select("_q_copy", "_q_at", F.col("_q_l.k").alias("_q_line"), F.col("_q_l.n").alias("_q_n"))
+    held = held.join(F.broadcast(above.drop("n")), "_q_line") if above.count() <= BROADCAST_LINES else spread_join(held, above, "_q_line")
+    # Copies have the same lines at the same places.
+    once = held.groupBy("_q_copy", "_q_at").agg(F.min("_q_line").alias("_q_line"), F.min("_q_n").alias("_q_n"))
+    return once.groupBy("_q_copy").agg(F.sum("_q_n").alias("_q_gone"), F.collect_set("_q_line").alias("_q_bad"))
+
+
 def judge(docs: DataFrame, rules: QualityRules = RULES, text: str = "text", host: str = "source") -> DataFrame:
     """``docs`` with the measures, ``_q_left`` (words outside boilerplate), ``_q_text`` (the text without its boilerplate lines) and ``_q_kept``.
 
-    Only small rows of line keys meet the lines above the limits. A text with
-    such lines gets their keys, as a broadcast list of up to ``BROADCAST_LINES``
-    or else by a shuffle of the documents by copies.
+    Only small rows of line keys meet the lines above the limits. What they find
+    for a text is broadcast up to ``BROADCAST_LINES`` lines, and beyond that
+    meets the measures in a shuffle by copies, which takes the texts along only
+    where ``_q_text`` is used.
     """
     rows = cut(line_rows(docs, text, host))
-    above = cut(boilerplate(rows, rules))
-    held = rows.select("_q_copy", F.explode("_q_lines").alias("_q_line"))
-    held = held.join(F.broadcast(above.drop("n")), "_q_line") if above.count() <= BROADCAST_LINES else spread_join(held, above, "_q_line")
-    bad = cut(held.groupBy("_q_copy").agg(F.collect_set("_q_line").alias("_q_bad")))
+    bad = cut(_above_limits(rows, rules))
     if (bad.agg(F.count("*") + F.sum(F.size("_q_bad"))).first()[0] or 0) <= BROADCAST_LINES:
         bad = F.broadcast(bad)
     joined = measures(docs, rules, text).withColumn("_q_copy", _copy(text, host)).join(bad, "_q_copy", "left").drop("_q_copy")
-    flagged = lambda s: s.rlike(WORD) & F.array_contains("_q_bad", _host_line(s, host))
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    some = F.col("_q_bad").isNotNull()
-    gone = F.aggregate(F.filter(lines, flagged), F.lit(0).cast("long"), lambda a, s: a + F.regexp_count(s, F.lit(WORD)))
     kept = ~F.col("_q_base_failed") & (F.col("_q_left") >= rules.min_words) & (F.col("_q_left") >= F.lit(rules.min_left) * F.col("_q_n_words"))
     # Exploding one verdict keeps a filter on it above: pushed down, it would repeat the measures within one another.
-    out = joined.withColumn("_q_left", F.col("_q_n_words") - F.when(some, gone).otherwise(0)).withColumn("_q_kept", F.explode(F.array(kept)))
-    rest = F.array_join(F.filter(lines, lambda s: ~flagged(s)), "\n")
-    return out.withColumn("_q_text", F.when(some, rest).otherwise(F.col(text))).drop("_q_bad")
+    out = joined.withColumn("_q_left", F.col("_q_n_words") - F.coalesce("_q_gone", F.lit(0))).withColumn("_q_kept", F.explode(F.array(kept)))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    rest = F.array_join(F.filter(lines, lambda s: ~(s.rlike(WORD) & F.array_contains("_q_bad", _host_line(s, host)))), "\n")
+    return out.withColumn("_q_text", F.when(F.col("_q_bad").isNotNull(), rest).otherwise(F.col(text))).drop("_q_bad", "_q_gone")
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
