@@ -265,7 +265,7 @@ def plan_table(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 _RANK_BITS = 48
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 4096, end_id: int = 1, chunk_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = 4096, end_id: int = 1, chunk_rows: int = 1000) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``.
 
     To the driver come at most ``capacity`` rows (the histogram); the plan that is
