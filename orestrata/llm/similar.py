@@ -7,9 +7,14 @@ similarity 0.8, two texts share one of 20 bands of 3 with a probability of
 1 - 6e-7 (1 - 2e-11 at 0.9), and every pair of a shard is then decided by the
 exact similarity of both whole texts.
 
-No two rows that stay share a band and reach the similarity. Shards above
-``shard_rows`` are dealt into random parts first, and what stays is dealt
-again as long as that removes rows; pairs that still meet are compared in full.
+Rows are compared in turns. In a turn, shards are dealt into parts of about
+``shard_rows`` rows, and the rows of a part are compared with its least row
+alone; what is similar to it goes. Texts meet once for each such pair, and only
+those that have one. When a turn finds nothing more, large shards whose rows are
+no copies are dealt again by a second band that two rows share (similar rows do
+with a probability of 1 - 1e-6), and at last the few rows that still share a
+shard are compared with each other. So no two rows that stay share a shard and
+reach the similarity, and whatever goes is similar to a lesser row.
 
 Defined cases: a null or empty text has one shingle, the empty one; a text of
 fewer words than a shingle is one shingle; ids may repeat or be null, null ids
@@ -27,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orestrata.llm.common import cut, small_batches, stored
-from orestrata.llm.components import components
 
 BANDS, ROWS = 20, 3
 #: Shingles hashed at a time, so that one very long text needs bounded memory.
@@ -76,20 +80,33 @@ def _keys(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, keys array<long>")
 
 
-def _alike(pairs: DataFrame, rows: DataFrame, least: float, width: int) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose texts reach the similarity."""
+def _alike(pairs: DataFrame, rows: DataFrame, least: float, width: int, most: int = 1_000_000) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose texts reach the similarity. The text of ``a`` and those of its partners meet in one task, in a stream.
+
+    Up to ``most`` pairs (16 bytes each) go to the texts as a broadcast, so that only texts with a pair are moved."""
+    pairs = cut(pairs)
+    few = F.broadcast if pairs.count() <= most else lambda d: d
+    first = rows.join(few(pairs.select(F.col("a").alias("id")).distinct()), "id").select(F.col("id").alias("a"), F.lit(0).alias("kind"), F.col("id").alias("b"), "text")
+    second = rows.join(few(pairs.select("a", F.col("b").alias("id"))), "id").select("a", F.lit(1).alias("kind"), F.col("id").alias("b"), "text")
+    met = first.unionByName(second).repartition("a").sortWithinPartitions("a", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
         for p in batches:
-            last, of, keep = object(), None, []
-            for a, x, y in zip(p.column(0).to_pylist(), p.column(2), p.column(3), strict=True):
-                if a != last:  # neighbours often have the same first text
-                    last, of = a, shingles(x.as_py(), width)
-                keep.append(similarity(of, shingles(y.as_py(), width)) >= least)
+            keep = []
+            for kind, text in zip(p.column(1).to_pylist(), p.column(3), strict=True):
+                grams = shingles(text.as_py(), width)
+                if kind == 0:
+                    of = grams
+                keep.append(kind == 1 and similarity(of, grams) >= least)
             yield p.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first, second = (rows.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _parts(size, shard_rows: int):
+    """As many parts as a shard's size asks for, as a power of two, so that shards of like sizes deal their rows alike."""
+    return F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(F.col(size) / shard_rows)))).cast("int")
 
 
 def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_rows: int = 32) -> DataFrame:
@@ -97,30 +114,40 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
     small_batches(docs.sparkSession)
     docs = stored(docs.withColumn("_j_id", F.monotonically_increasing_id()))
     rows = docs.select(F.col("_j_id").alias("id"), "text")
-    keys = cut(_keys(rows, width)).select("id", "n", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = cut(keys.join(shared, "key", "left_semi"))
-    gone, turn, whole = None, 0, False
+    order = docs.select(F.col("_j_id").alias("id"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("_j_id").alias("i")).alias("o"))
+    keys = cut(_keys(rows, width).join(order, "id"))
+    each = keys.select("id", "o", "n", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    members = cut(each.join(shared, "key", "left_semi"))
+    gone, turn, again, last = None, 0, True, False
     while True:
         sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        parts = F.lit(1) if whole else F.ceil(F.col("size") / shard_rows)
-        dealt = members.join(sizes, "key").select("key", "id", "n", F.pmod(F.xxhash64("id", F.lit(turn)), parts).alias("part"))
-        x, y = dealt.alias("x"), dealt.alias("y")
-        near = (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n"))
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))).where(near)
-        edges = cut(_alike(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), rows, least, width))
-        more = not whole and not sizes.where(F.col("size") > shard_rows).isEmpty()
-        found = not edges.isEmpty()
+        if last:
+            x, y = members.alias("x"), members.alias("y")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.o") < F.col("y.o"))).select(F.col("x.o").alias("lo"), F.col("x.n").alias("m"), "y.id", "y.n")
+        else:
+            dealt = members.join(sizes, "key").select("key", "id", "o", "n", F.pmod(F.xxhash64("id", F.lit(turn)), _parts("size", shard_rows)).alias("part"))
+            lead = dealt.groupBy("key", "part").agg(F.min(F.struct("o", F.col("n").alias("m"))).alias("lead"))
+            pairs = dealt.join(lead, ["key", "part"]).where(F.col("id") != F.col("lead.o.i")).select(F.col("lead.o").alias("lo"), F.col("lead.m").alias("m"), "id", "n")
+        near = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n")
+        lost = cut(_alike(pairs.where(near).select(F.col("lo.i").alias("a"), F.col("id").alias("b")).distinct(), rows, least, width).select(F.col("b").alias("id")).distinct())
+        found = not lost.isEmpty()
         if found:
-            # Of each group the row of the least id stays.
-            named = components(edges).join(docs.select(F.col("_j_id").alias("node"), "doc_id"), "node")
-            best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("stays"))
-            lost = cut(named.join(best, "root").where(F.col("node") != F.col("stays")).select(F.col("node").alias("id")))
             gone = lost if gone is None else gone.unionByName(lost)
-            if more:
-                members = cut(members.join(lost, "id", "left_anti"))
-        if not more:
+            members = cut(members.join(lost, "id", "left_anti"))
+        if last:
             break
-        turn, whole = turn + 1, not found
-    kept = docs if gone is None else docs.join(gone.select(F.col("id").alias("_j_id")), "_j_id", "left_anti")
+        turn += 1
+        if found:
+            continue
+        large = cut(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows).select("key")) if again else None
+        if again and not large.isEmpty():
+            # Rows of large shards that are no copies: dealt by this key and every other one of theirs.
+            wide = members.join(large, "key", "left_semi").join(keys.select("id", F.explode("keys").alias("other")), "id").where("key <> other")
+            members = members.join(large, "key", "left_anti").unionByName(wide.select("id", "o", "n", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).select(*members.columns).distinct())
+            members = cut(members.select("key", "id", "o", "n"))
+            again = False
+        else:
+            last = True
+    kept = docs if gone is None else docs.join(gone.select(F.col("id").alias("_j_id")).distinct(), "_j_id", "left_anti")
     return kept.drop("_j_id")
