@@ -12,7 +12,7 @@ Rows are compared in turns. In a turn, shards are dealt into parts of about
 alone; what is similar to it goes. Texts meet once for each such pair, and only
 those that have one. When a turn finds nothing more, large shards whose rows are
 no copies are dealt again by a second band that two rows share (similar rows do
-with a probability of 1 - 1e-6), and at last the few rows that still share a
+with a probability of 1 - 1e-5), and at last the few rows that still share a
 shard are compared with each other. So no two rows that stay share a shard and
 reach the similarity, and whatever goes is similar to a lesser row.
 
@@ -142,10 +142,13 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
             continue
         large = cut(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows).select("key")) if again else None
         if again and not large.isEmpty():
-            # Rows of large shards that are no copies: dealt by this key and every other one of theirs.
-            wide = members.join(large, "key", "left_semi").join(keys.select("id", F.explode("keys").alias("other")), "id").where("key <> other")
-            members = members.join(large, "key", "left_anti").unionByName(wide.select("id", "o", "n", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).select(*members.columns).distinct())
-            members = cut(members.select("key", "id", "o", "n"))
+            # Rows of large shards that are no copies: dealt by this key and each other one that they share with some row.
+            other = members.select("id", F.col("key").alias("other"))
+            wide = members.join(large, "key", "left_semi").join(other, "id").where("key <> other")
+            both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
+            wide = wide.select(both.alias("key"), "id", "o", "n").distinct()
+            some = wide.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+            members = cut(members.join(large, "key", "left_anti").select(*wide.columns).unionByName(wide.join(some, "key", "left_semi")))
             again = False
         else:
             last = True
