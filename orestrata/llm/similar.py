@@ -10,8 +10,9 @@ exact similarity of both whole texts.
 Rows are compared in turns. In a turn, shards are dealt into parts of about
 ``shard_rows`` rows, and the rows of a part are compared with its least row
 alone; what is similar to it goes. Texts meet once for each such pair, and only
-those that have one. When a turn finds nothing more, large shards whose rows are
-no copies are dealt again by a second band that two rows share (similar rows do
+those that have one. Shards that lose many rows, as groups of copies do, go on
+with another turn. Large shards that don't, because their rows have a passage in
+common and little else, are dealt again by a second band that two rows share (similar rows do
 with a probability of 1 - 1e-5), and at last the few rows that still share a
 shard are compared with each other. So no two rows that stay share a shard and
 reach the similarity, and whatever goes is similar to a lesser row.
@@ -119,14 +120,15 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
     each = keys.select("id", "o", "n", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = cut(each.join(shared, "key", "left_semi"))
-    gone, turn, again, last = None, 0, True, False
+    gone, turn, again, last, active = None, 0, True, False, None
     while True:
-        sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        now = members if active is None else members.join(active, "key", "left_semi")
         if last:
             x, y = members.alias("x"), members.alias("y")
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.o") < F.col("y.o"))).select(F.col("x.o").alias("lo"), F.col("x.n").alias("m"), "y.id", "y.n")
         else:
-            dealt = members.join(sizes, "key").select("key", "id", "o", "n", F.pmod(F.xxhash64("id", F.lit(turn)), _parts("size", shard_rows)).alias("part"))
+            sizes = now.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+            dealt = now.join(sizes, "key").select("key", "id", "o", "n", F.pmod(F.xxhash64("id", F.lit(turn)), _parts("size", shard_rows)).alias("part"))
             lead = dealt.groupBy("key", "part").agg(F.min(F.struct("o", F.col("n").alias("m"))).alias("lead"))
             pairs = dealt.join(lead, ["key", "part"]).where(F.col("id") != F.col("lead.o.i")).select(F.col("lead.o").alias("lo"), F.col("lead.m").alias("m"), "id", "n")
         near = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n")
@@ -134,12 +136,16 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
         found = not lost.isEmpty()
         if found:
             gone = lost if gone is None else gone.unionByName(lost)
-            members = cut(members.join(lost, "id", "left_anti"))
         if last:
             break
         turn += 1
         if found:
-            continue
+            # Shards that lost an eighth of their rows or more are mostly copies and go on so.
+            marked = now.join(lost.withColumn("lost", F.lit(1)), "id", "left").groupBy("key").agg(F.count("*").alias("size"), F.count("lost").alias("lost"))
+            active = cut(marked.where((8 * F.col("lost") >= F.col("size")) & (F.col("size") - F.col("lost") > 1)).select("key"))
+            members = cut(members.join(lost, "id", "left_anti"))
+            if not active.isEmpty():
+                continue
         large = cut(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows).select("key")) if again else None
         if again and not large.isEmpty():
             # Rows of large shards that are no copies: dealt by this key and each other one that they share with some row.
@@ -147,8 +153,8 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
             wide = members.join(large, "key", "left_semi").join(other, "id").where("key <> other")
             both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
             wide = wide.select(both.alias("key"), "id", "o", "n").distinct()
-            some = wide.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-            members = cut(members.join(large, "key", "left_anti").select(*wide.columns).unionByName(wide.join(some, "key", "left_semi")))
+            active = cut(wide.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
+            members = cut(members.join(large, "key", "left_anti").select(*wide.columns).unionByName(wide.join(active, "key", "left_semi")))
             again = False
         else:
             last = True
