@@ -56,11 +56,17 @@ def anchored_rows(blocks: DataFrame, reach: int = 50) -> DataFrame:
     return page.select("page_id", F.explode(F.aggregate("bs", start, step)["out"]).alias("b")).select("page_id", "b.block_ord", F.col("b.g").alias("row_group"))
 
 
-def intersections(lines: DataFrame) -> DataFrame:
-    """Points where a horizontal line meets the middle of a vertical one on the same page. Shapes that are no ruling are left out first."""
-    h = lines.where((F.col("orientation") == "h") & (F.col("w") > 50) & (F.col("h") < 10)).select("page_id", F.col("line_ord").alias("h_ord"), F.col("x").alias("hx"), F.col("y").alias("hy"), F.col("w").alias("hw"))
+def intersections(lines: DataFrame, stripe: int = 64) -> DataFrame:
+    """Points where the middles of a horizontal and a vertical line cross on the same page. Shapes that are no ruling are left out first.
+
+    Lines meet by page and by stripes of ``stripe`` pixels: a vertical line lies in one, a horizontal one in those that it spans.
+    """
+    h = lines.where((F.col("orientation") == "h") & (F.col("w") > 50) & (F.col("h") < 10)).select("page_id", F.col("line_ord").alias("h_ord"), F.col("x").alias("hx"), F.expr("y + h div 2").alias("hy"), F.col("w").alias("hw"))
     v = lines.where((F.col("orientation") == "v") & (F.col("h") > 50) & (F.col("w") < 10)).select("page_id", F.col("line_ord").alias("v_ord"), F.expr("x + w div 2").alias("vx"), F.col("y").alias("vy"), F.col("h").alias("vh"))
-    j = h.join(v, "page_id").where(F.col("vx").between(F.col("hx"), F.col("hx") + F.col("hw")) & F.col("hy").between(F.col("vy"), F.col("vy") + F.col("vh")))
+    at = lambda x: F.floor(x / stripe)
+    h = h.withColumn("stripe", F.explode(F.sequence(at(F.col("hx")), at(F.col("hx") + F.col("hw")))))
+    j = h.join(v.withColumn("stripe", at(F.col("vx"))), ["page_id", "stripe"])
+    j = j.where(F.col("vx").between(F.col("hx"), F.col("hx") + F.col("hw")) & F.col("hy").between(F.col("vy"), F.col("vy") + F.col("vh")))
     return j.select("page_id", "h_ord", "v_ord", F.col("vx").alias("x"), F.col("hy").alias("y"))
 
 
@@ -73,10 +79,17 @@ def page_tables(points: DataFrame, least: int = 4) -> DataFrame:
     return d.where(F.col("n_points") >= least)
 
 
-def classes(blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """Blocks as paragraph or table, then header (y < 100) and footer (y > 1000), the later winning."""
+def in_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """Blocks whose middle lies in a table's box, borders included."""
     x, y = F.expr("x + w div 2"), F.expr("y + h div 2")
-    inside = blocks.join(tables, "page_id").where(x.between(F.col("x_min"), F.col("x_max")) & y.between(F.col("y_min"), F.col("y_max"))).select("block_ord").distinct().withColumn("_in", F.lit(True))
+    boxes = tables.select("page_id", "x_min", "x_max", "y_min", "y_max").alias("t")
+    inside = (F.col("b.page_id") == F.col("t.page_id")) & F.col("b.mx").between(F.col("t.x_min"), F.col("t.x_max")) & F.col("b.my").between(F.col("t.y_min"), F.col("t.y_max"))
+    return blocks.withColumns({"mx": x, "my": y}).alias("b").join(boxes, inside, "left_semi").drop("mx", "my")
+
+
+def classes(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """Blocks as paragraph or, in one of the page's ``tables``, table; then header (y < 100) and footer (y > 1000), the later winning."""
+    inside = in_tables(blocks, tables).select("block_ord").distinct().withColumn("_in", F.lit(True))
     kind = F.when(F.col("y") > 1000, "footer").when(F.col("y") < 100, "header").when(F.col("_in"), "table").otherwise("paragraph")
     return blocks.join(inside, "block_ord", "left").withColumn("text_type", kind).drop("_in")
 
@@ -118,6 +131,53 @@ def table_clusters(points: DataFrame, reach: int = 100, least: int = 4) -> DataF
     return distinct.groupBy("page_id").applyInPandas(gather, "page_id long, table_no int, n_points long, x_min long, x_max long, y_min long, y_max long, n_rows long, n_cols long")
 
 
+def column_boxes(grouped: DataFrame, least: int = 2) -> DataFrame:
+    """The box of each row group (``row_group``) of ``least`` blocks or more: left edges from first to last, top to the lowest bottom."""
+    d = grouped.groupBy("page_id", "row_group").agg(
+        F.count("*").alias("n_blocks"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max(F.col("y") + F.col("h")).alias("y_max")
+    )
+    return d.where(F.col("n_blocks") >= least)
+
+
+def line_tables(blocks: DataFrame, least: int = 3) -> DataFrame:
+    """A table of one row for each line of ``least`` words or more, with its cells in block order."""
+    cells = F.array_sort(F.collect_list(F.struct("block_ord", "text")))
+    d = blocks.groupBy("page_id", "line_num").agg(F.count("*").alias("col_count"), F.transform(cells, lambda c: c["text"]).alias("cells"))
+    return d.where(F.col("col_count") >= least).withColumn("row_count", F.lit(1))
+
+
+def word_blocks(words: DataFrame) -> DataFrame:
+    """Recognised words with text and a whole confidence above 0; the text is trimmed and the confidence a share."""
+    d = words.withColumn("text", F.trim("text")).where((F.col("text") != "") & (F.col("conf").cast("int") > 0))
+    return d.withColumn("confidence", F.col("conf").cast("int") / 100.0).drop("conf")
+
+
+def polygon_box(polygon) -> list:
+    """``x, y, w, h`` of a polygon (an array of points with ``x`` and ``y``), each cut to whole pixels; a missing one has no box."""
+    xs, ys = F.transform(polygon, lambda p: p["x"]), F.transform(polygon, lambda p: p["y"])
+    ends = {"x": F.array_min(xs), "y": F.array_min(ys), "w": F.array_max(xs) - F.array_min(xs), "h": F.array_max(ys) - F.array_min(ys)}
+    return [c.cast("int").alias(n) for n, c in ends.items()]
+
+
+def numbered(blocks: DataFrame) -> DataFrame:
+    """Blocks with text, numbered from 1 on their page in order."""
+    d = blocks.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return d.withColumn("block_no", F.row_number().over(Window.partitionBy("page_id").orderBy("block_ord")))
+
+
+def by_height(blocks: DataFrame) -> DataFrame:
+    """Blocks with their place from top to bottom of their page; a page's order is a number, so nothing is sorted as a whole."""
+    return blocks.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("y", "block_ord")))
+
+
+def image_error(height, width, dims):
+    """The first rule that an image breaks, or null: missing, not 2 or 3 dimensions, empty, too small, too large."""
+    least, most = F.least(height, width), F.greatest(height, width)
+    return (
+        F.when(dims.isNull(), "missing").when(~dims.isin(2, 3), "dimensions").when((height == 0) | (width == 0), "empty").when(least < 10, "too small").when(most > 10000, "too large")
+    )
+
+
 def text_shapes(boxes: DataFrame) -> DataFrame:
     """Boxes shaped like text (area above 200, height above a twentieth of the width) with the confidence of their shape."""
     area, aspect = F.col("w") * F.col("h"), F.try_divide("h", "w")

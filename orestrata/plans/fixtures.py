@@ -12,7 +12,7 @@ from orestrata.session import read_table
 PROJECTIONS: dict[str, tuple[tuple[str, ...], str]] = {
     "geo_location": (
         ("supplier", "nation", "region"),
-        """select s_suppkey as location_id, s_suppkey % 40 as doc_id, s_name as name,
+        """select s_suppkey as location_id, cast(floor(s_suppkey / 3) as bigint) as doc_id, s_name as name,
   case s_suppkey % 6 when 0 then 'drill_hole' when 1 then 'sample_site' when 2 then 'mine'
        when 3 then 'claim' when 4 then 'prospect' else 'outcrop' end as location_type,
   cast((s_suppkey * 37) % 1800 as double) / 10 - 90 as latitude,
@@ -70,7 +70,7 @@ from events group by 1, 2""",
     ),
     "ocr_line": (
         ("lineitem",),
-        """select l_orderkey % 50 as page_id, l_orderkey * 10 + l_linenumber as line_ord,
+        """select cast(floor(l_orderkey / 20) as bigint) as page_id, l_orderkey * 10 + l_linenumber as line_ord,
   case when l_linenumber % 2 = 0 then 'h' else 'v' end as orientation,
   (l_orderkey * 13) % 700 as x, (l_orderkey * 19 + l_linenumber * 40) % 1000 as y,
   case when l_linenumber % 2 = 0 then 60 + l_orderkey % 300 else 3 end as w,

@@ -106,7 +106,7 @@ def orphan_samples(spark, sf_dir):
 @register(
     "link_first_match",
     cte("geo_sample", "geo_location")
-    + """, s as (select sample_id, location_id % 40 as doc_id, concat(repeat('-', (coalesce(location_id, 0) % 150)::int), coalesce(sample_type, ''), ' Supplier#', coalesce(location_id, 0)::varchar) as t from geo_sample),
+    + """, s as (select sample_id, cast(floor(location_id / 3) as bigint) as doc_id, concat(repeat('-', (coalesce(location_id, 0) % 150)::int), coalesce(sample_type, ''), ' Supplier#', coalesce(location_id, 0)::varchar) as t from geo_sample),
 l as (select location_id, doc_id, name, concat(name, ' ', location_type) as t from geo_location),
 m as (select s.sample_id, min(l.location_id) as linked_id from s join l on s.doc_id = l.doc_id and abs(strpos(s.t, l.name) - strpos(l.t, s.sample_id)) < 100 group by s.sample_id)
 select s.sample_id, linked_id from s left join m on s.sample_id = m.sample_id""",
@@ -114,7 +114,7 @@ select s.sample_id, linked_id from s left join m on s.sample_id = m.sample_id"""
 def link_first_match(spark, sf_dir):
     at = F.coalesce("location_id", F.lit(0))
     text = F.concat(F.repeat(F.lit("-"), (at % 150).cast("int")), F.coalesce("sample_type", F.lit("")), F.lit(" Supplier#"), at.cast("string"))
-    s = sample(spark, sf_dir).select("sample_id", (F.col("location_id") % 40).alias("doc_id"), text.alias("source_text"))
+    s = sample(spark, sf_dir).select("sample_id", F.floor(F.col("location_id") / 3).alias("doc_id"), text.alias("source_text"))
     l = location(spark, sf_dir).withColumn("source_text", F.concat("name", F.lit(" "), "location_type"))
     return entities.link_first(s, l).select("sample_id", "linked_id")
 
