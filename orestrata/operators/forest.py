@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orestrata.operators.terrain import class_report
+
 COLUMNS = ("slope_deg", "aspect_deg", "edge_density", "dist_m")
 
 
@@ -36,15 +38,49 @@ def importances(model: RandomForestClassificationModel, columns=COLUMNS) -> list
     return sorted(zip(columns, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: x[1])
 
 
+def medians(rows: DataFrame, columns=COLUMNS) -> dict[str, float]:
+    """The median of each column over what is neither null nor NaN; 0 for a column without any."""
+    r = rows.agg(*[F.median(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).first()
+    return {c: 0.0 if r[c] is None else float(r[c]) for c in columns}
+
+
 def score(model: RandomForestClassificationModel | None, rows: DataFrame, columns=COLUMNS) -> DataFrame:
-    """``row_id, col_id, proba``; features that are not finite become 0 here, or medians if imputed beforehand. Without a model: null."""
+    """``row_id, col_id, proba``; features that are not finite become their column's median. Without a model: null."""
     if model is None:
         return rows.select("row_id", "col_id", F.lit(None).cast("double").alias("proba"))
-    d = rows.select("row_id", "col_id", *[F.when(finite([c]), F.col(c)).otherwise(0.0).alias(c) for c in columns])
+    m = medians(rows, columns)
+    d = rows.select("row_id", "col_id", *[F.when(finite([c]), F.col(c)).otherwise(m[c]).alias(c) for c in columns])
     x = VectorAssembler(inputCols=list(columns), outputCol="features").transform(d)
     return model.transform(x).select("row_id", "col_id", vector_to_array("probability")[1].alias("proba"))
 
 
+def in_fold(blocked: DataFrame, folds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of a fold: a row is tested in the fold of its block. The blocks are few and broadcast."""
+    own = F.broadcast(folds.where(F.col("fold") == fold).select("block_id"))
+    return blocked.join(own, "block_id", "left_anti"), blocked.join(own, "block_id", "left_semi")
+
+
+def spatial_cv(rows: DataFrame, folds: DataFrame, k: int = 5, columns=COLUMNS, trees: int = 300, depth: int = 30, seed: int = 42) -> DataFrame:
+    """``fold, label, precision, recall, f1, support``: for each fold of blocks a forest fitted on the others and tested on it.
+
+    ``rows`` has ``label`` (0 or 1), ``block_id`` and the features. Classes weigh
+    alike and are not filled up; a fold without training or test rows, or whose
+    training rows are of one class, is left out. One job after another trains
+    the ``k`` models; each is a distributed fit.
+    """
+    spark, out = rows.sparkSession, None
+    for fold in range(1, k + 1):
+        training, tested = in_fold(rows, folds, fold)
+        model = None if tested.isEmpty() else train(training, columns, trees, depth, seed)
+        if model is None:
+            continue
+        said = score(model, tested, columns).select("row_id", "col_id", (F.col("proba") > 0.5).cast("int").alias("said"))
+        report = class_report(tested.join(said, ["row_id", "col_id"]), "label", "said")
+        one = report.withColumn("fold", F.lit(fold)).select("fold", "label", "precision", "recall", "f1", "support")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "fold int, label int, precision double, recall double, f1 double, support long")
+
+
 def smote(rows: DataFrame, columns=COLUMNS, key=("row_id", "col_id"), k: int = 5, bucket_rows: int = 2000, seed: int = 42) -> DataFrame:
     """``columns`` and ``label`` of all rows with finite features, and new rows of the rarer class until both are as many.
 
@@ -84,8 +120,9 @@ def smote(rows: DataFrame, columns=COLUMNS, key=("row_id", "col_id"), k: int = 5
         return out[np.isfinite(out["_apart"])][names]
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = members.withColumnRenamed("_bucket", "_i").withColumn("_j", blocks)
-    right = members.withColumnRenamed("_bucket", "_j").withColumn("_i", blocks)
+    # Named anew on both sides, as a frame can't meet itself under the same columns.
+    side = lambda mine, other: members.select(*[F.col(c).alias(c) for c in (*cols, *key)], F.col("_bucket").alias(mine)).withColumn(other, blocks)
+    left, right = side("_i", "_j"), side("_j", "_i")
     kind = "_bucket int, _at long, _apart double, _other int, _rank long, " + ", ".join(f"{c} double" for c in cols + others)
     pairs = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(nearest, kind)
     order = F.row_number().over(Window.partitionBy("_bucket", "_at").orderBy("_apart", "_other", "_rank"))

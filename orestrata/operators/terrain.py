@@ -86,6 +86,12 @@ def hotspots(scores: DataFrame, k: int = 10, column: str = "score") -> DataFrame
     return scores.orderBy(F.desc(column), F.desc("row_id"), F.desc("col_id")).limit(k)
 
 
+def pixel_boxes(pixels: DataFrame, x0: float, y0: float, a: float = 30.0, e: float = -30.0) -> DataFrame:
+    """Pixels with their box on the map: ``x0, y0`` is the raster's corner, ``a`` and ``e`` the steps of a column and a row."""
+    x, y = x0 + F.col("col_id") * a, y0 + F.col("row_id") * e
+    return pixels.select("row_id", "col_id", x.alias("x_min"), (x + a).alias("x_max"), (y + e).alias("y_min"), y.alias("y_max"))
+
+
 def median_impute(rows: DataFrame, column: str) -> DataFrame:
     """Values that are null or not finite become the median of those that are not NaN."""
     finite = F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf"))

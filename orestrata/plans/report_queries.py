@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from orestrata.functions import checks
@@ -175,11 +177,13 @@ def pivot_elements(spark, sf_dir):
     cte("geo_assay")
     + ", w as (select sample_id, "
     + ", ".join(f"coalesce(avg(value) filter (element = '{e}'), 0) as {e}" for e in _ELEMENTS)
-    + " from geo_assay group by sample_id) select round(corr(Au, Ag), 6) as au_ag, round(corr(Au, Cu), 6) as au_cu, round(corr(Pb, Zn), 6) as pb_zn from w",
+    + " from geo_assay group by sample_id) select "
+    + ", ".join(f"round(corr({a}, {b}), 6) as {a.lower()}_{b.lower()}" for a, b in combinations(_ELEMENTS, 2))
+    + " from w",
 )
 def element_corr(spark, sf_dir):
     w = entities.pivot_elements(assay(spark, sf_dir), _ELEMENTS)
-    return w.agg(*[F.round(F.corr(a, b), 6).alias(f"{a}_{b}".lower()) for a, b in (("Au", "Ag"), ("Au", "Cu"), ("Pb", "Zn"))])
+    return w.agg(*[F.round(F.corr(a, b), 6).alias(f"{a}_{b}".lower()) for a, b in combinations(_ELEMENTS, 2)])
 
 
 @register(

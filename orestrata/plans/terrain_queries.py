@@ -92,6 +92,31 @@ def median_impute(spark, sf_dir):
     return terrain.median_impute(x, "z").withColumn("z", F.round("z", 6))
 
 
+@register(
+    "cv_fold_rows",
+    cte("dem_grid", "dem_point")
+    + _BLOCKS
+    + _DIST
+    + """, f as (select block_id, ntile(5) over (order by md5(concat('42-', block_id::varchar))) as fold from (select distinct block_id from b)),
+l as (select b.block_id, case when dist_m <= 300 then 1 when dist_m > 1000 then 0 end as label from b join dist on b.row_id = dist.row_id and b.col_id = dist.col_id)
+select k.fold::int as fold, count(*) filter (f.fold <> k.fold) as n_train, count(*) filter (f.fold = k.fold) as n_test, count(*) filter (f.fold = k.fold and label = 1) as n_test_positive
+from l join f on l.block_id = f.block_id cross join (select unnest(range(1, 6)) as fold) k where label is not null group by k.fold""",
+)
+def cv_fold_rows(spark, sf_dir):
+    """Rows that a cross-validation by blocks trains and tests on."""
+    blocked = terrain.blocks(_grid(spark, sf_dir))
+    folds = terrain.folds(blocked)
+    label = F.when(F.col("dist_m") <= 300, 1).when(F.col("dist_m") > 1000, 0)
+    rows = blocked.join(_dist(spark, sf_dir).select("row_id", "col_id", label.alias("label")), ["row_id", "col_id"]).where("label is not null")
+    out = None
+    for k in range(1, 6):
+        training, tested = forest.in_fold(rows, folds, k)
+        n = training.agg(F.count("*").alias("n_train")).join(F.broadcast(tested.agg(F.count("*").alias("n_test"), F.count_if(F.col("label") == 1).alias("n_test_positive"))))
+        one = n.select(F.lit(k).alias("fold"), "n_train", "n_test", "n_test_positive")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _labels(spark, sf_dir):
     return read_table(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
 
@@ -152,6 +177,7 @@ def resampled_grid(spark, sf_dir):
 
 @register("smote_rows")
 def smote_rows(spark, sf_dir):
-    known = _features(spark, sf_dir).join(terrain.labels(_dist(spark, sf_dir)), ["row_id", "col_id"])
-    # Positives against all other pixels: two classes of different size.
-    return forest.smote(known.withColumn("label", F.when(F.col("label") == 1, 1).otherwise(0)))
+    """Labelled pixels, positives against all that lie far enough: two classes of different size. Pixels without a label have no part."""
+    d = _features(spark, sf_dir)
+    label = F.when(F.col("dist_m") <= 300, 1).when(F.col("dist_m") > 1000, 0)
+    return forest.smote(d.withColumn("label", label).where("label is not null"))
