@@ -3,8 +3,8 @@
 A 64-bit fingerprint can't stand for a similarity of 0.8: two such texts differ
 in about 10 of its bits, many in more, and shards that hold all pairs so far
 apart hold everything. So shards are made by bands of least hashes instead: at
-similarity 0.8, two texts share one of 20 bands of 3 with a probability of
-1 - 6e-7 (1 - 2e-11 at 0.9), and every pair of a shard is then decided by the
+similarity 0.8, two texts share one of 40 bands of 5 with a probability of
+1 - 1e-7, and every pair of a shard is then decided by the
 exact similarity of both whole texts.
 
 Rows are compared in turns. In a turn, shards are dealt into parts of about
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from orestrata.llm.common import cut, small_batches, stored
 
-BANDS, ROWS = 20, 3
+BANDS, ROWS = 40, 5
 #: Shingles hashed at a time, so that one very long text needs bounded memory.
 _BLOCK = 1 << 12
 _rng = np.random.default_rng(42)
@@ -120,10 +120,11 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
     each = keys.select("id", "o", "n", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = cut(each.join(shared, "key", "left_semi"))
-    gone, turn, again, last, active = None, 0, True, False, None
+    gone, turn, again, last, now = None, 0, True, False, members
+    left = lambda d: d if gone is None else d.join(gone, "id", "left_anti")
     while True:
-        now = members if active is None else members.join(active, "key", "left_semi")
         if last:
+            members = left(members)
             x, y = members.alias("x"), members.alias("y")
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.o") < F.col("y.o"))).select(F.col("x.o").alias("lo"), F.col("x.n").alias("m"), "y.id", "y.n")
         else:
@@ -135,26 +136,27 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
         lost = cut(_alike(pairs.where(near).select(F.col("lo.i").alias("a"), F.col("id").alias("b")).distinct(), rows, least, width).select(F.col("b").alias("id")).distinct())
         found = not lost.isEmpty()
         if found:
-            gone = lost if gone is None else gone.unionByName(lost)
+            gone = lost if gone is None else cut(gone.unionByName(lost).distinct())
         if last:
             break
         turn += 1
         if found:
             # Shards that lost an eighth of their rows or more are mostly copies and go on so.
-            marked = now.join(lost.withColumn("lost", F.lit(1)), "id", "left").groupBy("key").agg(F.count("*").alias("size"), F.count("lost").alias("lost"))
-            active = cut(marked.where((8 * F.col("lost") >= F.col("size")) & (F.col("size") - F.col("lost") > 1)).select("key"))
-            members = cut(members.join(lost, "id", "left_anti"))
-            if not active.isEmpty():
+            of_shard = now.join(lost, "id", "left_semi").groupBy("key").agg(F.count("*").alias("lost"))
+            active = of_shard.join(sizes, "key").where((8 * F.col("lost") >= F.col("size")) & (F.col("size") - F.col("lost") > 1)).select("key")
+            now = cut(now.join(active, "key", "left_semi").join(lost, "id", "left_anti"))
+            if not now.isEmpty():
                 continue
-        large = cut(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows).select("key")) if again else None
+        large = cut(left(members).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows).select("key")) if again else None
         if again and not large.isEmpty():
             # Rows of large shards that are no copies: dealt by this key and each other one that they share with some row.
-            other = members.select("id", F.col("key").alias("other"))
-            wide = members.join(large, "key", "left_semi").join(other, "id").where("key <> other")
+            here = left(members)
+            wide = here.join(large, "key", "left_semi").join(here.select("id", F.col("key").alias("other")), "id").where("key <> other")
             both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
             wide = wide.select(both.alias("key"), "id", "o", "n").distinct()
-            active = cut(wide.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
-            members = cut(members.join(large, "key", "left_anti").select(*wide.columns).unionByName(wide.join(active, "key", "left_semi")))
+            some = wide.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+            now = cut(wide.join(some, "key", "left_semi"))
+            members = cut(here.join(large, "key", "left_anti").select(*now.columns)).unionByName(now)
             again = False
         else:
             last = True
