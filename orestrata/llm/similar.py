@@ -14,7 +14,8 @@ those that have one. Shards that lose many rows, as groups of copies do, go on
 with another turn. Large shards that don't, because their rows have a passage in
 common and little else, are dealt again by a second band that two rows share (similar rows do
 with a probability of 1 - 1e-5), and at last the few rows that still share a
-shard are compared with each other. So no two rows that stay share a shard and
+shard are compared with each other: by sketches inside the join, which let a
+similar pair go with a probability of 1e-9 and few others through, then by their texts. So no two rows that stay share a shard and
 reach the similarity, and whatever goes is similar to a lesser row.
 
 Defined cases: a null or empty text has one shingle, the empty one; a text of
@@ -24,6 +25,7 @@ come last; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from orestrata.llm.common import cut, small_batches, stored
 
 BANDS, ROWS = 40, 5
+#: A sketch holds the low four bits of this many least hashes, 16 in a long.
+SKETCHED = 192
 #: Shingles hashed at a time, so that one very long text needs bounded memory.
 _BLOCK = 1 << 12
 _rng = np.random.default_rng(42)
@@ -55,30 +59,47 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def bands(grams: np.ndarray) -> list[int]:
-    """One key a band."""
+def bands(grams: np.ndarray) -> tuple[list[int], list[int]]:
+    """One key a band, and the sketch."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(grams), _BLOCK):
         h = (grams[at : at + _BLOCK, None] ^ _ADD) * _MUL
         least = np.minimum(least, (h ^ (h >> np.uint64(32))).min(axis=0))
     parts = least.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(p.tobytes(), i) - (1 << 63) for i, p in enumerate(parts)]
+    keys = [xxhash.xxh64_intdigest(p.tobytes(), i) - (1 << 63) for i, p in enumerate(parts)]
+    low = (least[:SKETCHED] & np.uint64(15)).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return keys, np.bitwise_or.reduce(low, axis=1).view(np.int64).tolist()
+
+
+def sketches_meet(x: str, y: str, least: float):
+    """Whether two sketches agree in as many places as texts of similarity ``least`` do, less 6.5 standard deviations."""
+    p = least + (1 - least) / 16
+    most = SKETCHED - math.floor(SKETCHED * p - 6.5 * math.sqrt(SKETCHED * p * (1 - p)))
+    differ = F.lit(0)
+    for i in range(SKETCHED // 16):
+        d = F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(d)
+    return differ <= most
 
 
 def _keys(rows: DataFrame, width: int) -> DataFrame:
-    """``id, n`` (shingles) and ``keys`` of every row of ``id, text``."""
+    """``id, n`` (shingles), ``keys`` and ``sketch`` of every row of ``id, text``."""
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, keys = [], []
+            n, keys, sketches = [], [], []
             for x in b.column(1):
                 g = shingles(x.as_py(), width)
                 n.append(len(g))
-                keys.append(bands(g))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "keys"])
+                k, s = bands(g)
+                keys.append(k)
+                sketches.append(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches)]], names=["id", "n", "keys", "sketch"])
 
-    return rows.mapInArrow(run, "id long, n long, keys array<long>")
+    return rows.mapInArrow(run, "id long, n long, keys array<long>, sketch array<long>")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, least: float, width: int, most: int = 1_000_000) -> DataFrame:
@@ -124,9 +145,10 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
     left = lambda d: d if gone is None else d.join(gone, "id", "left_anti")
     while True:
         if last:
-            members = left(members)
+            members = left(members).join(keys.select("id", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCHED // 16)]), "id")
             x, y = members.alias("x"), members.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.o") < F.col("y.o"))).select(F.col("x.o").alias("lo"), F.col("x.n").alias("m"), "y.id", "y.n")
+            size = F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.o") < F.col("y.o")) & size & sketches_meet("x", "y", least)).select(F.col("x.o").alias("lo"), F.col("x.n").alias("m"), "y.id", "y.n")
         else:
             sizes = now.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
             dealt = now.join(sizes, "key").select("key", "id", "o", "n", F.pmod(F.xxhash64("id", F.lit(turn)), _parts("size", shard_rows)).alias("part"))
