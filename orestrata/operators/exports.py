@@ -11,7 +11,7 @@ LOCATIONS = ("id", "name", "location_type", *COORDINATE_FIELDS, "elevation", "el
 SAMPLES = ("id", "location_id", "sample_type", "depth_from", "depth_to", "depth_unit", "lithology", "alteration", "mineralization", "collection_date", "confidence", "source_text")
 ASSAYS = ("sample_id", "element", "value", "unit", "detection_limit", "method", "confidence")
 OBSERVATIONS = ("id", "feature_type", "description", "location_id", "strike", "dip", "trend", "plunge", "measurement_type", "rock_types", "minerals", "confidence", "source_text")
-NUMBERS = ("latitude", "longitude", "easting", "northing", "elevation", "depth_from", "depth_to", "value", "detection_limit", "strike", "dip", "trend", "plunge", "confidence")
+NUMBERS = ("latitude", "longitude", "easting", "northing", "elevation", "depth_from", "depth_to", "value", "detection_limit", "strike", "dip", "trend", "plunge", "confidence", "x", "y")
 #: Text that is empty where it is missing; the other columns keep their nulls.
 EMPTY = ("name", "county", "state_province", "country", "source_text", "location_id", "lithology", "alteration", "mineralization", "collection_date", "method", "measurement_type", "rock_types", "minerals")
 
@@ -25,11 +25,16 @@ def flat(rows: DataFrame, columns: tuple[str, ...], **given: Column) -> DataFram
     return rows.select(*out)
 
 
-def locations_table(locations: DataFrame) -> DataFrame:
-    """One row a location with its primary coordinate, the first of ``coordinates``."""
+def locations_flat(locations: DataFrame) -> DataFrame:
+    """Locations with ``id`` and the fields of their primary coordinate, the first of ``coordinates``; x and y of the place stay as they are."""
     first = F.get("coordinates", 0)
     have = {f.name for f in locations.schema["coordinates"].dataType.elementType.fields}
-    return flat(locations, LOCATIONS, id=F.col("location_id"), **{f: first[f] if f in have else F.lit(None) for f in COORDINATE_FIELDS})
+    return locations.withColumns({"id": F.col("location_id"), **{f: first[f] if f in have else F.lit(None) for f in COORDINATE_FIELDS}})
+
+
+def locations_table(locations: DataFrame) -> DataFrame:
+    """One row a location with its primary coordinate."""
+    return flat(locations_flat(locations), LOCATIONS)
 
 
 def samples_table(samples: DataFrame) -> DataFrame:

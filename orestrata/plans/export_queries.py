@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orestrata.operators import exports, extraction, terrain
+from orestrata.operators import exports, extraction, linked, terrain
 from orestrata.plans.catalog import register
 from orestrata.plans.fixtures import cte, projection
 
@@ -204,3 +204,123 @@ def built_samples(spark, sf_dir):
 def built_observations(spark, sf_dir):
     o = observation(spark, sf_dir).withColumns({"feature_type": F.when(F.col("observation_id") % 6 != 0, F.col("feature_type")), "confidence": F.lit(None).cast("double"), "dip": F.col("dip") * 1.25})
     return extraction.observations(o).select("observation_id", "feature_type", "confidence")
+
+
+def _by_doc(d, spark, sf_dir):
+    return d.join(location(spark, sf_dir).select("location_id", "doc_id"), "location_id")
+
+
+def _metadata(spark, sf_dir):
+    l = location(spark, sf_dir)
+    m = l.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.min("name").alias("title"), F.max("country").alias("company"))
+    file = F.concat(F.lit("in/report_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return m.withColumns({"source_file": file, "file_size_bytes": F.col("page_count") * 1000, "title": F.when(F.col("doc_id") % 2 == 0, F.col("title")), "document_type": F.when(F.col("doc_id") % 3 == 0, "assessment")})
+
+
+_METADATA = """, m as (select doc_id, count(*) as page_count, case when doc_id % 2 = 0 then min(name) end as title, max(country) as company, concat('in/report_', doc_id::varchar, '.pdf') as source_file,
+ count(*) * 1000 as file_size_bytes, case when doc_id % 3 = 0 then 'assessment' end as document_type from geo_location group by doc_id)"""
+
+
+@register(
+    "jsonld_locations",
+    cte("geo_location")
+    + """select location_id::varchar as id, concat('urn:report/location/', location_id::varchar) as node_id, name, latitude, longitude, elevation, state_province as region, '' as locality, 2::int as n_properties,
+ location_type as first_value from geo_location""",
+)
+def jsonld_locations(spark, sf_dir):
+    d = linked.location_nodes(location(spark, sf_dir).withColumn("id", F.col("location_id")))
+    shape = "struct<`@id`:string,name:string,geo:struct<latitude:double,longitude:double,elevation:double>,address:struct<addressLocality:string,addressRegion:string>,additionalProperty:array<struct<name:string,value:string>>>"
+    d = d.withColumn("n", F.from_json("node", shape))
+    place = [F.col(f"n.geo.{c}") for c in ("latitude", "longitude", "elevation")]
+    props = F.col("n.additionalProperty")
+    return d.select("id", F.col("n.@id").alias("node_id"), "n.name", *place, F.col("n.address.addressRegion").alias("region"), F.col("n.address.addressLocality").alias("locality"), F.size(props).alias("n_properties"), props[0]["value"].alias("first_value"))
+
+
+@register(
+    "jsonld_samples",
+    cte("geo_sample", "geo_assay", "geo_location")
+    + """select sample_id as id, coalesce(n, 0)::int as n_assays, coalesce(limits, 0)::int as n_limits, concat('urn:report/location/', s.location_id::varchar) as located_at, 4::int as n_properties
+ from geo_sample s join geo_location l on s.location_id = l.location_id left join (select sample_id, count(*) as n, count(nullif(detection_limit, 0)) as limits from geo_assay group by 1) a using (sample_id)""",
+)
+def jsonld_samples(spark, sf_dir):
+    d = linked.sample_nodes(_by_doc(_sampled(spark, sf_dir), spark, sf_dir))
+    shape = "struct<additionalProperty:array<struct<name:string>>,hasPart:array<struct<detectionLimit:double>>,isLocatedAt:struct<`@id`:string>>"
+    d = d.withColumn("n", F.from_json("node", shape))
+    limits = F.size(F.filter(F.coalesce("n.hasPart", F.array().cast("array<struct<detectionLimit:double>>")), lambda a: a["detectionLimit"].isNotNull()))
+    return d.select("id", F.coalesce(F.size("n.hasPart"), F.lit(0)).alias("n_assays"), limits.alias("n_limits"), F.col("n.isLocatedAt.@id").alias("located_at"), F.size("n.additionalProperty").alias("n_properties"))
+
+
+@register(
+    "jsonld_observations",
+    cte("geo_observation", "geo_location")
+    + """select observation_id::varchar as id, concat(feature_type, ' observation') as name, description, 4::int as n_properties, strike::varchar as third_value, concat('urn:report/location/', o.location_id::varchar) as located_at
+ from geo_observation o join geo_location l on o.location_id = l.location_id""",
+)
+def jsonld_observations(spark, sf_dir):
+    d = linked.observation_nodes(_by_doc(observation(spark, sf_dir), spark, sf_dir))
+    d = d.withColumn("n", F.from_json("node", "struct<name:string,description:string,additionalProperty:array<struct<name:string,value:string>>,isLocatedAt:struct<`@id`:string>>"))
+    props = F.col("n.additionalProperty")
+    return d.select("id", "n.name", "n.description", F.size(props).alias("n_properties"), F.get(props, 2)["value"].alias("third_value"), F.col("n.isLocatedAt.@id").alias("located_at"))
+
+
+@register(
+    "jsonld_documents",
+    cte("geo_location", "geo_sample", "geo_observation")
+    + _METADATA
+    + """, ls as (select doc_id, count(*) as n, min(location_id::varchar) as least from geo_location group by 1), ss as (select doc_id, count(*) as n from geo_sample s join geo_location l on s.location_id = l.location_id group by 1),
+os as (select doc_id, count(*) as n from geo_observation o join geo_location l on o.location_id = l.location_id group by 1)
+select doc_id, concat('urn:report/document/report_', doc_id::varchar) as node_id, coalesce(title, concat('Geological Report: report_', doc_id::varchar, '.pdf')) as name, company as publisher, 'Unknown' as author, ls.n::int as n_about,
+ concat('urn:report/location/', ls.least) as first_about, coalesce(ss.n, 0)::int as n_parts, coalesce(os.n, 0)::int as n_mentions, case when document_type is null then 8 else 9 end::int as n_properties, 13::int as n_terms
+ from m join ls using (doc_id) left join ss using (doc_id) left join os using (doc_id)""",
+)
+def jsonld_documents(spark, sf_dir):
+    l = location(spark, sf_dir).withColumn("id", F.col("location_id"))
+    s, o = (_by_doc(d(spark, sf_dir), spark, sf_dir) for d in (_sampled, observation))
+    d = linked.documents(_metadata(spark, sf_dir), linked.location_nodes(l), linked.sample_nodes(s), linked.observation_nodes(o))
+    node = "array<struct<`@id`:string>>"
+    shape = f"struct<`@context`:map<string,string>,`@id`:string,name:string,author:struct<name:string>,publisher:struct<name:string>,about:{node},hasPart:{node},mentions:{node},additionalProperty:array<struct<name:string>>>"
+    d = d.withColumn("n", F.from_json("jsonld", shape))
+    counts = [F.size(f"n.{c}").alias(a) for c, a in (("about", "n_about"), ("hasPart", "n_parts"), ("mentions", "n_mentions"), ("additionalProperty", "n_properties"))]
+    names = [F.col("n.author.name").alias("author"), F.col("n.publisher.name").alias("publisher"), F.get("n.about", 0)["@id"].alias("first_about")]
+    return d.select("doc_id", F.col("n.@id").alias("node_id"), "n.name", *names, *counts, F.size("n.@context").alias("n_terms"))
+
+
+@register(
+    "location_layer",
+    cte("geo_location")
+    + f"""select location_id::varchar as id, name, location_type, case when location_id % 5 = 0 then null else latitude end as latitude, case when location_id % 5 = 0 then null else longitude end as longitude,
+ {_nulls("easting", "northing")}, '' as utm_zone, '' as township, '' as range, '' as section, 'EPSG:4326' as coordinate_system, elevation, {_nulls("elevation_unit", "county")}, state_province, country, confidence, '' as source_text,
+ longitude as x, latitude as y from geo_location""",
+)
+def location_layer(spark, sf_dir):
+    """Every fifth location has no coordinates of its own."""
+    placed = _placed(spark, sf_dir)
+    return linked.location_layer(placed.withColumn("coordinates", F.when(F.col("location_id") % 5 == 0, F.slice("coordinates", 1, 0)).otherwise(F.col("coordinates"))))
+
+
+_GIVEN = ("source_file", "file_size_bytes", "page_count", "document_type", "title", "company")
+_FIELDS = " union all ".join(f"select doc_id, {i} as place, '{c}' as field, {f'''coalesce({c}::varchar, '')''' if c in _GIVEN else repr('')} as value from m" for i, c in enumerate(linked.METADATA))
+
+
+@register("metadata_table", cte("geo_location") + _METADATA + _FIELDS)
+def metadata_table(spark, sf_dir):
+    return linked.metadata_table(_metadata(spark, sf_dir))
+
+
+@register("metadata_layer", cte("geo_location") + _METADATA + f"select *, 0.0::double as x, 0.0::double as y from ({_FIELDS}) where place < 18")
+def metadata_layer(spark, sf_dir):
+    return linked.metadata_layer(_metadata(spark, sf_dir))
+
+
+@register(
+    "processed_metadata",
+    cte("date_text")
+    + """select text_id, strftime(coalesce(try_strptime(date_text, '%Y-%m-%d'), try_strptime(date_text, '%m/%d/%Y'), try_strptime(date_text, '%d/%m/%Y'), try_strptime(date_text, '%Y')), '%Y-%m-%dT%H:%M:%S') as report_date,
+ case when text_id % 3 > 0 then 'Report' end as title, text_id % 3 > 0 as has_title from date_text""",
+)
+def processed_metadata(spark, sf_dir):
+    """Dates in several notations, and titles of which every third is empty."""
+    d = projection(spark, sf_dir, "date_text")
+    m = F.create_map(F.lit("report_date"), F.col("date_text"), F.lit("title"), F.when(F.col("text_id") % 3 > 0, "Report").otherwise(""))
+    d = linked.process_metadata(d.select("text_id", m.alias("metadata")))
+    return d.select("text_id", F.col("metadata")["report_date"].alias("report_date"), F.col("metadata")["title"].alias("title"), F.map_contains_key("metadata", "title").alias("has_title"))

@@ -69,3 +69,17 @@ def answers(rows: DataFrame, column: str, schema: str) -> DataFrame:
     whole = F.from_json(column, schema)
     inner = F.from_json(F.regexp_extract(column, r"(?s)\{.*\}", 0), schema)
     return rows.withColumn("answer", F.when(F.trim(column).startswith("{"), F.coalesce(whole, inner)).otherwise(inner))
+
+
+def upload_error(files: DataFrame, name: str = "path") -> DataFrame:
+    """``accepted, rejected``: one row; a batch with any file that isn't a PDF by its name is refused as a whole, and the least such name says why."""
+    bad = F.min(F.when(~F.lower(F.coalesce(name, F.lit(""))).endswith(".pdf"), F.coalesce(name, F.lit(""))))
+    return files.agg(bad.alias("rejected")).select(F.col("rejected").isNull().alias("accepted"), "rejected")
+
+
+def read_collections(spark: SparkSession, path: str) -> DataFrame:
+    """``path, valid, n_features`` of GeoJSON files, one document a file; a file without a list of features isn't valid."""
+    d = spark.read.option("wholetext", True).option("pathGlobFilter", "*.geojson").text(path)
+    n = F.size(F.from_json("value", "features array<string>")["features"])
+    ok = F.from_json("value", "features array<string>")["features"].isNotNull()
+    return d.select(F.col("_metadata.file_path").alias("path"), ok.alias("valid"), F.when(ok, n).otherwise(0).alias("n_features"))
