@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orestrata.llm.common import cut, small_batches, stored
+from orestrata.llm.common import cut, release, small_batches, stored
 
 BANDS, ROWS = 40, 5
 #: A sketch holds the low four bits of this many least hashes, 16 in a long.
@@ -144,6 +144,7 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
     gone, turn, again, last, now = None, 0, True, False, members
     left = lambda d: d if gone is None else d.join(gone, "id", "left_anti")
     while True:
+        release(docs.sparkSession)
         if last:
             members = left(members).join(keys.select("id", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCHED // 16)]), "id")
             x, y = members.alias("x"), members.alias("y")
