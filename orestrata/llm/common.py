@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,23 +30,30 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Frames that are made and run within leave no shuffle files: Spark deletes them when the action ends.
 
-    Used where a small derived table is read several times, or where a loop
-    would grow the plan.
+    A loop of many shuffles would else fill the disks until the driver happens to collect its garbage.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more, as those before a ``cut``.
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there.
 
-    Spark does so when the driver collects garbage, by itself every 30 minutes: a loop of many shuffles would fill the disks first.
+    Used where a small derived table is read several times, or where a loop
+    would grow the plan. The shuffles behind ``df`` are dropped.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    shared_folder(df.sparkSession)
+    with shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def words(text: Column) -> Column:
@@ -100,9 +108,10 @@ def small_batches(spark: SparkSession, mb: int = 8) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder, read again."""
+    """``df`` as a Parquet table in the shared checkpoint folder, read again. The shuffles behind it are dropped."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
