@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orestrata.llm import ann, conversations, htmltext, langid, licenses, mixing, packing, quality, repeats, simhash, toxicity, urls
+from orestrata.llm import alignment, ann, conversations, htmltext, langid, licenses, mixing, packing, quality, repeats, simhash, toxicity, urls
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_dom_boosted_trees": htmltext.op8_dom_boosted_trees,
         "op9_host_reputation": urls.op9_host_reputation,
         "op10_license_digest": licenses.op10_license_digest,
+        "op11_relational_alignment": alignment.op11_relational_alignment,
         "op12_suffix_array_dedup": repeats.op12_suffix_array_dedup,
         "op13_retained_subsequence_repair": conversations.op13_retained_subsequence_repair,
     }
