@@ -7,7 +7,7 @@ similarity 0.8, two texts share one of 40 bands of 5 with a probability of
 1 - 1e-7, and every pair of a shard is then decided by the
 exact similarity of both whole texts.
 
-Rows are compared in turns. In a turn, shards are dealt into parts of about
+Rows are compared in turns, first by a few bands and then by all. In a turn, shards are dealt into parts of about
 ``shard_rows`` rows, and the rows of a part are compared with its least row
 alone; what is similar to it goes. Texts meet once for each such pair, and only
 those that have one. Shards that lose many rows, as groups of copies do, go on
@@ -39,6 +39,8 @@ from orestrata.llm.common import cut, small_batches, stored
 BANDS, ROWS = 40, 5
 #: A sketch holds the low four bits of this many least hashes, 16 in a long.
 SKETCHED = 192
+#: Bands that the first turns look at.
+PEELED = 3
 #: Shingles hashed at a time, so that one very long text needs bounded memory.
 _BLOCK = 1 << 12
 _rng = np.random.default_rng(42)
@@ -138,10 +140,12 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
     rows = docs.select(F.col("_j_id").alias("id"), "text")
     order = docs.select(F.col("_j_id").alias("id"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("_j_id").alias("i")).alias("o"))
     keys = cut(_keys(rows, width).join(order, "id"))
-    each = keys.select("id", "o", "n", F.explode("keys").alias("key"))
+    each = keys.select("id", "o", "n", F.posexplode("keys").alias("band", "key"))
     shared = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     members = cut(each.join(shared, "key", "left_semi"))
-    gone, turn, again, last, now = None, 0, True, False, members
+    # Groups of copies share nearly all bands, so a few bands peel most of them before all bands are looked at.
+    gone, turn, peeled, again, last, now = None, 0, False, True, False, cut(members.where(F.col("band") < PEELED).drop("band"))
+    members = members.drop("band")
     left = lambda d: d if gone is None else d.join(gone, "id", "left_anti")
     while True:
         if last:
@@ -169,6 +173,11 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
             now = cut(now.join(active, "key", "left_semi").join(lost, "id", "left_anti"))
             if not now.isEmpty():
                 continue
+        if not peeled:
+            peeled, rest = True, left(members)
+            some = rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+            members = now = cut(rest.join(some, "key", "left_semi"))
+            continue
         large = cut(left(members).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows).select("key")) if again else None
         if again and not large.isEmpty():
             # Rows of large shards that are no copies: dealt by this key and each other one that they share with some row.
