@@ -31,19 +31,20 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orestrata.llm.common import cut, small_batches, stored, table
+from orestrata.llm.common import cut, drop, small_batches, stored, table
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text in a part.
-PART_BYTES = 16 << 20
+#: Characters of text in a part, whose dictionary a task holds.
+PART_CHARS = 64 << 20
 #: A word ends before a blank or a line break that follows something else than white space.
 _WORDS = re.compile(r"(?<=\S)(?=[ \n])")
 _SPACE = "▁"
@@ -76,7 +77,7 @@ def linked(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def aligned_shapes(shapes: DataFrame) -> DataFrame:
-    """Groups (lists of places in both) and links (pairs of places) of every pair of length lists ``la, lb``."""
+    """``shape`` (a number), groups (lists of places in both) and links (pairs of places) of every pair of length lists ``la, lb``."""
     shapes = cut(shapes.select("la", "lb").distinct().withColumn("doc", F.monotonically_increasing_id()))
     rows = lambda side: spans(shapes.select("doc", F.posexplode(side).alias("i", "n")))
     a, b = numbered(rows("la"), rows("lb"))
@@ -84,7 +85,7 @@ def aligned_shapes(shapes: DataFrame) -> DataFrame:
     places = lambda x, name: x.groupBy("doc", "g").agg(F.sort_array(F.collect_list("i")).alias(name))
     groups = places(a, "ga").join(places(b, "gb"), ["doc", "g"]).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("g", "ga", "gb"))).alias("groups"))
     links = linked(a, b).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("links"))
-    return shapes.join(groups, "doc").join(links, "doc").drop("doc")
+    return shapes.join(groups, "doc").join(links, "doc").withColumnRenamed("doc", "shape")
 
 
 # Words and their tokens
@@ -111,24 +112,22 @@ class Tokenizers:
             raise ValueError(f"{b} has pieces that go on beyond a word's end")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.blank = pieces.index(_SPACE)
+        self.a_length, self.b_length = (np.array([*map(len, x)], dtype=np.int32) for x in (self.a_bytes, self.b_bytes))
 
-    def of(self, words: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
-        """Ids of both, then lengths of both; None for a word whose bytes the tokens don't keep."""
+    def of(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of both for each word, and whether the tokens keep the word's bytes."""
+        firsts = [x.ids for x in self.a.encode_batch_fast(words, add_special_tokens=False)]
         # The second tokenizer puts a blank before what it gets. Before a line break, that is one token too many.
-        firsts = self.a.encode_batch(words, add_special_tokens=False)
         seconds = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-        for w, x, y in zip(words, firsts, seconds, strict=True):
-            ids = x.ids
+        kept = []
+        for k, w in enumerate(words):
             if w == " ":  # nothing is left for the second tokenizer to put a blank before
-                y = [self.blank]
+                seconds[k] = [self.blank]
             elif w[0] != " ":
-                if y[:1] != [self.blank]:
-                    yield None
-                    continue
-                y = y[1:]
-            at, bt = [self.a_bytes[i] for i in ids], [self.b_bytes[i] for i in y]
+                seconds[k] = seconds[k][1:] if seconds[k][:1] == [self.blank] else []
             raw = w.encode("utf-8", "replace")
-            yield (ids, y, [*map(len, at)], [*map(len, bt)]) if b"".join(at) == raw == b"".join(bt) else None
+            kept.append(raw == b"".join(map(self.a_bytes.__getitem__, firsts[k])) == b"".join(map(self.b_bytes.__getitem__, seconds[k])))
+        return firsts, seconds, kept
 
 
 def cuts_words(pieces: list[str]) -> bool:
@@ -153,17 +152,26 @@ def _tokenizers(a: str, b: str) -> Tokenizers:
     return _LOADED[a, b]
 
 
-def _words(docs: DataFrame, part_bytes: int) -> DataFrame:
+class Numbers(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _words(docs: DataFrame, part_chars: int) -> DataFrame:
     """Rows of ``kind`` 0: the word ``word`` is number ``at`` in its part; rows of kind 1: a document as numbers (``refs``; null without text)."""
     small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("part", T.LongType()), docs.schema["doc_id"], T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("refs", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, size = TaskContext.get().partitionId() << 24, {}, 0
+        part, number, size = TaskContext.get().partitionId() << 24, Numbers(), 0
         for b in batches:
-            begun, refs, new, row = len(number), [], [], []
+            begun, refs, row = len(number), [], []
 
             def made() -> pa.RecordBatch:
+                new = list(islice(number, begun, None))  # noqa: B023
                 k, d = len(new), len(refs)  # noqa: B023
                 none = pa.nulls(k, b.schema.field(0).type)  # noqa: B023
                 ids = pa.concat_arrays([none, b.column(0).take(pa.array(row, pa.int64()))])  # noqa: B023
@@ -177,19 +185,13 @@ def _words(docs: DataFrame, part_bytes: int) -> DataFrame:
                 if not text:
                     refs.append(None)
                     continue
-                here = []
-                for w in _WORDS.split(" " + text):
-                    at = number.get(w)
-                    if at is None:
-                        at = number[w] = len(number)
-                        new.append(w)
-                    here.append(at)
-                refs.append(np.array(here, dtype=np.int32))
+                words = _WORDS.split(" " + text)
+                refs.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 size += len(text)
-                if size >= part_bytes:
+                if size >= part_chars:
                     yield made()
-                    part, number, size = part + 1, {}, 0
-                    begun, refs, new, row = 0, [], [], []
+                    part, number, size = part + 1, Numbers(), 0
+                    begun, refs, row = 0, [], []
             yield made()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -198,28 +200,36 @@ def _words(docs: DataFrame, part_bytes: int) -> DataFrame:
 def _tokenized(words: DataFrame, a: str, b: str) -> DataFrame:
     """``word`` with ids ``ia, ib`` and lengths ``la, lb`` of its tokens; words without tokens are left out."""
 
+    def lists(ids: list[list[int]], length: np.ndarray) -> list[pa.Array]:
+        ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+        flat = np.fromiter(chain.from_iterable(ids), np.int32)
+        return [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, length[flat])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _tokenizers(a, b)
         for x in batches:
-            for at in range(0, len(x), 2048):
-                words = x.column(0).slice(at, 2048)
-                found = list(both.of(words.to_pylist())) if len(words) else []
-                keep = pa.array([f is not None for f in found], pa.bool_())
-                lists = list(zip(*(f for f in found if f is not None))) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([words.filter(keep), *[pa.array(v, pa.list_(pa.int32())) for v in lists]], names=["word", "ia", "ib", "la", "lb"])
+            for at in range(0, len(x), 4096):
+                words = x.column(0).slice(at, 4096)
+                firsts, seconds, kept = both.of(words.to_pylist())
+                (ia, la), (ib, lb) = lists(firsts, both.a_length), lists(seconds, both.b_length)
+                yield pa.RecordBatch.from_arrays([words, ia, ib, la, lb], names=["word", "ia", "ib", "la", "lb"]).filter(pa.array(kept, pa.bool_()))
 
     return words.mapInArrow(run, "word string, ia array<int>, ib array<int>, la array<int>, lb array<int>")
 
 
-def _word_values(words: DataFrame) -> DataFrame:
-    """``uid, n_a, n_b, n_groups, n_links, groups`` (text) and ``pairs`` (an id pair a link, as one number) of every word."""
-    shapes = cut(aligned_shapes(words))
+def _word_tokens(words: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``uid, ia, ib, groups, links`` of every word; ``words`` has ``uid, ia, ib, shape``."""
+    return words.join(F.broadcast(shapes) if shapes.count() <= 100_000 else shapes, "shape")
+
+
+def _pairs() -> Column:
+    """An id pair a link, as one number."""
+    return F.transform("links", lambda x: F.shiftleft(F.get("ia", x["i"]).cast("long"), 32) + F.get("ib", x["j"]))
+
+
+def _groups() -> Column:
     ids = lambda of, places: F.array_join(F.transform(places, lambda i: F.get(of, i).cast("string")), ",")
-    groups = F.array_join(F.transform("groups", lambda g: F.concat(ids(F.col("ia"), g["ga"]), F.lit("|"), ids(F.col("ib"), g["gb"]))), ";")
-    pairs = F.transform("links", lambda x: F.shiftleft(F.get("ia", x["i"]).cast("long"), 32) + F.get("ib", x["j"]))
-    shapes = F.broadcast(shapes) if shapes.count() <= 100_000 else shapes
-    sizes = [F.size(c).alias(n) for c, n in (("ia", "n_a"), ("ib", "n_b"), ("groups", "n_groups"), ("links", "n_links"))]
-    return words.join(shapes, ["la", "lb"]).select("uid", *sizes, groups.alias("groups"), pairs.alias("pairs"))
+    return F.array_join(F.transform("groups", lambda g: F.concat(ids(F.col("ia"), g["ga"]), F.lit("|"), ids(F.col("ib"), g["gb"]))), ";")
 
 
 # Texts
@@ -332,25 +342,30 @@ def _assembled(dictionary: DataFrame, texts: DataFrame) -> DataFrame:
     return _met(dictionary, texts).mapInArrow(run, schema)
 
 
-def aligned(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B, part_bytes: int = PART_BYTES, broadcast_rows: int = 1_000_000) -> DataFrame:
+def aligned(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B, part_chars: int = PART_CHARS, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``doc_id``, the values and the ``groups`` of every document of ``docs`` (``doc_id, text``).
 
     ``groups`` is text, as ``a1,a2|b1;a3|b2,b3``. Up to ``broadcast_rows`` id pairs (24 bytes each) are broadcast to the words' links; more are joined by a shuffle.
     """
-    split = stored(_words(docs, part_bytes))
+    split = stored(_words(docs, part_chars))
     entries, texts = split.where(F.col("kind") == 0).select("part", "at", "word"), split.where(F.col("kind") == 1).select("part", "doc_id", "refs")
-    words = stored(_tokenized(entries.select("word").distinct(), a, b).withColumn("uid", F.monotonically_increasing_id()))
-    dictionary = stored(entries.join(words.select("word", "uid"), "word").select("part", "at", "uid"))
-    values = stored(_word_values(words))
-    counts = _pair_counts(dictionary.join(values.select("uid", "pairs"), "uid").select("part", "at", "pairs"), texts)
+    tokens = stored(_tokenized(entries.select("word").distinct(), a, b).withColumn("uid", F.monotonically_increasing_id()))
+    dictionary = stored(entries.join(tokens.select("word", "uid"), "word").select("part", "at", "uid"))
+    shapes = cut(aligned_shapes(tokens))
+    numbers = F.broadcast(shapes.select("la", "lb", "shape")) if shapes.count() <= 100_000 else shapes.select("la", "lb", "shape")
+    words = stored(tokens.join(numbers, ["la", "lb"]).select("uid", "ia", "ib", "shape"))
+    drop(tokens)
+    words = _word_tokens(words, shapes.select("shape", "groups", "links"))
+    pairs = words.select("uid", _pairs().alias("pairs"))
+    counts = _pair_counts(dictionary.join(pairs, "uid").select("part", "at", "pairs"), texts)
     counts = cut(counts.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32)))
     top = counts.groupBy("a").agg(F.max("docs").alias("top"))
     scored = cut(counts.join(top, "a").select("pair", "docs", (F.col("docs") == F.col("top")).cast("long").alias("best")))
     scored = F.broadcast(scored) if scored.count() <= broadcast_rows else scored
-    sums = values.select("uid", F.explode("pairs").alias("pair")).join(scored, "pair").groupBy("uid").agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
-    whole = values.drop("pairs").join(sums, "uid")
-    whole = dictionary.join(whole, "uid").select("part", "at", *[F.col(c).cast("long").alias(c) for c in VALUES], "groups")
-    return _assembled(whole, texts)
+    sums = pairs.select("uid", F.explode("pairs").alias("pair")).join(scored, "pair").groupBy("uid").agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("ia", "n_a"), ("ib", "n_b"), ("groups", "n_groups"), ("links", "n_links"))]
+    values = words.select("uid", *sizes, _groups().alias("groups")).join(sums, "uid")
+    return _assembled(dictionary.join(values, "uid").select("part", "at", *VALUES, "groups"), texts)
 
 
 def op11_relational_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

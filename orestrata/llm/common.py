@@ -111,8 +111,18 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read again. The shuffles behind it are dropped."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with shuffles_dropped(df.sparkSession):
-        df.select("*").write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote and that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread_join(rows: DataFrame, few: DataFrame, key: str, n: str = "n", chunk: int = 4096, most_keys: int = 1_000_000) -> DataFrame:
