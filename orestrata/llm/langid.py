@@ -15,6 +15,7 @@ other columns are kept by ``predict`` and never read, but those named like its r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orestrata.llm.common import hash_63, hash_below, small_batches, table
+from orestrata.llm.common import cut, hash_63, small_batches, table
 
 #: Characters of a text that are hashed at a time, so that a very long text needs bounded memory.
 _BLOCK = 1 << 17
@@ -33,10 +34,10 @@ _BLOCK = 1 << 17
 @dataclass(frozen=True)
 class LangParams:
     """``sample_docs`` bounds the labelled training documents; every language gets an equal part of them, picked by a
-    hash of their ids, so a rare language is learnt too. ``max_languages`` (the commonest) bounds what is learnt."""
+    hash of their ids, so a rare language is learnt too, however many there are: one document of each at least. Codewords
+    have ``bits`` bits for up to a thousand languages, and more where there are more (:func:`code_bits`)."""
 
     sample_docs: int = 3000
-    max_languages: int = 1000
     bins_log2: int = 12
     bits: int = 24
     steps: int = 150
@@ -97,7 +98,8 @@ class LangModel:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest codeword and shares of all languages, for rows of features."""
         margin = x @ self.weights[:-1] + self.weights[-1]
-        loss = np.log1p(np.exp(-np.clip(margin[:, None, :] * self.codes[None], -30, 30))) @ self.trust
+        m = np.clip(margin, -30, 30)
+        loss = (np.log1p(np.exp(-m)) * self.trust) @ (self.codes.T > 0) + (np.log1p(np.exp(m)) * self.trust) @ (self.codes.T < 0)
         share = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
         return loss.argmin(axis=1), share
@@ -109,7 +111,7 @@ def codewords(k: int, bits: int, seed: int) -> np.ndarray:
         return np.ones((k, 1))
     rng = np.random.default_rng(seed)
     best, best_least = None, -1.0
-    for _ in range(50):
+    for _ in range(50 if k <= 500 else 3):
         m = np.where(rng.random((k, bits)) < 0.5, -1.0, 1.0)
         flat = np.abs(m.sum(axis=0)) == k
         m[rng.integers(k), flat] *= -1
@@ -120,22 +122,28 @@ def codewords(k: int, bits: int, seed: int) -> np.ndarray:
     return best
 
 
-def training_rows(docs: DataFrame, p: LangParams = PARAMS, counts: dict[str, int] | None = None) -> DataFrame:
-    """``lang, text`` of the sample: of each language the documents with the least hashes. ``counts`` are the rows by language."""
+def code_bits(k: int, bits: int) -> int:
+    """Bits of a codeword of ``k`` languages: ``bits``, or six for each doubling of the languages where that is more."""
+    return max(bits, 6 * math.ceil(math.log2(max(2, k)))) if k > 16 else bits
+
+
+def training_rows(docs: DataFrame, p: LangParams = PARAMS) -> DataFrame:
+    """``lang, text`` of the sample: of each language the documents with the least hashes.
+
+    How many rows a language has is a table that is joined, so there may be any number of languages. Rows of common languages
+    that lie far above the share that is wanted go before anything is sorted.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    if counts is None:
-        by_lang = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_languages)
-        counts = {r["lang"]: r["n"] for r in by_lang.collect()}
-    if not counts:
-        return known.select("lang", "text").limit(0)
-    quota = max(1, p.sample_docs // len(counts))
-    rows = known.withColumn("_l_h", hash_63("doc_id", F.length("text"), seed="lang"))
-    # Twice the share that is wanted is looked at; common languages' other rows go before anything is sorted.
-    near = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        near = near | ((F.col("lang") == lang) & (F.lit(True) if n <= 2 * quota else hash_below(F.col("_l_h"), 2 * quota, n)))
+    known = known.withColumn("_l_h", hash_63("doc_id", F.length("text"), seed="lang"))
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("_l_n")))
+    n = counts.count()
+    quota = max(1, p.sample_docs // max(1, n))
+    counts = F.broadcast(counts) if n <= 100_000 else counts
+    # A 63-bit hash as a share of its range: twice the share that is wanted is looked at.
+    share = F.col("_l_h") / F.lit(float(1 << 63))
+    near = known.join(counts, "lang").where((F.col("_l_n") <= 2 * quota) | (share < 2 * quota / F.col("_l_n")))
     order = Window.partitionBy("lang").orderBy("_l_h")
-    return rows.where(near).withColumn("_l_k", F.row_number().over(order)).where(F.col("_l_k") <= quota).select("lang", "text")
+    return near.withColumn("_l_k", F.row_number().over(order)).where(F.col("_l_k") <= quota).select("lang", "text")
 
 
 def learn(docs: DataFrame, p: LangParams = PARAMS) -> LangModel:
@@ -166,7 +174,7 @@ def learn(docs: DataFrame, p: LangParams = PARAMS) -> LangModel:
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], dtype=np.int32)] = np.frombuffer(r["value"], dtype=np.float32)
         y[i] = languages.index(r["lang"])
-    codes = codewords(len(languages), p.bits, p.seed)
+    codes = codewords(len(languages), code_bits(len(languages), p.bits), p.seed)
     if len(languages) < 2:
         return LangModel(languages, codes, np.zeros(((1 << bins) + 1, 1)), np.ones(1), bins)
     w, trust = _fit(x, codes[y], p.steps)

@@ -39,6 +39,19 @@ def test_rare_languages_are_learnt(spark):
     assert set(langid.learn(docs, p).languages) == {"aa", "bb", "cc"}
 
 
+def test_thousands_of_languages(spark):
+    """Every language is learnt, whatever their number: 5000, each with words of its own."""
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 5000).alias("lang"))
+    docs = docs.withColumn("text", F.expr("concat_ws(' ', transform(sequence(1, 8), k -> translate(concat(lang, 'x', lang), '0123456789', 'abcdefghij')))"))
+    rows = langid.training_rows(docs).groupBy("lang").count().collect()
+    held = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("lang").distinct().count()
+    assert len(rows) == held > 4500 and all(r["count"] == 1 for r in rows)
+    p = langid.LangParams(steps=2)
+    model = langid.learn(docs, p)
+    assert len(model.languages) == held and model.codes.shape[1] > p.bits
+    assert langid.predict(docs.limit(300), model).where("lang_pred = 'und'").count() == 0
+
+
 def test_html_trees_are_fitted_whatever_the_count(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").limit(40)
     model = htmltext.learn(pages)
