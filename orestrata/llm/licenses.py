@@ -125,6 +125,8 @@ DIGESTS = [
     ("MPL-2.0", "b5b7a0cf4994910cd0204fba4637d6ec"),
 ]
 
+#: No text that is known by its digest alone is shorter than this.
+LEAST_DIGESTED = 1000
 #: Lines that say who holds the copyright: a sign, a year, a placeholder or a name must follow the word.
 _SIGNED = r"[ \t]*(?:(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]{4}|<|\[|by\b)|(?:\(c\)|©)[ \t]*(?:[0-9]{4}|copyright\b|<|\[)|all rights reserved))"
 _NAMED = r"[ \t]*Copyright (?:The )?[A-Z][a-z]"
@@ -175,9 +177,11 @@ def scan(docs: DataFrame, text: str = "text", texts: list[tuple[str, str]] | Non
     rows = {r["_l_digest"]: r["license"] for r in known.collect()}  # as many as the fixed list has
     notice_ids = F.create_map(*[F.lit(v) for k, name in sorted(rows.items()) for v in (k, name)]) if rows else F.create_map().cast("map<string,string>")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    # Only lines that begin like one of the texts are brought to their form; the others can't have its digest.
+    # Short lines are brought to their form only if they begin like one of the texts; the others can't have its digest.
+    # How the texts begin that are known by digest alone isn't known, so long lines all are.
     begins = sorted(r["b"] for r in known_forms(spark, texts).select(first_letters(F.col("form")).alias("b")).distinct().collect())
-    lines = F.filter(lines, lambda s: F.lower(s).rlike(r"^[^\p{L}\p{N}]*(?:" + "|".join(begins) + ")" if begins else "$^"))
+    like = r"^[^\p{L}\p{N}]*(?:" + "|".join(begins) + ")" if begins else "$^"
+    lines = F.filter(lines, lambda s: (F.lit(texts is None) & (F.length(s) >= LEAST_DIGESTED)) | F.lower(s).rlike(like))
     found = F.transform(lines, lambda s: F.element_at(notice_ids, F.coalesce(digest(_plain(s)), F.lit(""))))
     out = docs.withColumn("_l_text_digest", digest(canonical(F.col(text))))
     out = out.withColumn("_l_notices", F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))))

@@ -48,3 +48,26 @@ def test_lines_without_a_usual_word_are_found(spark):
     got = licenses.scan(docs, texts=own).orderBy("doc_id").collect()
     assert [list(r["_l_notices"]) for r in got] == [["FREE"], ["OWN"], []]
     assert licenses.scan(docs, texts=[]).where("size(_l_notices) > 0 or _l_license is not null").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="the system has no folder of licences")
+def test_long_licences_on_one_line_are_notices(spark, tmp_path):
+    """A whole licence in one line of a text, by the query and by its SQL."""
+    from oracle import compare
+
+    texts = [open(f"{COMMON}/{f}", encoding="utf-8", errors="replace").read() for _, f in FILES]
+    bodies = [licenses_without_holders(t) for t in texts]
+    rows = [(i, f"before\n{' '.join(b.split())}\nafter") for i, b in enumerate(bodies)] + [(90, "x " * 800)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.notices for r in licenses.op10_license_digest(spark, str(tmp_path)).collect()}
+    assert sum(bool(x) for x in got.values()) >= 6 and got[90] == ""
+    assert got[[n for n, _ in FILES].index("MPL-2.0")] == "MPL-2.0"
+    os.mkdir(f"{tmp_path}/in")
+    spark.read.parquet(f"{tmp_path}/documents.parquet").toPandas().to_parquet(f"{tmp_path}/in/documents.parquet")
+    for t in "region nation customer supplier part orders lineitem events embeddings pages benchmark labels conversations".split():
+        spark.range(1).toPandas().to_parquet(f"{tmp_path}/in/{t}.parquet")
+    assert compare(spark, licenses.op10_license_digest, licenses.OP10_SQL, f"{tmp_path}/in") == ""
+
+
+def licenses_without_holders(text):
+    return "\n".join(s for s in text.split("\n") if not s.strip().lower().startswith(("copyright (c)", "all rights reserved", "copyright ©")))
