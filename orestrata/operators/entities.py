@@ -21,8 +21,14 @@ def orphans(samples: DataFrame, locations: DataFrame) -> DataFrame:
     return samples.join(locations.select("location_id").distinct(), "location_id", "left_anti")
 
 
+def sample_keys(*frames: DataFrame) -> list[str]:
+    """What names a sample in all of ``frames``: its number within its document. Reports number their samples themselves, so
+    several have an "S1"; frames of a single document may lack ``doc_id``."""
+    return ["doc_id", "sample_id"] if all("doc_id" in d.columns for d in frames) else ["sample_id"]
+
+
 def assay_counts(assays: DataFrame) -> DataFrame:
-    return assays.groupBy("sample_id").agg(F.count("*").alias("assay_count"))
+    return assays.groupBy(*sample_keys(assays)).agg(F.count("*").alias("assay_count"))
 
 
 def nested_samples(samples: DataFrame, locations: DataFrame) -> DataFrame:
@@ -41,8 +47,8 @@ def link_first(samples: DataFrame, locations: DataFrame, reach: int = 100) -> Da
     place = lambda text, what: F.when(F.coalesce(what, F.lit("")) == "", 1).otherwise(F.instr(text, what))
     apart = F.abs(place(F.col("s.source_text"), F.col("l.name")) - place(F.col("l.source_text"), F.col("s.sample_id")))
     near = (F.col("s.source_text") != "") & (F.col("l.source_text") != "") & (apart < reach)
-    found = s.join(l, F.col("s.doc_id") == F.col("l.doc_id")).where(near).groupBy("s.sample_id").agg(F.min("l.location_id").alias("linked_id"))
-    return samples.join(found, "sample_id", "left")
+    found = s.join(l, F.col("s.doc_id") == F.col("l.doc_id")).where(near).groupBy("s.doc_id", "s.sample_id").agg(F.min("l.location_id").alias("linked_id"))
+    return samples.join(found, ["doc_id", "sample_id"], "left")
 
 
 def combined(locations: DataFrame, samples: DataFrame, assays: DataFrame, observations: DataFrame) -> DataFrame:
@@ -76,7 +82,7 @@ def jsonld(locations: DataFrame) -> DataFrame:
 
 def pivot_elements(assays: DataFrame, elements: list[str]) -> DataFrame:
     """Mean value of each element by sample, 0 where there is none. The elements are given, so no pass looks for them."""
-    return assays.groupBy("sample_id").pivot("element", elements).agg(F.avg("value")).fillna(0.0)
+    return assays.groupBy(*sample_keys(assays)).pivot("element", elements).agg(F.avg("value")).fillna(0.0)
 
 
 def summary(locations: DataFrame, samples: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orestrata.operators.entities import sample_keys
+
 # The columns of the flat tables, in order.
 COORDINATE_FIELDS = ("latitude", "longitude", "easting", "northing", "utm_zone", "township", "range", "section", "quarter_section", "coordinate_system")
 LOCATIONS = ("id", "name", "location_type", *COORDINATE_FIELDS, "elevation", "elevation_unit", "county", "state_province", "country", "confidence", "source_text")
@@ -42,9 +44,10 @@ def samples_table(samples: DataFrame) -> DataFrame:
 
 
 def assays_table(samples: DataFrame) -> DataFrame:
-    """One row an assay of ``assays`` (an array of structs), with its sample's id; samples without one have none."""
-    d = samples.select("sample_id", F.explode("assays").alias("a")).select("sample_id", "a.*")
-    return flat(d, ASSAYS)
+    """One row an assay of ``assays`` (an array of structs), with its sample's id, and its document's where there is one; samples without one have none."""
+    keys = sample_keys(samples)
+    d = samples.select(*keys, F.explode("assays").alias("a")).select(*keys, "a.*")
+    return flat(d, ("doc_id", *ASSAYS) if "doc_id" in keys else ASSAYS)
 
 
 def observations_table(observations: DataFrame) -> DataFrame:
@@ -55,9 +58,10 @@ def observations_table(observations: DataFrame) -> DataFrame:
 
 def with_assays(samples: DataFrame, assays: DataFrame) -> DataFrame:
     """Samples with their assays as an array in order (``ord``); a sample without one has an empty array."""
-    fields = [c for c in assays.columns if c != "sample_id"]
-    lists = assays.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in fields if c != "ord"]))).alias("assays"))
-    d = samples.join(lists, "sample_id", "left")
+    keys = sample_keys(samples, assays)
+    fields = [c for c in assays.columns if c not in ("doc_id", "sample_id")]
+    lists = assays.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in fields if c != "ord"]))).alias("assays"))
+    d = samples.join(lists, keys, "left")
     return d.withColumn("assays", F.coalesce("assays", F.array().cast(lists.schema["assays"].dataType)))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def keep_confident(blocks: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -43,17 +47,24 @@ def line_rows(blocks: DataFrame, least: int = 3) -> DataFrame:
 def anchored_rows(blocks: DataFrame, reach: int = 50) -> DataFrame:
     """Blocks with the number of their row group; a group holds what lies less than ``reach`` from its first member.
 
-    The fold depends on each group's first member, so a page's blocks (bounded by the page) are one sorted array.
+    The fold depends on each group's first member, so a page's blocks go by in order; nothing of a page is held but its last group's place.
     """
-    page = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y", "block_ord"))).alias("bs"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(0).alias("g"), F.array().cast("array<struct<block_ord:bigint,g:int>>").alias("out"))
+    page = blocks.select("page_id", "y", "block_ord").repartition("page_id").sortWithinPartitions("page_id", "y", "block_ord")
 
-    def step(a, b):
-        new = a["anchor"].isNull() | (F.abs(b["y"] - a["anchor"]) >= reach)
-        g = F.when(new, a["g"] + 1).otherwise(a["g"])
-        return F.struct(F.when(new, b["y"]).otherwise(a["anchor"]).alias("anchor"), g.alias("g"), F.concat(a["out"], F.array(F.struct(b["block_ord"].alias("block_ord"), g.alias("g")))).alias("out"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = anchor = None
+        group = 0
+        for b in batches:
+            out = []
+            for page_id, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if page_id != now:
+                    now, anchor, group = page_id, y, 1
+                elif abs(y - anchor) >= reach:
+                    anchor, group = y, group + 1
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.int32())], names=["page_id", "block_ord", "row_group"])
 
-    return page.select("page_id", F.explode(F.aggregate("bs", start, step)["out"]).alias("b")).select("page_id", "b.block_ord", F.col("b.g").alias("row_group"))
+    return page.mapInArrow(fold, T.StructType([blocks.schema["page_id"], blocks.schema["block_ord"], T.StructField("row_group", T.IntegerType())]))
 
 
 def intersections(lines: DataFrame, stripe: int = 64) -> DataFrame:
@@ -88,10 +99,13 @@ def in_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def classes(blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """Blocks as paragraph or, in one of the page's ``tables``, table; then header (y < 100) and footer (y > 1000), the later winning."""
-    inside = in_tables(blocks, tables).select("block_ord").distinct().withColumn("_in", F.lit(True))
+    """Blocks as paragraph or, in one of the page's ``tables``, table; then header (y < 100) and footer (y > 1000), the later winning.
+
+    A block is named by its page and its number on it; numbers start anew on every page.
+    """
+    inside = in_tables(blocks, tables).select("page_id", "block_ord").distinct().withColumn("_in", F.lit(True))
     kind = F.when(F.col("y") > 1000, "footer").when(F.col("y") < 100, "header").when(F.col("_in"), "table").otherwise("paragraph")
-    return blocks.join(inside, "block_ord", "left").withColumn("text_type", kind).drop("_in")
+    return blocks.join(inside, ["page_id", "block_ord"], "left").withColumn("text_type", kind).drop("_in")
 
 
 def page_structure(classified: DataFrame) -> DataFrame:

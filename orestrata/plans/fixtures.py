@@ -61,6 +61,26 @@ from part""",
   concat(event_type, ' ', cast(event_id % 90 as string), '.', cast(event_id % 97 as string),
          case when event_id % 4 = 0 then '°N' else '' end) as text
 from events""",
+    ),
+    "page_block": (
+        ("events",),
+        """select user_id as page_id, row_number() over (partition by user_id order by event_id) - 1 as block_ord, (event_id * 17) % 800 as x, (event_id * 29) % 1100 as y,
+  40 + event_id % 60 as w, 12 + event_id % 9 as h from events""",
+    ),
+    "doc_sample": (
+        ("orders",),
+        """select cast(floor(o_custkey % 120 / 3) as bigint) as doc_id, o_custkey % 120 as location_id,
+  concat('S', cast(row_number() over (partition by floor(o_custkey % 120 / 3) order by o_orderkey) as string)) as sample_id,
+  case o_orderkey % 3 when 0 then 'core' when 1 then 'chip' else 'grab' end as sample_type, o_orderkey as order_key
+from orders""",
+    ),
+    "doc_assay": (
+        ("lineitem", "orders"),
+        """select doc_id, sample_id, l_linenumber as ord,
+  case l_partkey % 6 when 0 then 'Au' when 1 then 'Ag' when 2 then 'Cu' when 3 then 'Pb' when 4 then 'Zn' else 'Fe' end as element,
+  l_quantity * 25000 as value, case l_linenumber % 3 when 1 then 'ppm' when 2 then '%' else 'g/t' end as unit
+from lineitem join (select o_orderkey, cast(floor(o_custkey % 120 / 3) as bigint) as doc_id,
+  concat('S', cast(row_number() over (partition by floor(o_custkey % 120 / 3) order by o_orderkey) as string)) as sample_id from orders) s on l_orderkey = o_orderkey""",
     ),
     "ocr_engine_page": (
         ("events",),

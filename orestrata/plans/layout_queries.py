@@ -134,6 +134,13 @@ def block_classes(spark, sf_dir):
     return _classified(spark, sf_dir).select("page_id", "block_ord", "text_type")
 
 
+@register("block_classes_by_page", _recursive(cte("ocr_line", "page_block") + _CLASSES.replace("from ocr_block b", "from page_block b") + "select * from k"))
+def block_classes_by_page(spark, sf_dir):
+    """Blocks whose numbers start anew on every page."""
+    blocks = projection(spark, sf_dir, "page_block")
+    return layout.classes(blocks, layout.table_clusters(_points(spark, sf_dir))).select("page_id", "block_ord", "text_type")
+
+
 @register(
     "page_structure",
     _recursive(cte("ocr_line", "ocr_block"))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from orestrata.functions import checks
-from orestrata.operators import entities
+from orestrata.operators import entities, exports
 from orestrata.plans.catalog import register
 from orestrata.plans.fixtures import cte, projection
 
@@ -121,6 +121,34 @@ def link_first_match(spark, sf_dir):
     return entities.link_first(s, l).select("sample_id", "linked_id")
 
 
+@register(
+    "link_first_by_document",
+    cte("doc_sample", "geo_location")
+    + """, s as (select *, concat(repeat('-', (location_id % 150)::int), sample_type, ' Supplier#', location_id::varchar) as t from doc_sample),
+l as (select location_id, doc_id, name, concat(name, ' ', location_type) as t from geo_location),
+m as (select s.doc_id, s.sample_id, min(l.location_id) as linked_id from s join l on s.doc_id = l.doc_id and abs(strpos(s.t, l.name) - strpos(l.t, s.sample_id)) < 100 group by all)
+select s.doc_id, s.sample_id, linked_id from s left join m on s.doc_id = m.doc_id and s.sample_id = m.sample_id""",
+)
+def link_first_by_document(spark, sf_dir):
+    """Samples whose numbers start anew in every document."""
+    text = F.concat(F.repeat(F.lit("-"), (F.col("location_id") % 150).cast("int")), F.col("sample_type"), F.lit(" Supplier#"), F.col("location_id").cast("string"))
+    s = projection(spark, sf_dir, "doc_sample").select("doc_id", "sample_id", text.alias("source_text"))
+    l = location(spark, sf_dir).withColumn("source_text", F.concat("name", F.lit(" "), "location_type"))
+    return entities.link_first(s, l).select("doc_id", "sample_id", "linked_id")
+
+
+@register(
+    "assays_by_document",
+    cte("doc_sample", "doc_assay")
+    + """select s.doc_id, s.sample_id, count(a.ord) as assay_count, coalesce(string_agg(element, ',' order by ord, element, value), '') as elements
+from doc_sample s left join doc_assay a on s.doc_id = a.doc_id and s.sample_id = a.sample_id group by s.doc_id, s.sample_id""",
+)
+def assays_by_document(spark, sf_dir):
+    """Assays nested in samples whose numbers start anew in every document."""
+    d = exports.with_assays(projection(spark, sf_dir, "doc_sample"), projection(spark, sf_dir, "doc_assay"))
+    return d.select("doc_id", "sample_id", F.size("assays").cast("long").alias("assay_count"), F.array_join(F.col("assays.element"), ",").alias("elements"))
+
+
 _ASSAY = """array_to_string(list_filter([
  case when element not in ('Au','Ag','Cu','Pb','Zn','Fe') and element not in ('c') then 'unknown element' end,
  case when value < 0 then 'negative value' end, case when value > 1000000 then 'value too large' end,
