@@ -110,3 +110,25 @@ def cross_warnings(samples: DataFrame, locations: DataFrame, coordinates: DataFr
     for c in ("latitude", "longitude"):
         out = out.unionByName(places.where(c).select(F.lit(c).alias("warning"), F.col("place").cast("string").alias("subject")))
     return out
+
+
+def cross_messages(samples: DataFrame, locations: DataFrame, coordinates: DataFrame, spread: float = 0.1) -> DataFrame:
+    """``warning``: the messages across entities. One says how many samples have no location, one that some name a location that isn't there
+    (or none), and one for each place and axis whose several coordinates lie too far apart."""
+    lost = orphans(samples, locations).agg(F.count("*").alias("n"), F.count_if(F.col("location_id").isNull()).alias("unplaced"))
+    unplaced = F.when(F.col("unplaced") > 0, F.concat(F.col("unplaced").cast("string"), F.lit(" samples without a location")))
+    absent = F.when(F.col("n") > 0, F.lit("samples name locations that aren't there"))
+    out = lost.select(F.explode(F.array_compact(F.array(unplaced, absent))).alias("warning"))
+    far = cross_warnings(samples.limit(0), locations, coordinates, spread)
+    return out.unionByName(far.select(F.concat("subject", F.lit(": several values of "), "warning").alias("warning")))
+
+
+def report(locations: DataFrame, samples: DataFrame, warnings: DataFrame) -> DataFrame:
+    """``entity, n, errors, warnings, valid``: a row for each kind (both have ``errors``), one for the warnings across them, and the totals."""
+    one = lambda d, kind: d.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("long").alias("errors")).select(F.lit(kind).alias("entity"), "n", "errors", F.lit(0).cast("long").alias("warnings"))
+    none = F.lit(0).cast("long")
+    rows = one(locations, "locations").unionByName(one(samples, "samples"))
+    rows = rows.unionByName(warnings.agg(F.count("*").alias("warnings")).select(F.lit("cross_validation").alias("entity"), none.alias("n"), none.alias("errors"), "warnings"))
+    valid = F.when(F.col("entity").isin("locations", "samples"), F.col("errors") == 0)
+    whole = rows.agg(F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings")).select(F.lit("total").alias("entity"), none.alias("n"), "errors", "warnings")
+    return rows.unionByName(whole).withColumn("valid", valid)

@@ -11,6 +11,7 @@ from orestrata.functions import coords
 LOCATION_TYPES = ("drill_hole", "sample_site", "mine", "claim", "prospect", "outcrop")
 SAMPLE_TYPES = ("core", "chip", "grab", "channel", "soil", "rock", "drill_cuttings")
 FEATURE_TYPES = ("fault", "fold", "contact", "mineralization", "alteration", "vein", "dike", "sill", "unconformity", "bedding")
+LENGTH_UNITS = ("m", "ft")
 ASSAY_UNITS = ("ppm", "%", "g/t", "oz/t", "ppb", "wt%")
 DEFAULTS = {"location_type": "sample_site", "sample_type": "rock", "feature_type": "contact", "depth_unit": "m", "unit": "ppm", "confidence": 0.5, "value": 0.0, "description": ""}
 # Factors of units to parts of one, as they are given.
@@ -50,32 +51,41 @@ def geometry(coordinates: Column) -> tuple[Column, Column]:
 
 
 def locations(items: DataFrame) -> DataFrame:
-    """Locations of ``items`` (fields may be absent); unknown types and confidences out of range are dropped, and coordinates that don't parse."""
+    """Locations of ``items`` (fields may be absent); unknown types and elevation units and confidences out of range are dropped, and coordinates that don't parse."""
     d = items.withColumns({"location_type": default("location_type"), "confidence": default("confidence")})
     d = d.withColumn("coordinates", F.filter(F.transform(F.coalesce("coordinates", F.array().cast(f"array<{COORDINATE}>")), coordinate), lambda c: c.isNotNull()))
     lon, lat = geometry(F.col("coordinates"))
     d = d.where(F.col("location_type").isin(*LOCATION_TYPES) & F.col("confidence").between(0, 1))
+    if "elevation_unit" in d.columns:
+        d = d.withColumn("elevation_unit", F.coalesce("elevation_unit", F.lit("m"))).where(F.col("elevation_unit").isin(*LENGTH_UNITS))
     return d.withColumns({"longitude": lon, "latitude": lat})
 
 
 def samples(items: DataFrame) -> DataFrame:
-    """Samples with defaults; those of unknown type, with inverted depths or an assay that can't be are dropped. They are linked to locations later."""
+    """Samples with defaults; those of unknown type or depth unit, with inverted depths or an assay that can't be are dropped.
+
+    An assay without an element has an empty one. Samples are linked to locations later.
+    """
     d = items.withColumns({c: default(c) for c in ("sample_type", "depth_unit", "confidence")}).withColumn("sample_id", F.coalesce("sample_id", F.lit("")))
     assay = lambda a: F.struct(
-        a["element"].alias("element"), F.coalesce(a["value"], F.lit(DEFAULTS["value"])).alias("value"), F.coalesce(a["unit"], F.lit(DEFAULTS["unit"])).alias("unit"),
+        F.coalesce(a["element"], F.lit("")).alias("element"), F.coalesce(a["value"], F.lit(DEFAULTS["value"])).alias("value"), F.coalesce(a["unit"], F.lit(DEFAULTS["unit"])).alias("unit"),
         a["detection_limit"].alias("detection_limit"), F.coalesce(a["confidence"], F.lit(DEFAULTS["confidence"])).alias("confidence"),
     )
     d = d.withColumn("assays", F.transform(F.coalesce("assays", F.array().cast(items.schema["assays"].dataType)), assay))
-    good = F.forall("assays", lambda a: a["element"].isNotNull() & (a["value"] >= 0) & a["unit"].isin(*ASSAY_UNITS) & a["confidence"].between(0, 1))
+    good = F.forall("assays", lambda a: (a["value"] >= 0) & a["unit"].isin(*ASSAY_UNITS) & a["confidence"].between(0, 1))
     depths = F.coalesce(F.col("depth_to") > F.col("depth_from"), F.lit(True))
-    return d.where(good & depths & F.col("sample_type").isin(*SAMPLE_TYPES) & F.col("confidence").between(0, 1))
+    return d.where(good & depths & F.col("depth_unit").isin(*LENGTH_UNITS) & F.col("sample_type").isin(*SAMPLE_TYPES) & F.col("confidence").between(0, 1))
 
 
 def observations(items: DataFrame) -> DataFrame:
-    """Observations with defaults; unknown kinds and measurements out of range are dropped."""
+    """Observations with defaults; unknown kinds and measurements out of range are dropped. A measurement's confidence is ``measurement_confidence``."""
     d = items.withColumns({c: default(c) for c in ("feature_type", "description", "confidence")})
-    turn = lambda c, most: F.coalesce(F.col(c).between(0, most), F.lit(True))
-    return d.where(F.col("feature_type").isin(*FEATURE_TYPES) & F.col("confidence").between(0, 1) & turn("strike", 360) & turn("dip", 90))
+    ranges = {"strike": 360, "dip": 90, "trend": 360, "plunge": 90, "measurement_confidence": 1}
+    good = F.col("feature_type").isin(*FEATURE_TYPES) & F.col("confidence").between(0, 1)
+    for c, most in ranges.items():
+        if c in d.columns:
+            good = good & F.coalesce(F.col(c).between(0, most), F.lit(True))
+    return d.where(good)
 
 
 def first_metadata(blocks: DataFrame) -> DataFrame:

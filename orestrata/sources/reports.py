@@ -65,10 +65,10 @@ def occurrences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def answers(rows: DataFrame, column: str, schema: str) -> DataFrame:
-    """A model's JSON answer parsed; an answer with words around it gives its outermost braces."""
+    """A model's JSON answer parsed, its text kept as ``answer_text``; an answer with words around it gives its outermost braces."""
     whole = F.from_json(column, schema)
     inner = F.from_json(F.regexp_extract(column, r"(?s)\{.*\}", 0), schema)
-    return rows.withColumn("answer", F.when(F.trim(column).startswith("{"), F.coalesce(whole, inner)).otherwise(inner))
+    return rows.withColumn("answer_text", F.col(column)).withColumn("answer", F.when(F.trim(column).startswith("{"), F.coalesce(whole, inner)).otherwise(inner))
 
 
 def upload_error(files: DataFrame, name: str = "path") -> DataFrame:
