@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orestrata.operators.selection import median
 from orestrata.operators.terrain import class_report
 
 COLUMNS = ("slope_deg", "aspect_deg", "edge_density", "dist_m")
@@ -40,8 +41,7 @@ def importances(model: RandomForestClassificationModel, columns=COLUMNS) -> list
 
 def medians(rows: DataFrame, columns=COLUMNS) -> dict[str, float]:
     """The median of each column over what is neither null nor NaN; 0 for a column without any."""
-    r = rows.agg(*[F.median(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).first()
-    return {c: 0.0 if r[c] is None else float(r[c]) for c in columns}
+    return {c: median(rows, c) or 0.0 for c in columns}
 
 
 def score(model: RandomForestClassificationModel | None, rows: DataFrame, columns=COLUMNS) -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orestrata.operators import tiles
+from orestrata.operators.selection import median
+
 
 def sobel(grid: DataFrame) -> DataFrame:
-    """``gx`` and ``gy`` by the 3 x 3 stencil, edges reflected: smoothing and difference along one axis at a time."""
-    along = lambda part, order: Window.partitionBy(part).orderBy(order)
-    col_w, row_w = along("col_id", "row_id"), along("row_id", "col_id")
-    back = lambda c, w: F.coalesce(F.lag(c).over(w), F.col(c))
-    ahead = lambda c, w: F.coalesce(F.lead(c).over(w), F.col(c))
-    d = grid.withColumn("_s", back("z", col_w) + 2 * F.col("z") + ahead("z", col_w)).withColumn("_d", ahead("z", col_w) - back("z", col_w))
-    return d.withColumn("gx", ahead("_s", row_w) - back("_s", row_w)).withColumn("gy", back("_d", row_w) + 2 * F.col("_d") + ahead("_d", row_w)).drop("_s", "_d")
+    """``gx`` and ``gy`` by the 3 x 3 stencil, edges reflected, on tiles with a halo of a pixel."""
+    d = grid.select("row_id", "col_id", F.col("z").cast("double").alias("z"))
+    return tiles.on_tiles(d, tiles.sobel_kernel, 1, ["z"], "gx double, gy double")
 
 
 def slope_aspect(grid: DataFrame, pixel: float = 30.0) -> DataFrame:
@@ -33,32 +32,23 @@ def edge_density(grid: DataFrame) -> DataFrame:
 def nearest_distance(grid: DataFrame, points: DataFrame, pixel: float = 30.0) -> DataFrame:
     """Distance of each pixel to the nearest point pixel; null if no point lies on the grid.
 
-    Separable: nearest point along the column by windows, then the least over the row's columns, whose list is
-    bounded by the width of the raster. The number of points doesn't matter.
+    Exact and separable: along columns, then along rows by the lower envelope of parabolas (:func:`tiles.squared_distances`).
     """
-    marked = grid.select("row_id", "col_id").join(points.select("row_id", "col_id").distinct().withColumn("_p", F.lit(True)), ["row_id", "col_id"], "left")
-    w = Window.partitionBy("col_id").orderBy("row_id")
-    at = F.when(F.col("_p"), F.col("row_id"))
-    up = F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    g = marked.withColumn("_g", F.least(F.col("row_id") - up, down - F.col("row_id")))
-    rows = g.groupBy("row_id").agg(F.collect_list(F.struct("col_id", "_g")).alias("cs"))
-    best = lambda c: F.array_min(F.transform(F.filter("cs", lambda o: o["_g"].isNotNull()), lambda o: (o["col_id"] - c["col_id"]) * (o["col_id"] - c["col_id"]) + o["_g"] * o["_g"]))
-    out = rows.select("row_id", F.explode(F.transform("cs", lambda c: F.struct(c["col_id"].alias("col_id"), best(c).alias("d2")))).alias("c"))
-    return out.select("row_id", "c.col_id", (F.sqrt(F.col("c.d2").cast("double")) * pixel).alias("dist_m"))
+    return tiles.squared_distances(grid, points).select("row_id", "col_id", (F.sqrt(F.col("d2").cast("double")) * pixel).alias("dist_m"))
 
 
 def labels(distances: DataFrame, inside: float = 300.0, outside: float = 1000.0, seed: int = 42) -> DataFrame:
     """1 within ``inside``, 0 for as many pixels beyond ``outside`` (in md5 order of seed and place), else -1."""
     d = distances.withColumn("_pos", F.col("dist_m") <= inside).withColumn("_far", F.col("dist_m") > outside)
-    n = d.agg(F.count_if("_pos").alias("_n"))
+    n = d.agg(F.count_if("_pos").alias("_n"), F.count_if("_far").alias("_all"))
     order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("row_id").cast("string"), F.col("col_id").cast("string")))
     far = d.where("_far").withColumn("_h", order)
-    # Ranks by the leading digits first, so that no single task sorts all candidates.
-    parts = far.withColumn("_b", F.substring("_h", 1, 2))
+    # Ranks by the leading digits first, as many as keep a part to a few thousand candidates, so that no single task sorts them all.
+    digits = F.least(F.lit(4), F.greatest(F.lit(1), F.ceil(F.log(16.0, (F.col("_all") + 1) / 4096.0)))).cast("int")
+    parts = far.crossJoin(F.broadcast(n.select(digits.alias("_digits")))).withColumn("_b", F.substring(F.col("_h"), F.lit(1), F.col("_digits"))).drop("_digits")
     before = parts.groupBy("_b").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h"))).join(F.broadcast(before), "_b")
-    chosen = ranked.crossJoin(F.broadcast(n)).where(F.col("_r") + F.col("_before") <= F.col("_n")).select("row_id", "col_id", F.lit(True).alias("_neg"))
+    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h"))).join(before, "_b")
+    chosen = ranked.crossJoin(F.broadcast(n.select("_n"))).where(F.col("_r") + F.col("_before") <= F.col("_n")).select("row_id", "col_id", F.lit(True).alias("_neg"))
     label = F.when(F.col("_neg"), 0).when(F.col("_pos"), 1).otherwise(-1)
     return d.join(chosen, ["row_id", "col_id"], "left").select("row_id", "col_id", label.alias("label"))
 
@@ -95,8 +85,8 @@ def pixel_boxes(pixels: DataFrame, x0: float, y0: float, a: float = 30.0, e: flo
 def median_impute(rows: DataFrame, column: str) -> DataFrame:
     """Values that are null or not finite become the median of those that are not NaN."""
     finite = F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf"))
-    m = rows.where(~F.isnan(column)).agg(F.median(column).alias("_m"))
-    return rows.crossJoin(F.broadcast(m)).withColumn(column, F.when(finite, F.col(column)).otherwise(F.col("_m"))).drop("_m")
+    m = median(rows, column)
+    return rows.withColumn(column, F.when(finite, F.col(column)).otherwise(F.lit(m).cast("double")))
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
