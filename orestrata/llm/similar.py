@@ -40,7 +40,7 @@ BANDS, ROWS = 40, 5
 #: A sketch holds the low four bits of this many least hashes, 16 in a long.
 SKETCHED = 192
 #: Bands that the first turns look at.
-PEELED = 3
+PEELED = 8
 #: Shingles hashed at a time, so that one very long text needs bounded memory.
 _BLOCK = 1 << 12
 _rng = np.random.default_rng(42)
@@ -86,6 +86,13 @@ def sketches_meet(x: str, y: str, least: float):
     return differ <= most
 
 
+def _one_shard(x: str, y: str):
+    """The one shard of those that two rows share in which they are compared: the least of the small ones, or that of the two least large ones."""
+    shared = lambda c: F.array_sort(F.array_intersect(f"{x}.{c}", f"{y}.{c}"))
+    big = shared("big")
+    return F.coalesce(F.get(shared("small"), 0), F.xxhash64(F.get(big, 0), F.get(big, 1)))
+
+
 def _keys(rows: DataFrame, width: int) -> DataFrame:
     """``id, n`` (shingles), ``keys`` and ``sketch`` of every row of ``id, text``."""
     small_batches(rows.sparkSession)
@@ -149,13 +156,15 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
     left = lambda d: d if gone is None else d.join(gone, "id", "left_anti")
     while True:
         if last:
-            members = left(members).join(keys.select("id", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCHED // 16)]), "id")
+            members = left(members).join(keys.select("id", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCHED // 16)]), "id").join(shards, "id")
             x, y = members.alias("x"), members.alias("y")
             size = F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.o") < F.col("y.o")) & size & sketches_meet("x", "y", least)).select(F.col("x.o").alias("lo"), F.col("x.n").alias("m"), "y.id", "y.n")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.o") < F.col("y.o")) & size & sketches_meet("x", "y", least) & (F.col("x.key") == _one_shard("x", "y"))).select(F.col("x.o").alias("lo"), F.col("x.n").alias("m"), "y.id", "y.n")
         else:
-            sizes = now.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-            dealt = now.join(sizes, "key").select("key", "id", "o", "n", F.pmod(F.xxhash64("id", F.lit(turn)), _parts("size", shard_rows)).alias("part"))
+            # Small shards are left to the last join, once most copies are gone.
+            few = shard_rows // 4 if peeled else 1
+            sizes = now.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > few)
+            dealt = cut(now.join(sizes, "key").select("key", "id", "o", "n", F.pmod(F.xxhash64("id", F.lit(turn)), _parts("size", shard_rows)).alias("part")))
             lead = dealt.groupBy("key", "part").agg(F.min(F.struct("o", F.col("n").alias("m"))).alias("lead"))
             pairs = dealt.join(lead, ["key", "part"]).where(F.col("id") != F.col("lead.o.i")).select(F.col("lead.o").alias("lo"), F.col("lead.m").alias("m"), "id", "n")
         near = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n")
@@ -169,7 +178,7 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
         if found:
             # Shards that lost an eighth of their rows or more are mostly copies and go on so.
             of_shard = now.join(lost, "id", "left_semi").groupBy("key").agg(F.count("*").alias("lost"))
-            active = of_shard.join(sizes, "key").where((8 * F.col("lost") >= F.col("size")) & (F.col("size") - F.col("lost") > 1)).select("key")
+            active = of_shard.join(sizes, "key").where((8 * F.col("lost") >= F.col("size")) & (F.col("size") - F.col("lost") > few)).select("key")
             now = cut(now.join(active, "key", "left_semi").join(lost, "id", "left_anti"))
             if not now.isEmpty():
                 continue
@@ -178,18 +187,22 @@ def one_of_similar(docs: DataFrame, least: float = 0.8, width: int = 5, shard_ro
             some = rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
             members = now = cut(rest.join(some, "key", "left_semi"))
             continue
-        large = cut(left(members).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows).select("key")) if again else None
+        if again:
+            here = left(members)
+            large = cut(here.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows).select("key"))
+            listed = here.join(large.withColumn("big", F.lit(True)), "key", "left")
+            some = lambda big: F.collect_list(F.when(F.col("big").isNotNull() == big, F.col("key")))
+            shards = cut(listed.groupBy("id").agg(some(False).alias("small"), some(True).alias("big")))
         if again and not large.isEmpty():
             # Rows of large shards that are no copies: dealt by this key and each other one that they share with some row.
-            here = left(members)
             wide = here.join(large, "key", "left_semi").join(here.select("id", F.col("key").alias("other")), "id").where("key <> other")
             both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
             wide = wide.select(both.alias("key"), "id", "o", "n").distinct()
             some = wide.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
             now = cut(wide.join(some, "key", "left_semi"))
             members = cut(here.join(large, "key", "left_anti").select(*now.columns)).unionByName(now)
-            again = False
         else:
             last = True
+        again = False
     kept = docs if gone is None else docs.join(gone.select(F.col("id").alias("_j_id")).distinct(), "_j_id", "left_anti")
     return kept.drop("_j_id")
