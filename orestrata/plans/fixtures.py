@@ -66,6 +66,11 @@ from events""",
         ("events",),
         """select user_id as page_id, row_number() over (partition by user_id order by event_id) - 1 as block_ord, (event_id * 17) % 800 as x, (event_id * 29) % 1100 as y,
   40 + event_id % 60 as w, 12 + event_id % 9 as h from events""",
+    ),
+    "page_pixel": (
+        ("orders",),
+        """select cast(floor(o_orderkey / 3000) as bigint) as page_id, cast(floor(o_orderkey % 3000 / 60) as int) as row_id, cast(o_orderkey % 60 as int) as col_id,
+  (o_orderkey * 7919 + o_custkey * 104729) % 256 as v from orders""",
     ),
     "doc_sample": (
         ("orders",),
