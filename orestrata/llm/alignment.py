@@ -10,14 +10,15 @@ range join within the groups gives the links.
 A corpus has far too many tokens for a row each, but few that differ in what
 matters. Both tokenizers cut before a blank or a line break that follows anything
 but white space (:func:`cuts_words` looks through the vocabulary for tokens that
-would not), so a text's alignment is that of its words one after the other, and a word's
-alignment hangs on its tokens' lengths alone. So the relational plan runs once
-for each distinct pair of length lists, words take their groups and links from it,
-and texts take them from their words. Texts are written as lists of word numbers, in parts of
-bounded size that have a dictionary each; dictionaries, never all words, go to the texts.
+would not), so a text's alignment is that of its words one after the other, and a
+word's alignment hangs on its tokens' lengths alone. So the relational plan runs
+once for each distinct pair of length lists (a shape). Texts are written in parts of
+bounded size: a part is one row with its words' tokens and shapes and its texts
+as lists of word numbers. What is found out about shapes, and later about id pairs, is
+joined to the parts that have them, so nothing is broadcast.
 
-A pair of ids counts the documents that hold it linked. The counts of all pairs
-are summed by part first, then joined to the words' links.
+A pair of ids counts the documents that hold it linked. Parts count their own
+documents; the counts are summed over parts and joined back.
 
 Defined cases: a null or empty text, and one whose tokens' bytes aren't its own (a blank
 that another sign stands for, say), has no tokens, so zeros and no groups;
@@ -36,15 +37,15 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orestrata.llm.common import cut, drop, small_batches, stored, table
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters of text in a part, whose dictionary a task holds.
-PART_CHARS = 64 << 20
+#: Characters of text in a part, which a task holds.
+PART_CHARS = 32 << 20
 #: A word ends before a blank or a line break that follows something else than white space.
 _WORDS = re.compile(r"(?<=\S)(?=[ \n])")
 _SPACE = "▁"
@@ -160,212 +161,209 @@ class Numbers(dict):
         return n
 
 
-def _words(docs: DataFrame, part_chars: int) -> DataFrame:
-    """Rows of ``kind`` 0: the word ``word`` is number ``at`` in its part; rows of kind 1: a document as numbers (``refs``; null without text)."""
-    small_batches(docs.sparkSession)
-    schema = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("part", T.LongType()), docs.schema["doc_id"], T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("refs", T.ArrayType(T.IntegerType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, size = TaskContext.get().partitionId() << 24, Numbers(), 0
-        for b in batches:
-            begun, refs, row = len(number), [], []
-
-            def made() -> pa.RecordBatch:
-                new = list(islice(number, begun, None))  # noqa: B023
-                k, d = len(new), len(refs)  # noqa: B023
-                none = pa.nulls(k, b.schema.field(0).type)  # noqa: B023
-                ids = pa.concat_arrays([none, b.column(0).take(pa.array(row, pa.int64()))])  # noqa: B023
-                at = pa.array([*range(begun, begun + k), *[None] * d], pa.int32())  # noqa: B023
-                kinds = pa.array(np.repeat(np.array([0, 1], dtype=np.int8), [k, d]))
-                return pa.RecordBatch.from_arrays([kinds, pa.array(np.full(k + d, part)), ids, at, pa.array(new + [None] * d, pa.string()), pa.array([None] * k + refs, pa.list_(pa.int32()))], names=schema.names)  # noqa: B023
-
-            for i, x in enumerate(b.column(1)):
-                text = x.as_py()
-                row.append(i)
-                if not text:
-                    refs.append(None)
-                    continue
-                words = _WORDS.split(" " + text)
-                refs.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-                size += len(text)
-                if size >= part_chars:
-                    yield made()
-                    part, number, size = part + 1, Numbers(), 0
-                    begun, refs, row = 0, [], []
-            yield made()
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+_INTS = ("refs", "ends", "ia", "ea", "ib", "eb", "shape")
 
 
-def _tokenized(words: DataFrame, a: str, b: str) -> DataFrame:
-    """``word`` with ids ``ia, ib`` and lengths ``la, lb`` of its tokens; words without tokens are left out."""
-
-    def lists(ids: list[list[int]], length: np.ndarray) -> list[pa.Array]:
-        ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-        flat = np.fromiter(chain.from_iterable(ids), np.int32)
-        return [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, length[flat])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = _tokenizers(a, b)
-        for x in batches:
-            for at in range(0, len(x), 4096):
-                words = x.column(0).slice(at, 4096)
-                firsts, seconds, kept = both.of(words.to_pylist())
-                (ia, la), (ib, lb) = lists(firsts, both.a_length), lists(seconds, both.b_length)
-                yield pa.RecordBatch.from_arrays([words, ia, ib, la, lb], names=["word", "ia", "ib", "la", "lb"]).filter(pa.array(kept, pa.bool_()))
+def _ints(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x, dtype="<i4").tobytes()
 
-    return words.mapInArrow(run, "word string, ia array<int>, ib array<int>, la array<int>, lb array<int>")
 
+class Part:
+    """Texts that are being written: as numbers of words, which are tokenized when the part is full."""
 
-def _word_tokens(words: DataFrame, shapes: DataFrame) -> DataFrame:
-    """``uid, ia, ib, groups, links`` of every word; ``words`` has ``uid, ia, ib, shape``."""
-    return words.join(F.broadcast(shapes) if shapes.count() <= 100_000 else shapes, "shape")
+    def __init__(self):
+        self.words, self.ids, self.refs, self.size = Numbers(), [], [], 0
 
+    def add(self, doc_id: pa.Scalar, text: str | None) -> None:
+        words = _WORDS.split(" " + text) if text else []
+        self.ids.append(doc_id)
+        self.refs.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
+        self.size += len(text or "")
 
-def _pairs() -> Column:
-    """An id pair a link, as one number."""
-    return F.transform("links", lambda x: F.shiftleft(F.get("ia", x["i"]).cast("long"), 32) + F.get("ib", x["j"]))
+    def columns(self, both: Tokenizers) -> tuple[list[bytes], list[list[int]], list[list[int]]]:
+        """The columns of :data:`_INTS`, and the length lists of the part's shapes. A word whose bytes the tokens don't keep has the shape -1."""
+        ids, ends, shapes, shape = ([], []), ([0], [0]), {}, []
+        words = list(self.words)
+        for at in range(0, len(words), 4096):
+            *found, kept = both.of(words[at : at + 4096])
+            cut_at = []
+            for side, (lists, length) in enumerate(zip(found, (both.a_length, both.b_length))):
+                flat = np.fromiter(chain.from_iterable(lists), np.int32)
+                stop = np.cumsum([*map(len, lists)])
+                ids[side].append(flat)
+                ends[side].extend((stop + ends[side][-1]).tolist())
+                raw, stop = length[flat].astype("<u2").tobytes(), (2 * stop).tolist()
+                cut_at.append([raw[i:j] for i, j in zip([0, *stop], stop)])
+            # Lengths of both, with their number first, say what the shape is.
+            shape += [shapes.setdefault((x, y), len(shapes)) if ok else -1 for x, y, ok in zip(*cut_at, kept)]
+        a, b = (np.concatenate(x) if x else np.empty(0) for x in ids)
+        texts = np.concatenate(self.refs) if self.refs else np.empty(0)
+        blobs = [texts, np.cumsum([0, *map(len, self.refs)]), a, np.array(ends[0]), b, np.array(ends[1]), np.array(shape)]
+        lists = [[np.frombuffer(x[k], dtype="<u2").tolist() for x in shapes] for k in (0, 1)]
+        return [*map(_ints, blobs)], *lists
 
 
-def _groups() -> Column:
-    ids = lambda of, places: F.array_join(F.transform(places, lambda i: F.get(of, i).cast("string")), ",")
-    return F.array_join(F.transform("groups", lambda g: F.concat(ids(F.col("ia"), g["ga"]), F.lit("|"), ids(F.col("ib"), g["gb"]))), ";")
-
-
-# Texts
-
-
-def _met(dictionary: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts of each part after its dictionary."""
-    for c in dictionary.columns:
-        if c not in texts.columns:
-            texts = texts.withColumn(c, F.lit(None).cast(dictionary.schema[c].dataType))
-    for c in texts.columns:
-        if c not in dictionary.columns:
-            dictionary = dictionary.withColumn(c, F.lit(None).cast(texts.schema[c].dataType))
-    both = dictionary.withColumn("kind", F.lit(0)).unionByName(texts.withColumn("kind", F.lit(1)))
-    return both.repartition("part").sortWithinPartitions("part", "kind")
+def _parts(docs: DataFrame, a: str, b: str, part_chars: int) -> DataFrame:
+    """A row a part: ``part`` (a number), ``ids`` of its documents, the columns of :data:`_INTS`, and ``la, lb``, the length lists of its shapes."""
+    small_batches(docs.sparkSession)
+    many = T.ArrayType(T.ArrayType(T.IntegerType()))
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), *[T.StructField(c, T.BinaryType()) for c in _INTS], T.StructField("la", many), T.StructField("lb", many)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, part = TaskContext.get().partitionId() << 24, Part()
+        both = _tokenizers(a, b)
 
-def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """The batch by part and kind."""
-    part, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
-    edges = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])]) if len(part) else []
-    for i, j in zip(edges, [*edges[1:], len(part)]):
-        yield int(part[i]), int(kind[i]), b.slice(i, j - i)
+        def made(kind: pa.DataType) -> pa.RecordBatch:
+            blobs, la, lb = part.columns(both)
+            lists = [pa.array([x], pa.list_(pa.list_(pa.int32()))) for x in (la, lb)]
+            ids = pa.array([[x.as_py() for x in part.ids]], pa.list_(kind))
+            return pa.RecordBatch.from_arrays([pa.array([number]), ids, *[pa.array([x], pa.binary()) for x in blobs], *lists], names=schema.names)
 
+        kind = None
+        for x in batches:
+            kind = x.schema.field(0).type
+            for doc_id, text in zip(x.column(0), x.column(1)):
+                part.add(doc_id, text.as_py())
+                if part.size >= part_chars:
+                    yield made(kind)
+                    number, part = number + 1, Part()
+        if part.ids:
+            yield made(kind)
 
-def _texts_in(b: pa.RecordBatch) -> Iterator[np.ndarray | None]:
-    refs = b.column("refs")
-    values, offsets, none = refs.values.to_numpy(), refs.offsets.to_numpy(), refs.is_null().to_numpy(zero_copy_only=False)
-    for i in range(len(refs)):
-        yield None if none[i] else values[offsets[i] : offsets[i + 1]]
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _pair_counts(dictionary: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pair, docs``: how many documents have a word with that link; a row a part and pair. ``dictionary`` has ``part, at, pairs``."""
+def _with_shapes(parts: DataFrame) -> DataFrame:
+    """Parts with ``found``: for each of their shapes its number there, its groups as text of places and its links as a list of places in turn."""
+    used = parts.select("part", F.posexplode(F.arrays_zip("la", "lb")).alias("k", "s")).select("part", "k", "s.la", "s.lb")
+    shapes = cut(aligned_shapes(used))
+    places = lambda of: F.array_join(F.transform(of, lambda i: i.cast("string")), ",")
+    form = F.array_join(F.transform("groups", lambda g: F.concat(places(g["ga"]), F.lit("|"), places(g["gb"]))), ";")
+    links = F.flatten(F.transform("links", lambda x: F.array(x["i"], x["j"])))
+    told = used.join(shapes.select("la", "lb", form.alias("form"), links.alias("links")), ["la", "lb"])
+    found = told.groupBy("part").agg(F.collect_list(F.struct("k", "form", "links")).alias("found"))
+    return parts.drop("la", "lb").join(found, "part", "left")
+
+
+class Words:
+    """A part's words: their tokens, shapes and links, as arrays."""
+
+    def __init__(self, row: pa.RecordBatch):
+        self.ids = row.column("ids").flatten()
+        raw = {c: np.frombuffer(row.column(c)[0].as_py(), dtype="<i4") for c in _INTS}
+        self.refs, self.ends, self.ia, self.ea, self.ib, self.eb, self.shape = (raw[c] for c in _INTS)
+        found = row.column("found").flatten()
+        k, forms, links = (found.field(i) for i in range(3)) if len(found) else (pa.array([], pa.int32()), pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
+        n = int(self.shape.max()) + 1 if len(self.shape) else 0
+        order = np.zeros(n, dtype=np.int64)
+        order[k.to_numpy()] = np.arange(len(k))
+        self.forms = [forms[int(i)].as_py() for i in order]
+        flat, size = links.flatten().to_numpy(), links.value_lengths().to_numpy() // 2
+        begin = np.cumsum(size) - size
+        self.ok = self.shape >= 0
+        s = np.maximum(self.shape, 0)
+        self.n_links = np.where(self.ok, size[order[s]], 0) if n else np.zeros(len(self.shape), dtype=np.int64)
+        self.n_groups = np.where(self.ok, np.array([f.count(";") + 1 for f in self.forms])[s], 0) if n else self.n_links
+        # The links of all words one after the other: where each word's begin, and their ids.
+        self.first = np.cumsum(self.n_links) - self.n_links
+        word = np.repeat(np.arange(len(self.shape)), self.n_links)
+        at = (np.repeat(begin[order[s]] if n else s, self.n_links) + np.arange(len(word)) - self.first[word]) * 2
+        self.pairs = (self.ia[self.ea[word] + flat[at]].astype(np.int64) << 32) + self.ib[self.eb[word] + flat[at + 1]]
+
+    def texts(self) -> Iterator[np.ndarray | None]:
+        """Each document's words; None if it has none, or one whose bytes the tokens don't keep."""
+        for i, j in zip(self.ends[:-1].tolist(), self.ends[1:].tolist()):
+            refs = self.refs[i:j]
+            yield refs if j > i and self.ok[refs].all() else None
+
+    def groups(self) -> list[str]:
+        """The groups of each word as text."""
+        made, out = {}, []
+        ia, ea, ib, eb = (x.tolist() for x in (self.ia, self.ea, self.ib, self.eb))
+        for w, s in enumerate(self.shape.tolist()):
+            if s < 0:
+                out.append("")
+                continue
+            if s not in made:
+                places = [(int(x), side) for g in self.forms[s].split(";") for side, t in enumerate(g.split("|")) for x in t.split(",")]
+                n_a = sum(side == 0 for _, side in places)
+                made[s] = re.sub(r"\d+", "%d", self.forms[s]), [x + side * n_a for x, side in places]
+            template, order = made[s]
+            ids = ia[ea[w] : ea[w + 1]] + ib[eb[w] : eb[w + 1]]
+            out.append(template % tuple([ids[i] for i in order]))
+        return out
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(len(b)):
+            yield b.slice(i, 1)
+
+
+def _pair_counts(parts: DataFrame) -> DataFrame:
+    """``part, pairs, docs``: the distinct id pairs of each part, and how many of its documents have each linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, counts = None, [], None
-        pairs = first = length = known = None
-
-        def closed() -> pa.RecordBatch:
-            some = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[some]), pa.array(counts[some])], names=["pair", "docs"])
-
-        for b in batches:
-            for part, kind, x in _runs(b):
-                if part != now:
-                    if counts is not None:
-                        yield closed()
-                    now, rows, counts = part, [], None
-                if kind == 0:
-                    p = x.column("pairs")
-                    rows.append((x.column("at").to_numpy(), p.value_lengths().to_numpy(), p.flatten().to_numpy()))
-                    continue
-                if counts is None:
-                    at, n, flat = (np.concatenate([r[k] for r in rows]) if rows else np.empty(0, dtype=np.int64) for k in range(3))
-                    pairs, local = np.unique(flat, return_inverse=True)
-                    counts, rows = np.zeros(len(pairs), dtype=np.int64), []
-                    size = int(at.max()) + 1 if len(at) else 0
-                    first, length, known = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.zeros(size, dtype=bool)
-                    first[at], length[at], known[at] = np.cumsum(n) - n, n, True
-                for refs in _texts_in(x):
-                    if refs is None:
-                        continue
+        for row in _one_by_one(batches):
+            w = Words(row)
+            pairs, local = np.unique(w.pairs, return_inverse=True)
+            docs = np.zeros(len(pairs), dtype=np.int64)
+            for refs in w.texts():
+                if refs is not None:
                     u = np.unique(refs)
-                    if u[-1] >= len(known) or not known[u].all():
-                        continue
-                    n = length[u]
-                    places = np.repeat(first[u] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    counts[np.unique(local[places])] += 1
-        if counts is not None:
-            yield closed()
+                    n = w.n_links[u]
+                    places = np.repeat(w.first[u] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    docs[np.unique(local[places])] += 1
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (pairs[docs > 0], docs[docs > 0])]
+            yield pa.RecordBatch.from_arrays([row.column("part"), *lists], names=["part", "pairs", "docs"])
 
-    return _met(dictionary, texts).mapInArrow(run, "pair long, docs long")
+    return parts.mapInArrow(run, "part long, pairs array<long>, docs array<long>")
 
 
 VALUES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def _assembled(dictionary: DataFrame, texts: DataFrame) -> DataFrame:
-    """The values of every document as sums of its words', and its ``groups``. ``dictionary`` has ``part, at``, the values and ``groups``."""
-    schema = T.StructType([texts.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in VALUES], T.StructField("groups", T.StringType())])
+def _assembled(parts: DataFrame) -> DataFrame:
+    """The values of every document as sums of its words', and its ``groups``. Parts have ``known``: the counts of their id pairs and whether they are best."""
+    key = parts.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField("doc_id", key), *[T.StructField(c, T.LongType()) for c in VALUES], T.StructField("groups", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, values = None, [], None
-        groups: list[str | None] = []
-        for b in batches:
-            for part, kind, x in _runs(b):
-                if part != now:
-                    now, rows, values = part, [], None
-                if kind == 0:
-                    rows.append((x.column("at").to_numpy(), np.stack([x.column(c).to_numpy() for c in VALUES], axis=1), x.column("groups").to_pylist()))
-                    continue
-                if values is None:
-                    size = 1 + max((int(r[0].max()) for r in rows if len(r[0])), default=-1)
-                    values, groups = np.zeros((size, len(VALUES)), dtype=np.int64), [None] * size
-                    for at, v, g in rows:
-                        values[at] = v
-                        for i, s in zip(at.tolist(), g):
-                            groups[i] = s
-                    known, rows = np.array([g is not None for g in groups], dtype=bool), []
-                sums, texts_of = np.zeros((len(x), len(VALUES)), dtype=np.int64), []
-                for i, refs in enumerate(_texts_in(x)):
-                    if refs is None or refs.max() >= len(known) or not known[refs].all():
-                        texts_of.append("")
-                    else:
-                        sums[i] = values[refs].sum(axis=0)
-                        texts_of.append(";".join([groups[k] for k in refs.tolist()]))
-                yield pa.RecordBatch.from_arrays([x.column("doc_id"), *[pa.array(sums[:, k]) for k in range(len(VALUES))], pa.array(texts_of, pa.string())], names=schema.names)
-
-    return _met(dictionary, texts).mapInArrow(run, schema)
-
-
-def aligned(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B, part_chars: int = PART_CHARS, broadcast_rows: int = 1_000_000) -> DataFrame:
+        for row in _one_by_one(batches):
+            w = Words(row)
+            known = row.column("known").flatten()
+            pair, docs, best = (known.field(i).to_numpy() for i in range(3)) if len(known) else [np.empty(0, dtype=np.int64)] * 3
+            order = np.argsort(pair)
+            # Pairs that only stand in texts without tokens are counted nowhere.
+            at = np.minimum(np.searchsorted(pair[order], w.pairs), max(0, len(pair) - 1))
+            hit = pair[order][at] == w.pairs if len(pair) else np.zeros(len(w.pairs), dtype=bool)
+            sums = [np.concatenate([[0], np.cumsum(np.where(hit, x[order][at], 0) if len(pair) else hit)]) for x in (best, docs)]
+            of_words = np.stack([np.diff(w.ea), np.diff(w.eb), w.n_groups, w.n_links, *[s[w.first + w.n_links] - s[w.first] for s in sums]], axis=1).astype(np.int64)
+            groups, texts = w.groups(), list(w.texts())
+            for i in range(0, len(texts), 256):
+                some = texts[i : i + 256]
+                values = np.array([np.zeros(len(VALUES), dtype=np.int64) if t is None else of_words[t].sum(axis=0) for t in some]).reshape(-1, len(VALUES))
+                joined = ["" if t is None else ";".join([groups[k] for k in t.tolist()]) for t in some]
+                yield pa.RecordBatch.from_arrays([w.ids.slice(i, len(some)), *[pa.array(values[:, k]) for k in range(len(VALUES))], pa.array(joined, pa.string())], names=schema.names)
+
+    return parts.mapInArrow(run, schema)
+
+
+def aligned(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B, part_chars: int = PART_CHARS) -> DataFrame:
     """``doc_id``, the values and the ``groups`` of every document of ``docs`` (``doc_id, text``).
 
-    ``groups`` is text, as ``a1,a2|b1;a3|b2,b3``. Up to ``broadcast_rows`` id pairs (24 bytes each) are broadcast to the words' links; more are joined by a shuffle.
+    ``groups`` is text, as ``a1,a2|b1;a3|b2,b3``.
     """
-    split = stored(_words(docs, part_chars))
-    entries, texts = split.where(F.col("kind") == 0).select("part", "at", "word"), split.where(F.col("kind") == 1).select("part", "doc_id", "refs")
-    tokens = stored(_tokenized(entries.select("word").distinct(), a, b).withColumn("uid", F.monotonically_increasing_id()))
-    dictionary = stored(entries.join(tokens.select("word", "uid"), "word").select("part", "at", "uid"))
-    shapes = cut(aligned_shapes(tokens))
-    numbers = F.broadcast(shapes.select("la", "lb", "shape")) if shapes.count() <= 100_000 else shapes.select("la", "lb", "shape")
-    words = stored(tokens.join(numbers, ["la", "lb"]).select("uid", "ia", "ib", "shape"))
-    drop(tokens)
-    words = _word_tokens(words, shapes.select("shape", "groups", "links"))
-    pairs = words.select("uid", _pairs().alias("pairs"))
-    counts = _pair_counts(dictionary.join(pairs, "uid").select("part", "at", "pairs"), texts)
-    counts = cut(counts.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32)))
-    top = counts.groupBy("a").agg(F.max("docs").alias("top"))
-    scored = cut(counts.join(top, "a").select("pair", "docs", (F.col("docs") == F.col("top")).cast("long").alias("best")))
-    scored = F.broadcast(scored) if scored.count() <= broadcast_rows else scored
-    sums = pairs.select("uid", F.explode("pairs").alias("pair")).join(scored, "pair").groupBy("uid").agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
-    sizes = [F.size(c).cast("long").alias(n) for c, n in (("ia", "n_a"), ("ib", "n_b"), ("groups", "n_groups"), ("links", "n_links"))]
-    values = words.select("uid", *sizes, _groups().alias("groups")).join(sums, "uid")
-    return _assembled(dictionary.join(values, "uid").select("part", "at", *VALUES, "groups"), texts)
+    written = stored(_parts(docs, a, b, part_chars))
+    parts = stored(_with_shapes(written))
+    drop(written)
+    counts = stored(_pair_counts(parts))
+    rows = counts.select("part", F.explode(F.arrays_zip("pairs", "docs")).alias("p")).select("part", F.col("p.pairs").alias("pair"), F.col("p.docs").alias("docs"))
+    whole = cut(rows.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32)))
+    top = whole.groupBy("a").agg(F.max("docs").alias("top"))
+    scored = whole.join(top, "a").select("pair", "docs", (F.col("docs") == F.col("top")).cast("long").alias("best"))
+    known = rows.select("part", "pair").join(scored, "pair").groupBy("part").agg(F.collect_list(F.struct("pair", "docs", "best")).alias("known"))
+    return _assembled(parts.join(known, "part", "left"))
 
 
 def op11_relational_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

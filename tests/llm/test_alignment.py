@@ -101,7 +101,7 @@ def test_given_documents(spark, sf_dir):
     assert got == dict(zip((r.doc_id for r in rows), plain([r.text for r in rows])))
 
 
-@pytest.mark.parametrize("limits", [{}, {"part_chars": 50, "broadcast_rows": 0}])
+@pytest.mark.parametrize("limits", [{}, {"part_chars": 50}])
 def test_defined_cases(spark, limits):
     rows = [(k, t) for k, t in enumerate(ODD + ["same text", "same text"])] + [(None, "no id"), (3, "an id again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as at", "2 as part", "'x' as word", "3 as kind", "'y' as groups")
