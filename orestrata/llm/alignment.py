@@ -48,6 +48,8 @@ TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PART_CHARS = 32 << 20
 #: A word ends before a blank or a line break that follows something else than white space.
 _WORDS = re.compile(r"(?<=\S)(?=[ \n])")
+#: White space of other kinds, or two of it in a row: such texts are cut by :data:`_WORDS`, others at every blank and line break.
+_ODD = re.compile(r"[^\S \n]|[ \n][ \n]")
 _SPACE = "▁"
 
 
@@ -92,6 +94,18 @@ def aligned_shapes(shapes: DataFrame) -> DataFrame:
 # Words and their tokens
 
 
+def cut_up(text: str) -> list[str]:
+    """The words of a blank and ``text``. The blank that a word begins with is left out, if no white space follows it."""
+    whole = " " + text
+    if not _ODD.search(whole):
+        return text.replace("\n", " \n").split(" ")
+    return [w if w[0] == "\n" or w[1:2].isspace() else w[1:] for w in _WORDS.split(whole)]
+
+
+def whole_word(w: str) -> str:
+    return w if w[:1] in (" ", "\n") and w else " " + w
+
+
 class Tokenizers:
     """Ids and byte lengths of a word's tokens by both tokenizers. A word begins with a blank or a line break."""
 
@@ -105,6 +119,7 @@ class Tokenizers:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [x for x in range(256) if x not in set(own)]
         byte_of = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(rest)}
+        self.quick = _by_ranks(self.a)
         size = self.a.get_vocab_size(with_added_tokens=True)
         self.a_bytes = [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in map(self.a.id_to_token, range(size))]
         self.b = sentencepiece.SentencePieceProcessor(model_file=_file(b))
@@ -117,7 +132,10 @@ class Tokenizers:
 
     def of(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
         """Ids of both for each word, and whether the tokens keep the word's bytes."""
-        firsts = [x.ids for x in self.a.encode_batch_fast(words, add_special_tokens=False)]
+        if self.quick is not None:
+            firsts = list(map(self.quick.encode_ordinary, words))
+        else:
+            firsts = [x.ids for x in self.a.encode_batch_fast(words, add_special_tokens=False)]
         # The second tokenizer puts a blank before what it gets. Before a line break, that is one token too many.
         seconds = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
         kept = []
@@ -127,10 +145,32 @@ class Tokenizers:
             elif w[0] != " ":
                 seconds[k] = seconds[k][1:] if seconds[k][:1] == [self.blank] else []
             raw = w.encode("utf-8", "replace")
-            kept.append(raw == b"".join(map(self.a_bytes.__getitem__, firsts[k])) == b"".join(map(self.b_bytes.__getitem__, seconds[k])))
+            same = raw == b"".join(map(self.b_bytes.__getitem__, seconds[k]))
+            kept.append(same and (self.quick is not None or raw == b"".join(map(self.a_bytes.__getitem__, firsts[k]))))
         return firsts, seconds, kept
 
 
+def _by_ranks(tokenizer):
+    """The same byte-level tokenizer in a quicker form, or None if its merges don't stand in the order of their ids, as that form takes them."""
+    import json
+
+    import tiktoken
+
+    told = json.loads(tokenizer.to_str())
+    vocab, pre = told["model"].get("vocab", {}), told.get("pre_tokenizer") or {}
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in told["model"].get("merges", [])]
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not told.get("normalizer")
+    if not plain or None in merged or merged != sorted(merged):
+        return None
+    special = {t["content"] for t in told.get("added_tokens", [])}
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in set(own))}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+    # Fixed value: how byte-level tokenizers of this kind cut a text before they merge.
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def cuts_words(pieces: list[str]) -> bool:
     """Whether no piece has a blank or a line break after something else than white space."""
     return not any(re.search(r"[^\s▁][ \n▁]", p) for p in pieces)
@@ -175,7 +215,7 @@ class Part:
         self.words, self.ids, self.refs, self.size = Numbers(), [], [], 0
 
     def add(self, doc_id: pa.Scalar, text: str | None) -> None:
-        words = _WORDS.split(" " + text) if text else []
+        words = cut_up(text) if text else []
         self.ids.append(doc_id)
         self.refs.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
         self.size += len(text or "")
@@ -183,7 +223,7 @@ class Part:
     def columns(self, both: Tokenizers) -> tuple[list[bytes], list[list[int]], list[list[int]]]:
         """The columns of :data:`_INTS`, and the length lists of the part's shapes. A word whose bytes the tokens don't keep has the shape -1."""
         ids, ends, shapes, shape = ([], []), ([0], [0]), {}, []
-        words = list(self.words)
+        words = list(map(whole_word, self.words))
         for at in range(0, len(words), 4096):
             *found, kept = both.of(words[at : at + 4096])
             cut_at = []

@@ -69,7 +69,9 @@ ODD = ["", None, " ", "  two  blanks ", "a\n\nb\n c\t d\r\n", "tab\tand\xa0nbsp
 
 
 def same_tokens(both, text):
-    firsts, seconds, kept = both.of(L._WORDS.split(" " + text))
+    words = [L.whole_word(w) for w in L.cut_up(text)]
+    assert words == L._WORDS.split(" " + text) and len({*words}) == len({*L.cut_up(text)})
+    firsts, seconds, kept = both.of(words)
     a, b = tokens(text)
     assert all(kept) == bool(a)
     if a:
@@ -77,8 +79,11 @@ def same_tokens(both, text):
         assert [i for ids in seconds for i in ids] == [i for i, _ in b]
 
 
-def test_words_are_tokenized_as_in_texts():
+@pytest.mark.parametrize("quick", [True, False])
+def test_words_are_tokenized_as_in_texts(quick):
     both = L.Tokenizers(L.TOKENIZER_A, L.TOKENIZER_B)
+    assert both.quick is not None
+    both.quick = both.quick if quick else None
     for text in filter(None, ODD):
         same_tokens(both, text)
 
