@@ -20,11 +20,15 @@ EMPTY = ("name", "county", "state_province", "country", "source_text", "location
 
 def flat(rows: DataFrame, columns: tuple[str, ...], **given: Column) -> DataFrame:
     """``columns`` of ``rows`` as numbers or text; ``given`` says how one is made, and one that isn't there is missing."""
+    return rows.select(*flat_columns(rows, columns, **given))
+
+
+def flat_columns(rows: DataFrame, columns: tuple[str, ...], **given: Column) -> list[Column]:
     out = []
     for c in columns:
         x = given.get(c, F.col(c) if c in rows.columns else F.lit(None)).cast("double" if c in NUMBERS else "string")
         out.append((F.coalesce(x, F.lit("")) if c in EMPTY else x).alias(c))
-    return rows.select(*out)
+    return out
 
 
 def locations_flat(locations: DataFrame) -> DataFrame:
@@ -79,16 +83,24 @@ def _point() -> Column:
     return F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
 
 
+def _with_member(object_text: Column, name: str, value: Column) -> Column:
+    """The text of an object with one more member at its end."""
+    return F.concat(F.substring(object_text, F.lit(1), F.length(object_text) - 1), F.lit(f',"{name}":'), value, F.lit("}"))
+
+
 def location_features(locations: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """``doc_id, location_id, feature``: GeoJSON text with base properties, nulls kept; samples without assays only where there are some, nulls left out."""
     base = [F.col(c) if c in locations.columns else F.lit(None).cast("string").alias(c) for c in ("name", "location_type", "elevation", "elevation_unit", "county", "state_province", "country", "confidence")]
     props = F.to_json(F.struct(F.col("location_id").cast("string").alias("id"), *base), {"ignoreNullFields": "false"})
     d = locations.withColumn("_props", props).withColumn("_point", F.to_json(_point()))
+    if "coordinates" in locations.columns:
+        # What a coordinate lacks is left out, as text is made of it; a location without any has no list.
+        d = d.withColumn("_props", F.when(F.size("coordinates") > 0, _with_member(F.col("_props"), "coordinates", F.to_json("coordinates"))).otherwise(F.col("_props")))
     if samples is not None:
         fields = [c for c in samples.columns if c not in ("location_id", "assays", "doc_id")]
         nested = samples.groupBy("location_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_samples"))
         d = d.join(nested, "location_id", "left")
-        more = F.concat(F.substring(F.col("_props"), 1, F.length("_props") - 1), F.lit(',"samples":'), F.to_json("_samples"), F.lit("}"))
+        more = _with_member(F.col("_props"), "samples", F.to_json("_samples"))
         d = d.withColumn("_props", F.when(F.col("_samples").isNotNull(), more).otherwise(F.col("_props")))
     return d.select("doc_id", "location_id", F.concat(F.lit('{"type":"Feature","geometry":'), "_point", F.lit(',"properties":'), "_props", F.lit("}")).alias("feature"))
 
@@ -101,7 +113,7 @@ def sample_features(samples: DataFrame, locations: DataFrame) -> DataFrame:
     props = F.to_json(F.struct(F.col("sample_id").alias("id"), base[0], F.col("location_id").cast("string").alias("location_id"), "location_name", *base[1:]), {"ignoreNullFields": "false"})
     if "assays" in d.columns:
         assays = F.to_json(F.transform("assays", lambda a: F.struct(*[a[f.name].alias(f.name) for f in d.schema["assays"].dataType.elementType.fields if f.name in ASSAYS])))
-        props = F.when(F.size("assays") > 0, F.concat(F.substring(props, F.lit(1), F.length(props) - 1), F.lit(',"assays":'), assays, F.lit("}"))).otherwise(props)
+        props = F.when(F.size("assays") > 0, _with_member(props, "assays", assays)).otherwise(props)
     text = F.concat(F.lit('{"type":"Feature","geometry":'), F.to_json(_point()), F.lit(',"properties":'), props, F.lit("}"))
     return d.select("doc_id", "sample_id", text.alias("feature"))
 
@@ -125,3 +137,50 @@ def collections(features: DataFrame, metadata: DataFrame | None = None) -> DataF
     head = F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::4326"}},')
     return d.select("doc_id", F.size("fs").alias("n_features"), F.concat(head, body, F.lit("}")).alias("geojson"))
 
+
+
+# The columns of the combined table, in order.
+COMBINED = (
+    "record_type", "id", "name", "location_type", "latitude", "longitude", "easting", "northing", "utm_zone", "township", "range", "section", "elevation", "county", "state_province", "country",
+    "sample_type", "depth_from", "depth_to", "depth_unit", "lithology", "alteration", "mineralization", "element", "value", "unit", "detection_limit",
+    "feature_type", "description", "strike", "dip", "rock_types", "minerals", "confidence", "source_text",
+)
+
+
+def combined_table(locations: DataFrame, samples: DataFrame, observations: DataFrame) -> DataFrame:
+    """All records of a document in one table with a ``place``: locations, then each sample with its assays after it, then observations.
+
+    Each has ``ord``, its number among its kind in its document (``doc_id``). What a kind lacks is missing. Places sort records; nothing is sorted here.
+    """
+    place = lambda kind, within: F.struct(F.lit(kind).alias("kind"), F.col("ord").alias("ord"), within.alias("within")).alias("place")
+    none = F.lit(0)
+
+    def rows(d: DataFrame, kind: str, at: Column, **given: Column) -> DataFrame:
+        return d.select("doc_id", at, *flat_columns(d, COMBINED, record_type=F.lit(kind), **given))
+
+    own = rows(samples, "sample", place(1, none), id=F.col("sample_id"))
+    assays = samples.select("doc_id", "ord", "sample_id", F.posexplode("assays").alias("k", "a")).select("doc_id", "ord", "sample_id", "k", *[F.col(f"a.{f.name}").alias(f.name) for f in samples.schema["assays"].dataType.elementType.fields if f.name in ASSAYS])
+    under = rows(assays, "assay", place(1, F.col("k") + 1), id=F.col("sample_id"))
+    lists = {c: F.array_join(c, "; ") for c in ("rock_types", "minerals") if c in observations.columns}
+    seen = rows(observations, "observation", place(2, none), id=F.col("observation_id"), **lists)
+    return rows(locations_flat(locations), "location", place(0, none)).unionByName(own).unionByName(under).unionByName(seen)
+
+
+def hotspot_features(boxes: DataFrame, score: str = "score") -> DataFrame:
+    """``feature``: the box of each hotspot (``x_min, y_min, x_max, y_max``) as a GeoJSON polygon on the raster's own map, with its place and score."""
+    corner = lambda x, y: F.array(f"{x}", f"{y}")
+    ring = F.array(corner("x_max", "y_min"), corner("x_max", "y_max"), corner("x_min", "y_max"), corner("x_min", "y_min"), corner("x_max", "y_min"))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    props = F.struct("row_id", "col_id", F.col(score).alias("score"))
+    return boxes.select("row_id", "col_id", F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), shape.alias("geometry")), {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def only(locations: DataFrame | None = None, samples: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
+    """Collections of locations alone (``locations``), or of samples alone at the locations ``at``; without metadata."""
+    if (locations is None) == (samples is None):
+        raise ValueError("either locations or samples")
+    if locations is not None:
+        d = location_features(locations).select("doc_id", F.struct(F.lit(0).alias("kind"), F.col("location_id").cast("string").alias("id")).alias("place"), "feature")
+    else:
+        d = sample_features(samples, at).select("doc_id", F.struct(F.lit(1).alias("kind"), F.col("sample_id").alias("id")).alias("place"), "feature")
+    return collections(d)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orestrata.functions import dates
-from orestrata.operators import exports
+from orestrata.operators import exports, geometry
 
 BASE = "urn:report"
 # The metadata of a document in their order; the layer has all but the last two.
@@ -156,6 +156,14 @@ def location_layer(locations: DataFrame) -> DataFrame:
     return exports.flat(exports.locations_flat(locations.select("*", *at)), (*columns, "x", "y")).withColumns(filled)
 
 
+def location_geometries(locations: DataFrame, geometry_column: str = "geometry") -> DataFrame:
+    """The layer of locations with a ``geom`` column in well-known binary: points, lines, and polygons by their outer ring; (0, 0) where there is no geometry."""
+    columns = [c for c in exports.LOCATIONS if c != "quarter_section"]
+    d = exports.locations_flat(locations).withColumn("geom", geometry.wkb(geometry.layer_geometry(F.col(geometry_column))))
+    given = {c: F.coalesce(c, F.lit("EPSG:4326" if c == "coordinate_system" else "")) for c in ("utm_zone", "township", "range", "section", "coordinate_system")}
+    return d.select(*exports.flat_columns(d, tuple(columns)), "geom").withColumns(given)
+
+
 def metadata_table(metadata: DataFrame) -> DataFrame:
     """``doc_id, place, field, value``: the twenty values of each document as text, in order; what is missing is empty."""
     values = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("field"), F.coalesce(_text(metadata, c), F.lit("")).alias("value")) for i, c in enumerate(METADATA)]

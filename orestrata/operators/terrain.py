@@ -104,6 +104,21 @@ def class_report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return d.select("label", "precision", "recall", f1.alias("f1"), "support")
 
 
+def report_rows(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """The whole report: ``label`` (text), precision, recall, f1 and support of each class, then accuracy (as f1), and the plain and the weighted mean of the classes.
+
+    All but the confusion counts is as small as the classes are few.
+    """
+    c = class_report(rows, truth, predicted)
+    n = F.sum("support")
+    mean = lambda label, of: c.agg(*[of(x).alias(x) for x in ("precision", "recall", "f1")], n.alias("support")).select(F.lit(label).alias("label"), "precision", "recall", "f1", "support")
+    right = confusion(rows, truth, predicted).agg(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hit"), F.sum("n").alias("support"))
+    none = F.lit(None).cast("double")
+    accuracy = right.select(F.lit("accuracy").alias("label"), none.alias("precision"), none.alias("recall"), F.try_divide("hit", "support").alias("f1"), "support")
+    out = c.withColumn("label", F.col("label").cast("string")).unionByName(accuracy)
+    return out.unionByName(mean("macro avg", F.avg)).unionByName(mean("weighted avg", lambda x: F.try_divide(F.sum(F.col(x) * F.col("support")), n)))
+
+
 def resample(grid: DataFrame, pixel: float = 30.0, to_pixel: float = 45.0) -> DataFrame:
     """The grid's box in pixels of another size, bilinear: up to four neighbours by an equi-join, those that lack are left out."""
     ends = grid.agg(F.min("row_id").alias("r0"), F.max("row_id").alias("r1"), F.min("col_id").alias("c0"), F.max("col_id").alias("c1"))

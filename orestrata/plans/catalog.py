@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from orestrata.plans import export_queries, extraction_queries, layout_queries, page_queries, report_queries, terrain_queries, text_queries  # noqa: F401
+    from orestrata.plans import export_queries, extraction_queries, geometry_queries, layout_queries, page_queries, report_queries, terrain_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
