@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -9,9 +12,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orestrata.operators.selection import median
 from orestrata.operators.terrain import class_report
+from orestrata.session import checkpointed
 
 COLUMNS = ("slope_deg", "aspect_deg", "edge_density", "dist_m")
 
@@ -81,13 +86,123 @@ def spatial_cv(rows: DataFrame, folds: DataFrame, k: int = 5, columns=COLUMNS, t
     return out if out is not None else spark.createDataFrame([], "fold int, label int, precision double, recall double, f1 double, support long")
 
 
+class Cells:
+    """A k-d tree over a bounded sample of rows: which cell of feature space a row lies in. Any tree gives exact neighbours; the sample makes cells alike in size."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.depth = max(0, math.ceil(math.log2(max(1, cells))))
+        self.axis, self.edge = np.zeros(1 << self.depth, dtype=int), np.zeros(1 << self.depth)
+
+        def split(node: int, rows: np.ndarray) -> None:
+            if node >= 1 << self.depth:
+                return
+            if len(rows):
+                self.axis[node] = int(np.argmax(rows.max(axis=0) - rows.min(axis=0)))
+                self.edge[node] = float(np.median(rows[:, self.axis[node]]))
+            right = rows[:, self.axis[node]] > self.edge[node]
+            split(2 * node, rows[~right])
+            split(2 * node + 1, rows[right])
+
+        split(1, sample)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        node = np.ones(len(x), dtype=np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (x[np.arange(len(x)), self.axis[node]] > self.edge[node])
+        return node - (1 << self.depth)
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int, itself: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of x, row of y and squared distance of the ``k`` nearest of y for each of x, some rows of x at a time. ``itself``: x and y are the same rows."""
+    parts = []
+    for at in range(0, len(x), 512):
+        some = x[at : at + 512]
+        apart = sum((some[:, c, None] - y[None, :, c]) ** 2 for c in range(x.shape[1]))
+        if itself:
+            apart[np.arange(len(some)), np.arange(at, at + len(some))] = np.inf
+        near = np.argsort(apart, axis=1, kind="stable")[:, :k]
+        i = np.repeat(np.arange(len(some)), near.shape[1])
+        parts.append((i + at, near.ravel(), apart[i, near.ravel()]))
+    i, j, d = (np.concatenate(p) for p in zip(*parts)) if parts else (np.empty(0, dtype=int),) * 3
+    return i[np.isfinite(d)], j[np.isfinite(d)], d[np.isfinite(d)]
+
+
+def neighbours(members: DataFrame, columns, key, k: int, bucket_rows: int = 2000, sample_rows: int = 20_000) -> DataFrame:
+    """``_bucket`` (its cell), ``key``, ``columns``, and ``_apart`` and ``_o_`` columns of each of the ``k`` nearest rows, exactly.
+
+    Rows are dealt into cells of feature space of about ``bucket_rows``; cells that hold more, as of equal rows, are dealt on by ``key``. A row is compared with its
+    own cell first. The distance of its k-th neighbour there bounds the search: only cells whose box lies nearer are looked into, and many rows that look into one cell
+    are dealt into parts. What is sent to all tasks is the tree and the boxes, a few numbers for each ``bucket_rows`` rows; ``sample_rows`` bounds the tree's sample.
+    """
+    spark, cols, keys = members.sparkSession, list(columns), list(key)
+    others, okeys = [f"_o_{c}" for c in cols], [f"_k_{c}" for c in keys]
+    n = members.count()
+    sample = members.orderBy(F.xxhash64(*keys)).limit(sample_rows).select(*cols).toPandas().to_numpy(dtype=float).reshape(-1, len(cols))
+    tree = spark.sparkContext.broadcast(Cells(sample, -(-n // bucket_rows)))
+    base = members.select(*cols, *keys)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(_cell=tree.value.of(b[cols].to_numpy(dtype=float)))
+
+    kind = lambda d, names: [T.StructField(c, d.schema[c].dataType) for c in names]
+    rows = base.mapInPandas(placed, T.StructType([*kind(base, base.columns), T.StructField("_cell", T.LongType())]))
+    sizes = rows.groupBy("_cell").agg(F.ceil(F.count("*") / bucket_rows).alias("_parts"))
+    part = F.pmod(F.xxhash64(*keys), F.col("_parts"))
+    rows = checkpointed(rows.join(sizes, "_cell").withColumn("_bucket", F.xxhash64("_cell", part)).drop("_cell", "_parts"))
+    found = T.StructType([T.StructField("_bucket", T.LongType()), *kind(base, [*cols, *keys]), T.StructField("_apart", T.DoubleType()), *[T.StructField(o, T.DoubleType()) for o in others], *[T.StructField(o, base.schema[c].dataType) for o, c in zip(okeys, keys)]])
+
+    def told(own: pd.DataFrame, other: pd.DataFrame, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        out = own.iloc[i][["_bucket", *cols, *keys]].reset_index(drop=True)
+        out["_apart"] = d
+        out[others] = other[cols].to_numpy(dtype=float)[j]
+        for o, c in zip(okeys, keys):
+            out[o] = other[c].to_numpy()[j]
+        return out[found.names]
+
+    def within(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(keys)
+        x = cell[cols].to_numpy(dtype=float)
+        return told(cell, cell, *_nearest(x, x, k, True))
+
+    own = checkpointed(rows.groupBy("_bucket").applyInPandas(within, found))
+    boxes = rows.groupBy("_bucket").agg(*[f(c).alias(f"{m}_{c}") for c in cols for m, f in (("lo", F.min), ("hi", F.max))]).toPandas()  # one row for each ``bucket_rows``
+    edges = spark.sparkContext.broadcast((boxes["_bucket"].to_numpy(), *[boxes[[f"{m}_{c}" for c in cols]].to_numpy(dtype=float) for m in ("lo", "hi")]))
+    kth = own.groupBy("_bucket", *keys).agg(F.when(F.count("*") >= k, F.max("_apart")).alias("_bound"))
+    search = rows.join(kth, ["_bucket", *keys], "left").select("_bucket", *cols, *keys, F.coalesce("_bound", F.lit(float("inf"))).alias("_bound"))
+    visit = T.StructType([*search.schema.fields, T.StructField("_to", T.LongType())])
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, lo, hi = edges.value
+        for b in batches:
+            for at in range(0, len(b), 256):
+                some = b.iloc[at : at + 256]
+                x = some[cols].to_numpy(dtype=float)
+                gap = sum(np.maximum(0, np.maximum(lo[None, :, c] - x[:, c, None], x[:, c, None] - hi[None, :, c])) ** 2 for c in range(len(cols)))
+                i, j = np.nonzero((gap < some["_bound"].to_numpy()[:, None]) & (some["_bucket"].to_numpy()[:, None] != name[None, :]))
+                yield some.iloc[i].assign(_to=name[j])[visit.names]
+
+    going = search.mapInPandas(visits, visit)
+    crowds = going.groupBy("_to").agg(F.ceil(F.count("*") / (8 * bucket_rows)).alias("_crowds"))
+    going = going.join(crowds, "_to").withColumn("_crowd", F.pmod(F.xxhash64(*keys), F.col("_crowds"))).drop("_crowds")
+    hosts = rows.withColumnRenamed("_bucket", "_to").join(crowds, "_to").withColumn("_crowd", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_crowds") - 1))).drop("_crowds")
+
+    def across(guests: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+        if guests.empty or cell.empty:
+            return pd.DataFrame({c: [] for c in found.names})
+        cell = cell.sort_values(keys)
+        return told(guests, cell, *_nearest(guests[cols].to_numpy(dtype=float), cell[cols].to_numpy(dtype=float), k, False))
+
+    far = going.groupBy("_to", "_crowd").cogroup(hosts.groupBy("_to", "_crowd")).applyInPandas(across, found)
+    order = Window.partitionBy("_bucket", *keys).orderBy("_apart", *okeys)
+    return own.unionByName(far).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k).drop(*okeys)
+
+
 def smote(rows: DataFrame, columns=COLUMNS, key=("row_id", "col_id"), k: int = 5, bucket_rows: int = 2000, seed: int = 42) -> DataFrame:
     """``columns`` and ``label`` of all rows with finite features, and new rows of the rarer class until both are as many.
 
-    A new row lies between a row and one of its ``k`` nearest of the whole class. Blocks of about ``bucket_rows`` rows,
-    dealt by ``key``, are compared with all blocks, and a row keeps its ``k`` nearest of each and then of all, so the work
-    grows with the square of the class and no task holds more than two blocks. With fewer than two rows of a class
-    nothing is added.
+    A new row lies between a row and one of its ``k`` nearest of the whole class (:func:`neighbours`). Each cell makes as many as its rows ask for. With fewer than
+    two rows of a class nothing is added.
     """
     d = rows.where(finite(columns)).withColumn("label", F.col("label").cast("int"))
     kept = d.select(*columns, "label")
@@ -96,43 +211,19 @@ def smote(rows: DataFrame, columns=COLUMNS, key=("row_id", "col_id"), k: int = 5
         return kept
     rare = min(n, key=n.get)
     few, need = n[rare], max(n.values()) - n[rare]
-    n_blocks = -(-few // bucket_rows)
-    members = d.where(F.col("label") == rare).select(*[F.col(c).cast("double").alias(c) for c in columns], *key)
-    members = members.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(n_blocks)).cast("int"))
-    end = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
-    share = lambda at: F.floor(at * need / F.lit(few))
-    wanted = members.groupBy("_bucket").agg(F.count("*").alias("_size")).withColumn("_end", end).select("_bucket", (share(F.col("_end")) - share(F.col("_end") - F.col("_size"))).alias("_want"))
     cols, others = list(columns), [f"_o_{c}" for c in columns]
-
-    def nearest(at: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        """The ``k`` nearest rows of one block for each row of another."""
-        names = ["_bucket", "_at", "_apart", "_other", "_rank", *cols, *others]
-        if mine.empty or theirs.empty:
-            return pd.DataFrame({c: [] for c in names})
-        x, y = (b.sort_values([*cols, *key])[cols].to_numpy(dtype=float) for b in (mine, theirs))
-        apart = sum((x[:, c, None] - y[None, :, c]) ** 2 for c in range(len(cols)))
-        if at[0] == at[1]:
-            np.fill_diagonal(apart, np.inf)
-        near = np.argsort(apart, axis=1, kind="stable")[:, :k]
-        i, j = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
-        out = pd.DataFrame({"_bucket": at[0], "_at": i, "_apart": apart[i, j], "_other": at[1], "_rank": j})
-        out[cols], out[others] = x[i], y[j]
-        return out[np.isfinite(out["_apart"])][names]
-
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    # Named anew on both sides, as a frame can't meet itself under the same columns.
-    side = lambda mine, other: members.select(*[F.col(c).alias(c) for c in (*cols, *key)], F.col("_bucket").alias(mine)).withColumn(other, blocks)
-    left, right = side("_i", "_j"), side("_j", "_i")
-    kind = "_bucket int, _at long, _apart double, _other int, _rank long, " + ", ".join(f"{c} double" for c in cols + others)
-    pairs = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(nearest, kind)
-    order = F.row_number().over(Window.partitionBy("_bucket", "_at").orderBy("_apart", "_other", "_rank"))
-    near = pairs.withColumn("_nth", order).where(F.col("_nth") <= k)
+    members = checkpointed(d.where(F.col("label") == rare).select(*[F.col(c).cast("double").alias(c) for c in columns], *key))
+    near = checkpointed(neighbours(members, columns, key, k, bucket_rows))
+    end = F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))  # a row a cell
+    share = lambda at: F.floor(at * need / F.lit(few))
+    wanted = near.where("_nth = 1").groupBy("_bucket").agg(F.count("*").alias("_size")).withColumn("_end", end).select("_bucket", (share(F.col("_end")) - share(F.col("_end") - F.col("_size"))).alias("_want"))
 
     def between(bucket: pd.DataFrame) -> pd.DataFrame:
-        b = bucket.sort_values(["_at", "_nth"])
+        b = bucket.sort_values([*key, "_nth"])
         x, y, want = b[cols].to_numpy(dtype=float), b[others].to_numpy(dtype=float), int(b["_want"].iloc[0])
-        first, count = np.unique(b["_at"].to_numpy(), return_index=True, return_counts=True)[1:]
-        rng = np.random.default_rng([seed, int(b["_bucket"].iloc[0])])
+        first = np.flatnonzero(b["_nth"].to_numpy() == 1)
+        count = np.diff([*first, len(b)])
+        rng = np.random.default_rng([seed, int(b["_bucket"].iloc[0]) & ((1 << 63) - 1)])
         base = rng.integers(len(first), size=want)
         pick = first[base] + rng.integers(count[base])
         out = pd.DataFrame(x[pick] + rng.random((want, 1)) * (y[pick] - x[pick]), columns=cols)
