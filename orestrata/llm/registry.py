@@ -30,4 +30,5 @@ def oracle_sql():
         "op3_line_frequency": quality.OP3_SQL,
         "op9_host_reputation": urls.OP9_SQL,
         "op10_license_digest": licenses.OP10_SQL,
+        "op12_suffix_array_dedup": repeats.OP12_SQL,
     }

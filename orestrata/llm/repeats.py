@@ -453,3 +453,20 @@ def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     out = without_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 100 bytes as 200 hexadecimal digits, numbered among its equals; the places of those that come again are merged into spans.
+OP12_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+s as (select row_number() over (order by doc_id nulls last, h) as rid, doc_id, h, len(h) // 2 as n from d),
+w as (select rid, unnest(range(0, n - 99)) as i from s),
+k as (select w.rid, w.i, md5(substr(s.h, 2 * w.i + 1, 200)) as m from w join s on w.rid = s.rid),
+again as (select rid, i from k qualify row_number() over (partition by m order by rid, i) > 1),
+a as (select rid, i, case when i - lag(i) over (partition by rid order by i) <= 100 then 0 else 1 end as new from again),
+b as (select rid, i, sum(new) over (partition by rid order by i) as span from a),
+p as (select rid, span, min(i) as i0, max(i) + 100 as i1 from b group by rid, span),
+g as (select rid, span, i0, i1, coalesce(lag(i1) over (partition by rid order by span), 0) as before from p),
+r as (select g.rid, count(*) as spans, sum(i1 - i0) as removed, max(i1) as last, string_agg(substr(h, 2 * before + 1, 2 * (i0 - before)), '' order by span) as kept from g join s on g.rid = s.rid group by g.rid)
+select doc_id, n as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans,
+ sha256(unhex(case when r.rid is null then h else kept || substr(h, 2 * last + 1) end)) as kept_sha256 from s left join r on s.rid = r.rid
+"""
