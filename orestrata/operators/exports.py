@@ -70,11 +70,15 @@ def with_assays(samples: DataFrame, assays: DataFrame) -> DataFrame:
 
 
 def write_tables(folder: str, **tables: DataFrame) -> list[str]:
-    """Each table as CSV with a header in a folder of its own; a table without rows is left out. The names written."""
+    """Each table as CSV with a header in a folder of its own; a table without rows is left out. The names written.
+
+    ``assays`` go with the ``samples``: where there are samples, their table is written even if it has no rows.
+    """
     written = []
     for name, d in tables.items():
-        if not d.isEmpty():
-            d.write.mode("overwrite").csv(f"{folder}/{name}.csv", header=True)
+        if not (tables["samples"] if name == "assays" and "samples" in tables else d).isEmpty():
+            # A table without rows is one file with its header.
+            (d.coalesce(1) if d.isEmpty() else d).write.mode("overwrite").csv(f"{folder}/{name}.csv", header=True)
             written.append(name)
     return written
 

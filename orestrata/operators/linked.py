@@ -5,8 +5,12 @@ Rows hold JSON as text. Absent values leave no key; empty text stays.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orestrata.functions import dates
 from orestrata.operators import exports, geometry
@@ -156,6 +160,26 @@ def location_layer(locations: DataFrame) -> DataFrame:
     return exports.flat(exports.locations_flat(locations.select("*", *at)), (*columns, "x", "y")).withColumns(filled)
 
 
+def without_nulls(node: Column | str) -> Column:
+    """JSON text without members and elements that are null, at any depth; text that isn't JSON is null."""
+
+    def pruned(x):
+        if isinstance(x, dict):
+            return {k: pruned(v) for k, v in x.items() if v is not None}
+        return [pruned(v) for v in x if v is not None] if isinstance(x, list) else x
+
+    def of(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(pruned(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return F.pandas_udf(of, T.StringType())(node)
+
+
 def location_geometries(locations: DataFrame, geometry_column: str = "geometry") -> DataFrame:
     """The layer of locations with a ``geom`` column in well-known binary: points, lines, and polygons by their outer ring; (0, 0) where there is no geometry."""
     columns = [c for c in exports.LOCATIONS if c != "quarter_section"]

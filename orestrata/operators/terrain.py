@@ -37,6 +37,12 @@ def nearest_distance(grid: DataFrame, points: DataFrame, pixel: float = 30.0) ->
     return tiles.squared_distances(grid, points).select("row_id", "col_id", (F.sqrt(F.col("d2").cast("double")) * pixel).alias("dist_m"))
 
 
+def feature_stack(grid: DataFrame, points: DataFrame | None = None, pixel: float = 30.0) -> DataFrame:
+    """``row_id, col_id``, slope, aspect, edge density and, if there are ``points``, the distance to the nearest, of every pixel."""
+    d = slope_aspect(grid, pixel).join(edge_density(grid), ["row_id", "col_id"])
+    return d if points is None else d.join(nearest_distance(grid, points, pixel), ["row_id", "col_id"])
+
+
 def labels(distances: DataFrame, inside: float = 300.0, outside: float = 1000.0, seed: int = 42) -> DataFrame:
     """1 within ``inside``, 0 for as many pixels beyond ``outside`` (in md5 order of seed and place), else -1."""
     d = distances.withColumn("_pos", F.col("dist_m") <= inside).withColumn("_far", F.col("dist_m") > outside)

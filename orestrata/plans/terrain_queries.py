@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orestrata.operators import forest, terrain
 from orestrata.plans.catalog import register
 from orestrata.plans.fixtures import cte, projection
-from orestrata.session import read_table
+from orestrata.session import checkpointed, read_table
 
 
 def _grid(spark, sf_dir):
@@ -59,7 +59,7 @@ n as (select count(*) filter (dist_m <= 300) as n from dist)
 select d.row_id, d.col_id, case when f.r <= n.n then 0 when dist_m <= 300 then 1 else -1 end::int as label from dist d cross join n left join far f on d.row_id = f.row_id and d.col_id = f.col_id""",
 )
 def labels(spark, sf_dir):
-    return terrain.labels(_dist(spark, sf_dir))
+    return terrain.labels(checkpointed(_dist(spark, sf_dir)))
 
 
 _BLOCKS = """, e as (select min(row_id) as r0, max(row_id) + 1 as r1, min(col_id) as c0, max(col_id) + 1 as c1 from dem_grid),
@@ -139,8 +139,30 @@ def class_report(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    g = _grid(spark, sf_dir)
-    return terrain.slope_aspect(g).join(terrain.edge_density(g), ["row_id", "col_id"]).join(_dist(spark, sf_dir), ["row_id", "col_id"])
+    return terrain.feature_stack(_grid(spark, sf_dir), projection(spark, sf_dir, "dem_point"))
+
+
+@register(
+    "feature_stack",
+    cte("dem_grid", "dem_point")
+    + _SOBEL
+    + _DIST
+    + """, m as (select row_id, col_id, sqrt(gx * gx + gy * gy) as m, round(degrees(atan(sqrt((gx / 240) * (gx / 240) + (gy / 240) * (gy / 240)))), 5) as slope_deg from s2)
+select m.row_id, m.col_id, slope_deg, round((m - (select min(m) from m)) / ((select max(m) - min(m) from m) + 1e-9), 6) as edge_density, round(dist_m, 6) as dist_m from m join dist d on m.row_id = d.row_id and m.col_id = d.col_id""",
+)
+def feature_stack(spark, sf_dir):
+    d = _features(spark, sf_dir)
+    return d.select("row_id", "col_id", F.round("slope_deg", 5).alias("slope_deg"), F.round("edge_density", 6).alias("edge_density"), F.round("dist_m", 6).alias("dist_m"))
+
+
+@register("spatial_cv")
+def spatial_cv(spark, sf_dir):
+    """Reports of a cross-validation by blocks. Its five forests have 20 trees of depth 10 each here; the operator's own default is 300 of depth 30."""
+    f = checkpointed(_features(spark, sf_dir))
+    label = F.when(F.col("dist_m") <= 300, 1).when(F.col("dist_m") > 1000, 0)
+    blocked = terrain.blocks(_grid(spark, sf_dir))
+    rows = checkpointed(f.withColumn("label", label).where("label is not null").join(blocked, ["row_id", "col_id"]))
+    return forest.spatial_cv(rows, terrain.folds(blocked), trees=20, depth=10)
 
 
 @register("rf_grid_proba")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orestrata.session import checkpointed
+
 MAX_BYTES = 100 * 1024 * 1024
 MAX_PAGES = 1000
 
@@ -19,7 +21,7 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
 
 def file_error(path: Column, length: Column, pages: Column | None = None) -> Column:
     """The first rule that a file breaks, or null."""
-    e = F.when(~F.lower(path).endswith(".pdf"), "not a pdf").when(length > MAX_BYTES, "too large").when(length <= 0, "empty")
+    e = F.when(length.isNull(), "no such file").when(~F.lower(path).endswith(".pdf"), "not a pdf").when(length > MAX_BYTES, "too large").when(length <= 0, "empty")
     if pages is not None:
         e = e.when(pages < 1, "no pages").when(pages > MAX_PAGES, "too many pages")
     return e
@@ -54,6 +56,39 @@ def recognise(pages: DataFrame, engine: Callable[[bytes], list[dict]], name: str
     )
 
 
+def listed(spark: SparkSession, paths: DataFrame, folder: str, pattern: str = "*.pdf") -> DataFrame:
+    """``path, length`` of the files that ``paths`` names, by their names in ``folder``; those that aren't there have no length."""
+    there = scan(spark, folder, pattern).select(F.element_at(F.split("path", "/"), -1).alias("_name"), "length")
+    return paths.select("path", F.element_at(F.split("path", "/"), -1).alias("_name")).join(there, "_name", "left").drop("_name")
+
+
+def recognised(pages: DataFrame, engines: dict[str, Callable[[bytes], list[dict]]], prefer: str | None = None, least: float = 0.0) -> DataFrame:
+    """Blocks of every page by the preferred engine (else the first), and by the next where one fails or is less sure than ``least`` on average.
+
+    A page that no engine is sure of has the blocks of the one that is surest; one on which all fail has the last error. Each engine reads only
+    the pages that are left to it.
+    """
+    order = sorted(engines, key=lambda e: e != prefer)
+    left, out, weak = pages.select("page_id", "image"), None, None
+    for k, name in enumerate(order):
+        blocks = checkpointed(recognise(left, engines[name], name))
+        sure = blocks.groupBy("page_id").agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean"))
+        done = sure.where((F.col("failed") == 0) & (F.col("mean") >= least)).select("page_id")
+        kept, rest = blocks.join(done, "page_id", "left_semi"), blocks.join(done, "page_id", "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        weak = rest if weak is None else weak.unionByName(rest)
+        # An engine that finds nothing on a page gives no row; such a page is left to the next.
+        left = left.join(done, "page_id", "left_anti")
+        if k + 1 < len(order) and left.isEmpty():
+            break
+    rank = F.create_map(*[F.lit(x) for k, e in enumerate(order) for x in (e, k)])
+    each = weak.join(left.select("page_id"), "page_id", "left_semi").withColumn("rank", F.element_at(rank, F.col("engine")))
+    best = each.groupBy("page_id", "engine", "rank").agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.avg("confidence").alias("mean"))
+    # The surest that didn't fail, the first of them in order; if all failed, the last.
+    surest = best.groupBy("page_id").agg(F.max_by("engine", F.struct(F.col("failed") == 0, F.when(F.col("failed") == 0, F.col("mean")).otherwise(0.0), F.when(F.col("failed") == 0, -F.col("rank")).otherwise(F.col("rank")))).alias("engine"))
+    return out.unionByName(weak.join(surest, ["page_id", "engine"], "left_semi").select(*out.columns))
+
+
 def occurrences(spark: SparkSession, path: str) -> DataFrame:
     """Mineral occurrences from CSV with ``lon`` and ``lat``; the columns are ``longitude``/``latitude`` or ``londec``/``latdec``."""
     d = spark.read.csv(path, header=True)

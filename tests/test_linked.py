@@ -46,3 +46,19 @@ def test_batch_goes_out_and_uploads_are_refused_whole(spark, tmp_path):
     assert tuple(names("a.PDF", "b.pdf")) == (True, None)
     assert tuple(names("a.pdf", "z.txt", "b.doc")) == (False, "b.doc")
     assert tuple(names()) == (True, None)
+
+
+def test_nulls_go_at_any_depth(spark):
+    from orestrata.operators import linked
+
+    d = spark.createDataFrame([('{"a":null,"b":{"c":null,"d":[1,null,{"e":null,"f":""}]},"g":[]}',), ("no json",), (None,)], "t string")
+    assert [r.v for r in d.select(linked.without_nulls("t").alias("v")).collect()] == ['{"b":{"d":[1,{"f":""}]},"g":[]}', None, None]
+
+
+def test_assays_go_with_samples(spark, tmp_path):
+    from orestrata.operators import exports
+
+    one, none = spark.range(1), spark.range(0)
+    assert exports.write_tables(str(tmp_path / "a"), samples=one, assays=none, observations=none) == ["samples", "assays"]
+    assert spark.read.csv(str(tmp_path / "a/assays.csv"), header=True).columns == ["id"]
+    assert exports.write_tables(str(tmp_path / "b"), samples=none, assays=none) == []

@@ -49,3 +49,27 @@ def test_stream(spark, tmp_path):
     finally:
         q.stop()
     assert r["n_blocks"] == 2 and abs(r["confidence"] - 0.6) < 1e-9
+
+
+def test_files_that_are_missing(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
+    named = spark.createDataFrame([("in/a.pdf",), ("in/gone.pdf",)], "path string")
+    d = reports.listed(spark, named, str(tmp_path))
+    assert {r.path: r.e for r in d.select("path", reports.file_error(F.col("path"), F.col("length")).alias("e")).collect()} == {"in/a.pdf": None, "in/gone.pdf": "no such file"}
+
+
+def test_engines_take_over(spark):
+    pages = spark.createDataFrame([(k, bytearray(t)) for k, t in enumerate((b"easy", b"hard", b"worse", b"lost", b"faint"))], "page_id long, image binary")
+
+    def first(image):
+        if image in (b"hard", b"lost"):
+            raise ValueError("first can't")
+        return [{"text": "one", "confidence": {b"easy": 0.9, b"worse": 0.3, b"faint": 0.4}[image]}]
+
+    def second(image):
+        if image == b"lost":
+            raise ValueError("second can't")
+        return [{"text": "two", "confidence": {b"hard": 0.9, b"worse": 0.8, b"faint": 0.2}[image]}]
+
+    got = {r.page_id: (r.engine, r.text, r.error) for r in reports.recognised(pages, {"b": second, "a": first}, prefer="a", least=0.5).collect()}
+    assert got == {0: ("a", "one", None), 1: ("b", "two", None), 2: ("b", "two", None), 3: ("b", None, "second can't"), 4: ("a", "one", None)}
