@@ -44,13 +44,13 @@ from orestrata.llm.common import cut, sample, small_batches, table
 
 @dataclass(frozen=True)
 class AnnParams:
-    """``sample`` bounds the vectors that cells and codebooks are fitted on; every vector is indexed. There are about
-    sqrt(rows) / ``root_share`` cells (at most one for 16 sampled rows); a cell of more than ``block_rows`` rows takes
-    several blocks. ``rerank`` candidates per query and block are scored exactly. Beyond ``block_queries`` queries a
+    """Cells and codebooks are fitted on ``sample`` vectors, or as many as give each cell 16 of them where that is more, ``most_sample`` at
+    most; every vector is indexed. There are about sqrt(rows) / ``root_share`` cells; a cell of more than ``block_rows`` rows takes several blocks. ``rerank`` candidates per query and block are scored exactly. Beyond ``block_queries`` queries a
     block is held by several tasks, which bounds how long one works."""
 
     k: int = 20
     sample: int = 8192
+    most_sample: int = 500_000
     root_share: float = 3.0
     min_rows: int = 64
     coverage: float = 0.95
@@ -206,7 +206,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def codebook(classes: DataFrame, n: int, p: AnnParams) -> tuple[Codebook, int]:
     """The codebook fitted on the sample, and the number of cells that a query looks into."""
-    drawn = sample(classes, n, p.sample, F.element_at("ids", 1), "v", seed="ann").select("v").collect()
+    wanted = min(p.most_sample, max(p.sample, round(16 * n**0.5 / p.root_share)))
+    drawn = sample(classes, n, wanted, F.element_at("ids", 1), "v", seed="ann").select("v").collect()
     x = np.array([r["v"] for r in drawn], dtype=np.float64)
     cells = 1 if n <= p.min_rows else max(1, min(len(x) // 16, round(n**0.5 / p.root_share)))
     book = fit(x, cells, p)
@@ -227,32 +228,32 @@ def _search_dimension(classes: DataFrame, queries: DataFrame, n: int, p: AnnPara
                 codes = [_pack(c) for c in b.encode(v, cell, p.parallel_weight)]
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(codes, pa.binary()), *batch.columns], names=["cell", "codes", "v", "ids"])
 
+    fields = [T.StructField("v", kind), T.StructField("ids", T.ArrayType(T.LongType()))]
+    index = cut(classes.select("v", "ids").mapInArrow(encode, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType()), *fields])))
+    per_cell = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell
+    # Blocks: a cell of more than block_rows rows takes several. first is a cell's first block, parts their number.
+    parts = np.zeros(len(fitted.centres), dtype=np.int64)
+    for c, m in per_cell.items():
+        parts[c] = -(-m // p.block_rows)
+    first = np.cumsum(parts) - parts
+    blocks = classes.sparkSession.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in per_cell], "cell int, first int, parts int")
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Codebook = book.value
         for batch in batches:
             if batch.num_rows:
                 cell = np.argsort(-(_matrix(batch.column(1)) @ b.centres.T), axis=1, kind="stable")[:, :probes]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cell.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "v", "cells"])
+                met = [np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in row]).astype(np.int32) for row in cell]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(met, pa.list_(pa.int32()))], names=["id", "v", "blocks"])
 
-    fields = [T.StructField("v", kind), T.StructField("ids", T.ArrayType(T.LongType()))]
-    index = cut(classes.select("v", "ids").mapInArrow(encode, T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("codes", T.BinaryType()), *fields])))
-    per_cell = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell
-    # Blocks: a cell of more than block_rows rows takes several. first is a cell's first block, parts their number.
-    first, parts, at = {}, {}, 0
-    for c, m in sorted(per_cell.items()):
-        first[c], parts[c] = at, -(-m // p.block_rows)
-        at += parts[c]
-    of_cell = lambda d, c: F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(d.items()) for x in (k, v)]), c)
     q = queries.select(F.col("vec_id").alias("id"), "v").distinct()
     turns = max(1, -(-q.count() // p.block_queries))
-    cell = F.col("cell")
-    left = index.withColumn("block", (of_cell(first, cell) + F.pmod(F.xxhash64("ids"), of_cell(parts, cell))).cast("int")).select(
+    left = index.join(F.broadcast(blocks), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("ids"), F.col("parts"))).cast("int")).select(
         "block", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "v", "codes", "ids"
     )
-    met = F.flatten(F.transform("cells", lambda c: F.sequence(of_cell(first, c), of_cell(first, c) + of_cell(parts, c) - 1)))
-    routed = q.mapInArrow(route, T.StructType([T.StructField("id", T.LongType()), T.StructField("v", kind), T.StructField("cells", T.ArrayType(T.IntegerType()))]))
-    right = routed.withColumn("cells", F.filter("cells", lambda c: of_cell(first, c).isNotNull())).select(
-        F.explode(met).alias("block"), F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("array<long>").alias("ids")
+    routed = q.mapInArrow(route, T.StructType([T.StructField("id", T.LongType()), T.StructField("v", kind), T.StructField("blocks", T.ArrayType(T.IntegerType()))]))
+    right = routed.select(
+        F.explode("blocks").alias("block"), F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("array<long>").alias("ids")
     )
     dealt = left.unionByName(right).repartition("block", "turn").sortWithinPartitions("block", "turn", "kind")
 
