@@ -45,7 +45,7 @@ from orestrata.llm.common import cut, drop, small_batches, stored, table
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text in a part, which a task holds.
-PART_CHARS = 8 << 20
+PART_CHARS = 16 << 20
 #: A word ends before a blank or a line break that follows something else than white space.
 _WORDS = re.compile(r"(?<=\S)(?=[ \n])")
 #: White space of other kinds, or two of it in a row: such texts are cut by :data:`_WORDS`, others at every blank and line break.
@@ -84,11 +84,13 @@ def aligned_shapes(shapes: DataFrame) -> DataFrame:
     shapes = cut(shapes.select("la", "lb").distinct().withColumn("doc", F.monotonically_increasing_id()))
     rows = lambda side: spans(shapes.select("doc", F.posexplode(side).alias("i", "n")))
     a, b = numbered(rows("la"), rows("lb"))
-    a, b = cut(a), cut(b)
+    a, b = stored(a), stored(b)
     places = lambda x, name: x.groupBy("doc", "g").agg(F.sort_array(F.collect_list("i")).alias(name))
     groups = places(a, "ga").join(places(b, "gb"), ["doc", "g"]).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("g", "ga", "gb"))).alias("groups"))
     links = linked(a, b).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("links"))
-    return shapes.join(groups, "doc").join(links, "doc").withColumnRenamed("doc", "shape")
+    out = stored(shapes.join(groups, "doc").join(links, "doc").withColumnRenamed("doc", "shape"))
+    drop(a, b)
+    return out
 
 
 # Words and their tokens
@@ -205,7 +207,13 @@ _INTS = ("refs", "ends", "ia", "ea", "ib", "eb", "shape")
 
 
 def _ints(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x, dtype="<i4").tobytes()
+    """Whole numbers as bytes: how many, then packed."""
+    raw = np.ascontiguousarray(x, dtype="<i4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _read_ints(raw: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), dtype="<i4")
 
 
 class Part:
@@ -273,16 +281,17 @@ def _parts(docs: DataFrame, a: str, b: str, part_chars: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _with_shapes(parts: DataFrame) -> DataFrame:
-    """Parts with ``found``: for each of their shapes its number there, its groups as text of places and its links as a list of places in turn."""
+def _shapes_of(parts: DataFrame) -> DataFrame:
+    """``part, found``: for each of a part's shapes its number there, its groups as text of places and its links as a list of places in turn."""
     used = parts.select("part", F.posexplode(F.arrays_zip("la", "lb")).alias("k", "s")).select("part", "k", "s.la", "s.lb")
-    shapes = cut(aligned_shapes(used))
+    shapes = aligned_shapes(used)
     places = lambda of: F.array_join(F.transform(of, lambda i: i.cast("string")), ",")
     form = F.array_join(F.transform("groups", lambda g: F.concat(places(g["ga"]), F.lit("|"), places(g["gb"]))), ";")
     links = F.flatten(F.transform("links", lambda x: F.array(x["i"], x["j"])))
     told = used.join(shapes.select("la", "lb", form.alias("form"), links.alias("links")), ["la", "lb"])
-    found = told.groupBy("part").agg(F.collect_list(F.struct("k", "form", "links")).alias("found"))
-    return parts.drop("la", "lb").join(found, "part", "left")
+    found = stored(told.groupBy("part").agg(F.collect_list(F.struct("k", "form", "links")).alias("found")))
+    drop(shapes)
+    return found
 
 
 class Words:
@@ -290,7 +299,7 @@ class Words:
 
     def __init__(self, row: pa.RecordBatch):
         self.ids = row.column("ids").flatten()
-        raw = {c: np.frombuffer(row.column(c)[0].as_py(), dtype="<i4") for c in _INTS}
+        raw = {c: _read_ints(row.column(c)[0].as_py()) for c in _INTS}
         self.refs, self.ends, self.ia, self.ea, self.ib, self.eb, self.shape = (raw[c] for c in _INTS)
         found = row.column("found").flatten()
         k, forms, links = (found.field(i) for i in range(3)) if len(found) else (pa.array([], pa.int32()), pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
@@ -394,9 +403,10 @@ def aligned(docs: DataFrame, a: str = TOKENIZER_A, b: str = TOKENIZER_B, part_ch
 
     ``groups`` is text, as ``a1,a2|b1;a3|b2,b3``.
     """
-    written = stored(_parts(docs, a, b, part_chars))
-    parts = stored(_with_shapes(written))
-    drop(written)
+    parts = stored(_parts(docs, a, b, part_chars))
+    found = _shapes_of(parts)
+    # Met twice rather than written once more: a part is the larger side.
+    parts = parts.drop("la", "lb").join(found, "part", "left")
     counts = stored(_pair_counts(parts))
     rows = counts.select("part", F.explode(F.arrays_zip("pairs", "docs")).alias("p")).select("part", F.col("p.pairs").alias("pair"), F.col("p.docs").alias("docs"))
     whole = cut(rows.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32)))
