@@ -45,7 +45,7 @@ from orestrata.llm.common import cut, drop, small_batches, stored, table
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text in a part, which a task holds.
-PART_CHARS = 16 << 20
+PART_CHARS = 6 << 20
 #: A word ends before a blank or a line break that follows something else than white space.
 _WORDS = re.compile(r"(?<=\S)(?=[ \n])")
 #: White space of other kinds, or two of it in a row: such texts are cut by :data:`_WORDS`, others at every blank and line break.
