@@ -46,15 +46,15 @@ def location_geometries(spark, sf_dir):
 @register(
     "points_in_polygons",
     cte("geo_location")
-    + """, p as (select doc_id, (doc_id * 17) % 300 - 170 as x, (doc_id * 11) % 120 - 75 as y from (select distinct doc_id from geo_location))
+    + """, p as (select doc_id, (doc_id * 17) % 300 - 170 + 0.037::double as x, (doc_id * 11) % 120 - 75 + 0.013::double as y from (select distinct doc_id from geo_location))
 select l.location_id, p.doc_id as polygon_id from geo_location l join p on l.latitude > p.y and l.latitude <= p.y + 20
  and (l.longitude - p.x) * 20 > 15 * (l.latitude - p.y) and (p.x + 30 - l.longitude) * 20 >= 15 * (l.latitude - p.y)
  and not (l.latitude > p.y + 2 and l.latitude <= p.y + 6 and (l.longitude - p.x - 12) * 4 > 3 * (l.latitude - p.y - 2) and (p.x + 18 - l.longitude) * 4 >= 3 * (l.latitude - p.y - 2))""",
 )
 def points_in_polygons(spark, sf_dir):
-    """Locations in triangles with a hole."""
+    """Locations in triangles with a hole; corners lie off the locations' lattice, so none is on an edge."""
     l = projection(spark, sf_dir, "geo_location")
-    p = l.select("doc_id").distinct().select("doc_id", ((F.col("doc_id") * 17) % 300 - 170).cast("double").alias("px"), ((F.col("doc_id") * 11) % 120 - 75).cast("double").alias("py"))
+    p = l.select("doc_id").distinct().select("doc_id", ((F.col("doc_id") * 17) % 300 - 170 + 0.037).alias("px"), ((F.col("doc_id") * 11) % 120 - 75 + 0.013).alias("py"))
     corner = lambda dx, dy: F.struct((F.col("px") + dx).alias("x"), (F.col("py") + dy).alias("y"))
     ring = lambda *c: F.array(*[corner(*k) for k in c])
     shape = F.struct(F.lit("Polygon").alias("kind"), F.array(ring((0, 0), (30, 0), (15, 20), (0, 0)), ring((12, 2), (18, 2), (15, 6), (12, 2))).alias("rings")).cast(geometry.GEOMETRY)
