@@ -5,9 +5,10 @@ with 4 bits for every two dimensions. The codebooks are fitted with the
 anisotropic loss: the error along the vector counts more than the error across
 it, because it changes large inner products more. A query looks into the cells
 with the largest inner products, adds up table entries for the codes, and the
-candidates with the best sums are scored again exactly on the original vectors.
-How many cells it looks into is measured on the sample: as few as hold
-``coverage`` of the nearest neighbours there.
+candidates with the best sums are scored again exactly on the original vectors,
+as are all whose coding error doesn't rule them out.
+How many cells it looks into is measured for some of the queries on the sample
+and the longest vectors: as few as hold ``coverage`` of the nearest neighbours there.
 
 The index stays where it is: a cell's codes and vectors go to one task (a large
 cell's to several), queries are sent to the cells that they look into and stream
@@ -45,7 +46,8 @@ from orestrata.llm.common import cut, sample, small_batches, table
 @dataclass(frozen=True)
 class AnnParams:
     """Cells and codebooks are fitted on ``sample`` vectors, or as many as give each cell 16 of them where that is more, ``most_sample`` at
-    most; every vector is indexed. There are about sqrt(rows) / ``root_share`` cells; a cell of more than ``block_rows`` rows takes several blocks. ``rerank`` candidates per query and block are scored exactly. Beyond ``block_queries`` queries a
+    most; every vector is indexed. There are about sqrt(rows) / ``root_share`` cells; a cell of more than ``block_rows`` rows takes several blocks. The number of cells that a query looks into is measured for
+    ``asked`` queries on the sample and the ``longest`` vectors. ``rerank`` candidates per query and block are scored exactly, then all that their errors don't rule out. Beyond ``block_queries`` queries a
     block is held by several tasks, which bounds how long one works."""
 
     k: int = 20
@@ -54,6 +56,8 @@ class AnnParams:
     root_share: float = 3.0
     min_rows: int = 64
     coverage: float = 0.95
+    longest: int = 2048
+    asked: int = 512
     rerank: int = 64
     block_rows: int = 8192
     block_queries: int = 2_000_000
@@ -102,6 +106,11 @@ class Codebook:
             t = np.concatenate([t, np.zeros_like(t[:1])])
         return (t[0::2, None, :, :] + t[1::2, :, None, :]).reshape(len(t) // 2, 256, -1)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """What packed codes stand for, beside their cell's centre: rows x d."""
+        code = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(codes), -1)[:, : len(self.points)]
+        return self.points[np.arange(len(self.points))[None], code].reshape(len(codes), -1)[:, : self.centres.shape[1]]
+
     def scan(self, codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """Sums of table entries, rows x queries. ``codes`` are rows x bytes. A cell's own centre adds the same to all its rows."""
         out = np.take(tables[0], codes[:, 0], axis=0)
@@ -150,13 +159,17 @@ def fit(x: np.ndarray, cells: int, p: AnnParams = PARAMS) -> Codebook:
     return Codebook(centres, points)
 
 
-def probes_needed(x: np.ndarray, book: Codebook, p: AnnParams = PARAMS, queries: int = 256) -> int:
-    """The least number of cells that hold ``coverage`` of the ``k`` nearest in the sample ``x``.
+def probes_needed(x: np.ndarray, book: Codebook, p: AnnParams = PARAMS, q: np.ndarray | None = None) -> int:
+    """The least number of cells that hold ``coverage`` of the ``k`` nearest in the sample ``x`` of queries ``q`` (or of some of its own rows); a query's own vector doesn't count.
 
     Of a larger table the nearest lie nearer, in cells that come earlier, so the sample asks for rather too many."""
-    q = x[:: max(1, len(x) // queries)]
+    q = x[:: max(1, len(x) // 256)] if q is None else q
+    own = {r.tobytes(): i for i, r in enumerate(x)}
     score = q @ x.T
-    k = min(p.k + 1, len(x))
+    for i, r in enumerate(q):
+        if r.tobytes() in own:
+            score[i, own[r.tobytes()]] = -np.inf
+    k = max(1, min(p.k, len(x) - 1))
     best = np.argpartition(-score, k - 1, axis=1)[:, :k]
     order = np.argsort(-(q @ book.centres.T), axis=1, kind="stable")
     place = np.empty_like(order)
@@ -204,18 +217,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def codebook(classes: DataFrame, n: int, p: AnnParams) -> tuple[Codebook, int]:
-    """The codebook fitted on the sample, and the number of cells that a query looks into."""
+def codebook(classes: DataFrame, n: int, p: AnnParams, queries: DataFrame | None = None) -> tuple[Codebook, int]:
+    """The codebook fitted on the sample, and the number of cells that a query looks into.
+
+    That number is measured for ``queries``, where they are given, on the sample and the longest vectors of all: these have the largest inner
+    products, and a sample holds few of them."""
     wanted = min(p.most_sample, max(p.sample, round(16 * n**0.5 / p.root_share)))
-    drawn = sample(classes, n, wanted, F.element_at("ids", 1), "v", seed="ann").select("v").collect()
-    x = np.array([r["v"] for r in drawn], dtype=np.float64)
+    rows = lambda d: np.array([r["v"] for r in d.select("v").collect()], dtype=np.float64)
+    x = rows(sample(classes, n, wanted, F.element_at("ids", 1), "v", seed="ann"))
     cells = 1 if n <= p.min_rows else max(1, min(len(x) // 16, round(n**0.5 / p.root_share)))
     book = fit(x, cells, p)
-    return book, probes_needed(x, book, p)
+    length = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
+    longest = rows(classes.orderBy(F.desc(length), F.element_at("ids", 1)).limit(p.longest))
+    asked = None if queries is None else rows(sample(queries, queries.count(), p.asked, "id", "v", seed="asked"))
+    return book, probes_needed(np.unique(np.vstack([x, longest]), axis=0), book, p, asked if asked is not None and len(asked) else None)
 
 
 def _search_dimension(classes: DataFrame, queries: DataFrame, n: int, p: AnnParams) -> DataFrame:
-    fitted, probes = codebook(classes, n, p)
+    q = queries.select(F.col("vec_id").alias("id"), "v").distinct()
+    fitted, probes = codebook(classes, n, p, q)
     book = classes.sparkSession.sparkContext.broadcast(fitted)
     kind = classes.schema["v"].dataType
 
@@ -246,7 +266,6 @@ def _search_dimension(classes: DataFrame, queries: DataFrame, n: int, p: AnnPara
                 met = [np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in row]).astype(np.int32) for row in cell]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(met, pa.list_(pa.int32()))], names=["id", "v", "blocks"])
 
-    q = queries.select(F.col("vec_id").alias("id"), "v").distinct()
     turns = max(1, -(-q.count() // p.block_queries))
     left = index.join(F.broadcast(blocks), "cell").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("ids"), F.col("parts"))).cast("int")).select(
         "block", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "v", "codes", "ids"
@@ -271,7 +290,7 @@ def _search_dimension(classes: DataFrame, queries: DataFrame, n: int, p: AnnPara
                     held.append((_matrix(part.column(4)), np.stack([np.frombuffer(c, dtype=np.uint8) for c in part.column(5).to_pylist()]), part.column(6).to_pylist()))
                 elif held:
                     if block is None:
-                        block = np.vstack([h[0] for h in held]), np.vstack([h[1] for h in held]), [i for h in held for i in h[2]]
+                        block = _block(held, book.value)
                     for at in range(0, part.num_rows, p.batch_queries):
                         few = part.slice(at, p.batch_queries)
                         yield _nearest(block, few.column(3).to_numpy(), _matrix(few.column(4)), book.value, p)
@@ -281,18 +300,43 @@ def _search_dimension(classes: DataFrame, queries: DataFrame, n: int, p: AnnPara
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 
+def _block(held: list[tuple], book: Codebook) -> tuple:
+    """Vectors, codes and ids of a block, a centre, and how far each row lies from what its code stands for (with what single precision adds to that)."""
+    v, codes, ids = np.vstack([h[0] for h in held]), np.vstack([h[1] for h in held]), [i for h in held for i in h[2]]
+    centre = book.centres[book.cells_of(v[:1])[0]]
+    near = book.decode(codes)
+    error = np.linalg.norm(v - centre - near, axis=1) + codes.shape[1] * 2e-7 * np.linalg.norm(near, axis=1) + 1e-12 * np.linalg.norm(v, axis=1)
+    return v, codes, ids, centre, error
+
+
 def _nearest(block: tuple, qid: np.ndarray, q: np.ndarray, book: Codebook, p: AnnParams) -> pa.RecordBatch:
-    """The nearest ``k`` of a block for each query: a table scan of the codes, then exact scores of the best."""
-    v, codes, ids = block
-    # All rows of a block lie in one cell, so what the centre adds doesn't change their order.
-    rough = book.scan(codes, book.tables(q)).T
-    keep = min(max(p.rerank, p.k + 1), len(v))
-    best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < len(v) else np.arange(len(v))[None].repeat(len(q), 0)
-    exact = np.einsum("qrd,qd->qr", v[best], q)
-    # Classes below the k + 1 best can't be among the k nearest.
-    last = np.partition(exact, -(p.k + 1), axis=1)[:, -(p.k + 1)] if exact.shape[1] > p.k else np.full(len(q), -np.inf)
-    at_q, at_c = np.nonzero(exact >= last[:, None])
-    row, score = best[at_q, at_c], exact[at_q, at_c]
+    """The nearest ``k`` of a block for each query: a table scan of the codes, then exact scores.
+
+    The best sums are scored first. The last of the ``k`` + 1 best so far bounds the rest: a row whose sum and error can't reach it
+    needs no score. So rows that share a code, or are coded badly, aren't lost.
+    """
+    v, codes, ids, centre, error = block
+    reach = np.linalg.norm(q, axis=1)
+    if max(p.rerank, p.k + 1) < len(v):
+        # All rows of a block lie in one cell, so what the centre adds doesn't change their order.
+        rough = book.scan(codes, book.tables(q)).T
+        best = np.argpartition(-rough, max(p.rerank, p.k + 1) - 1, axis=1)[:, : max(p.rerank, p.k + 1)]
+        last = np.partition(np.einsum("qrd,qd->qr", v[best], q), -(p.k + 1), axis=1)[:, -(p.k + 1)]
+        may = ~(rough + (q @ centre - last)[:, None] + reach[:, None] * error < 0)
+    else:
+        may = np.ones((len(q), len(v)), dtype=bool)
+    if may.mean() > 1 / 32:
+        exact = np.where(may, q @ v.T, -np.inf)
+    else:
+        at_q, at_c = np.nonzero(may)
+        exact = np.full(may.shape, -np.inf)
+        exact[at_q, at_c] = np.einsum("nd,nd->n", v[at_c], q[at_q])
+    # Classes below the k + 1 best can't be among the k nearest; what a product rounds differently is left to the scores themselves.
+    if len(v) > p.k + 1:
+        last = np.partition(exact, -(p.k + 1), axis=1)[:, -(p.k + 1)]
+        may &= exact >= (last - 1e-12 * reach * np.linalg.norm(v, axis=1).max())[:, None]
+    at_q, row = np.nonzero(may)
+    score = np.einsum("nd,nd->n", v[row], q[at_q])
     n = np.array([len(i) for i in ids])[row]
     if (n > 1).any():
         cand = np.array([x for j in row for x in ids[j]], dtype=np.int64)

@@ -64,6 +64,19 @@ def test_anisotropic_codes_keep_scores_better():
     assert along[4.0] < along[1.0]
 
 
+@pytest.mark.parametrize("kind", ["near", "tight", "long", "apart"])
+def test_recall_on_other_rows(spark, kind):
+    """Rows that share a code, tight clusters, few long vectors that a sample misses, and queries unlike the other rows."""
+    rng = np.random.default_rng(2)
+    g, c = rng.normal(size=(6000, 16)), rng.normal(size=(20, 16))
+    x = {"near": c[rng.integers(20, size=6000)] + 1e-6 * g, "tight": c[rng.integers(20, size=6000)] + 0.01 * g, "long": g * np.exp(2 * rng.normal(size=(6000, 1))), "apart": np.where((np.arange(6000) % 20 == 0)[:, None], 3 - g, g)}[kind]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(d, F.col("vec_id") % 20 == 0, ann.AnnParams(sample=1000)).toPandas()
+    want = brute(np.arange(6000), x, range(0, 6000, 20), 20)
+    hit = sum(len(set(want[q]) & set(g.vec_id)) for q, g in got.groupby("query_id"))
+    assert hit >= 0.9 * sum(map(len, want.values()))
+
+
 def test_many_cells_and_blocks(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 9))
