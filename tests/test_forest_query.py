@@ -17,3 +17,16 @@ def test_query_trains_the_whole_forest(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(forest, "train", train)
     assert terrain_queries.rf_grid_proba(spark, sf_dir).columns == ["row_id", "col_id", "proba"]
     assert calls == [(300, 30)]
+
+
+def test_a_fold_needs_no_medians_and_few_jobs(spark, monkeypatch):
+    """Where all features are finite no median is looked for, and the folds are not made anew in each job."""
+    rows = [(i, j, float(i % 7), float(j % 5), int((i + j) % 3 == 0), (i // 5) * 2 + j // 5) for i in range(10) for j in range(10)]
+    d = spark.createDataFrame(rows, "row_id int, col_id int, a double, b double, label int, block_id int")
+    folds = spark.createDataFrame([(b, b % 2 + 1) for b in range(4)], "block_id int, fold int")
+    model = forest.train(d, ("a", "b"), 2, 2)
+    got = forest.score(model, d, ("a", "b"), ["label"])
+    assert got.columns == ["label", "proba"] and got.count() == 100
+    monkeypatch.setattr(forest, "median", lambda *a: 1 / 0)
+    report = {(r.fold, r.label): r.support for r in forest.spatial_cv(d, folds, 2, ("a", "b"), 2, 2).collect()}
+    assert sum(report.values()) == 100 and {f for f, _ in report} == {1, 2}
