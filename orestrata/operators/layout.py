@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,18 +100,20 @@ def in_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 def classes(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """Blocks as paragraph or, in one of the page's ``tables``, table; then header (y < 100) and footer (y > 1000), the later winning.
 
-    A block is named by its page and its number on it; numbers start anew on every page.
+    Each block is judged by its own place, whatever its number. A page's tables are few: they lie ``reach`` apart (:func:`table_clusters`).
     """
-    inside = in_tables(blocks, tables).select("page_id", "block_ord").distinct().withColumn("_in", F.lit(True))
-    kind = F.when(F.col("y") > 1000, "footer").when(F.col("y") < 100, "header").when(F.col("_in"), "table").otherwise("paragraph")
-    return blocks.join(inside, ["page_id", "block_ord"], "left").withColumn("text_type", kind).drop("_in")
+    boxes = tables.groupBy("page_id").agg(F.collect_list(F.struct("x_min", "x_max", "y_min", "y_max")).alias("_boxes"))
+    x, y = F.expr("x + w div 2"), F.expr("y + h div 2")
+    inside = F.exists("_boxes", lambda t: x.between(t["x_min"], t["x_max"]) & y.between(t["y_min"], t["y_max"]))
+    kind = F.when(F.col("y") > 1000, "footer").when(F.col("y") < 100, "header").when(inside, "table").otherwise("paragraph")
+    return blocks.join(boxes, "page_id", "left").withColumn("text_type", kind).drop("_boxes")
 
 
 def page_structure(classified: DataFrame) -> DataFrame:
-    """Blocks of each class by page and the dominant structure."""
+    """Blocks of each class by page and the dominant structure; shares are compared in whole numbers, for 0.7 * 90 is less than 63 in binary."""
     n = F.count("*")
     count = {k: F.count_if(F.col("text_type") == k) for k in ("paragraph", "table", "header", "footer")}
-    kind = F.when(count["table"] > n * 0.5, "table_heavy").when(count["paragraph"] > n * 0.7, "text_heavy").otherwise("mixed")
+    kind = F.when(count["table"] * 2 > n, "table_heavy").when(count["paragraph"] * 10 > n * 7, "text_heavy").otherwise("mixed")
     return classified.groupBy("page_id").agg(*[c.alias(f"n_{k}") for k, c in count.items()], kind.alias("structure"))
 
 
@@ -122,27 +123,72 @@ def best_engine(results: DataFrame) -> DataFrame:
     return d.groupBy("page_id").agg(F.max_by(F.struct("engine", "confidence"), F.struct("confidence", F.when(F.col("engine") == "paddle", 1).otherwise(0))).alias("b")).select("page_id", "b.engine", "b.confidence")
 
 
+def _first_places(page: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the first of equal points, in order."""
+    order = np.lexsort((y, x, page))
+    a, b, c = page[order], x[order], y[order]
+    return np.sort(order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]])
+
+
+def _gathered(page: np.ndarray, x: np.ndarray, y: np.ndarray, reach: int, least: int) -> list[np.ndarray]:
+    """Tables of whole pages, whose distinct points come in order: in each turn the first free point of every page gathers."""
+    step, free, turn = np.zeros(len(page), dtype=np.int64), np.arange(len(page)), 0
+    while len(free):
+        new = np.r_[True, page[free][1:] != page[free][:-1]]
+        anchor = free[new][np.cumsum(new) - 1]
+        near = (abs(x[free] - x[anchor]) < reach) & (abs(y[free] - y[anchor]) < reach)
+        step[free[near]] = turn = turn + 1
+        free = free[~near]
+
+    def groups(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values in order of page, turn and size, and where a new page or turn begins."""
+        o = np.lexsort((value, step, page))
+        return value[o], np.flatnonzero(np.r_[True, (page[o][1:] != page[o][:-1]) | (step[o][1:] != step[o][:-1])])
+
+    (xs, at), (ys, _), (ps, _) = groups(x), groups(y), groups(page)
+    last = np.r_[at[1:], len(xs)] - 1
+
+    def distinct(v: np.ndarray) -> np.ndarray:
+        new = np.r_[True, v[1:] != v[:-1]]
+        new[at] = True
+        return np.add.reduceat(new.astype(np.int64), at)
+
+    n = last - at + 1
+    kept = n >= least
+    pages = ps[at][kept]
+    first = np.r_[True, pages[1:] != pages[:-1]] if len(pages) else np.zeros(0, dtype=bool)
+    number = np.arange(len(pages)) - np.flatnonzero(first)[np.cumsum(first) - 1] + 1
+    return [pages, number.astype(np.int32), *[v[kept] for v in (n, xs[at], xs[last], ys[at], ys[last], distinct(ys), distinct(xs))]]
+
+
 def table_clusters(points: DataFrame, reach: int = 100, least: int = 4) -> DataFrame:
     """Tables of a page: the first free point gathers the free points less than ``reach`` away on both axes, and so on.
 
-    Only distinct points count. The fold runs page by page; a page's distinct points are bounded by its pixels,
-    and its clusters by how many anchors lie ``reach`` apart.
+    Only distinct points count. Pages go by in order, and all pages of a batch take a turn at once; what is held beyond a batch is the distinct points
+    of its last page, bounded by its pixels. A page's clusters are bounded by how many anchors lie ``reach`` apart.
     """
-    distinct = points.groupBy("page_id", "x", "y").agg(F.min(F.struct("h_ord", "v_ord")).alias("o")).select("page_id", "x", "y", F.col("o.h_ord").alias("h_ord"), F.col("o.v_ord").alias("v_ord"))
-
-    def gather(page: pd.DataFrame) -> pd.DataFrame:
-        p = page.sort_values(["h_ord", "v_ord"])
-        x, y, free, out = p["x"].to_numpy(), p["y"].to_numpy(), np.ones(len(p), dtype=bool), []
-        while free.any():
-            i = int(free.argmax())
-            near = free & (abs(x - x[i]) < reach) & (abs(y - y[i]) < reach)
-            free &= ~near
-            if near.sum() >= least:
-                a, b = x[near], y[near]
-                out.append((p["page_id"].iloc[0], len(out) + 1, int(near.sum()), a.min(), a.max(), b.min(), b.max(), len(set(b)), len(set(a))))
-        return pd.DataFrame(out, columns=["page_id", "table_no", "n_points", "x_min", "x_max", "y_min", "y_max", "n_rows", "n_cols"])
-
-    return distinct.groupBy("page_id").applyInPandas(gather, "page_id long, table_no int, n_points long, x_min long, x_max long, y_min long, y_max long, n_rows long, n_cols long")
+    names = ["page_id", "table_no", "n_points", "x_min", "x_max", "y_min", "y_max", "n_rows", "n_cols"]
+    known = points.where("page_id is not null and x is not null and y is not null")
+    ordered = known.select(*[F.col(c).cast("long").alias(c) for c in ("page_id", "x", "y")], "h_ord", "v_ord").repartition("page_id").sortWithinPartitions("page_id", "h_ord", "v_ord")
+
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in _gathered(*held, reach, least)], names=names)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, dtype=np.int64)] * 3
+        for b in batches:
+            if b.num_rows:
+                held = [np.r_[h, b.column(i).to_numpy()] for i, h in enumerate(held)]
+                places = _first_places(*held)
+                held = [h[places] for h in held]
+                whole = int(np.searchsorted(held[0], held[0][-1]))  # the last page may go on
+                if whole:
+                    yield told([h[:whole] for h in held])
+                    held = [h[whole:] for h in held]
+        if len(held[0]):
+            yield told(held)
+
+    return ordered.mapInArrow(gather, "page_id long, table_no int, n_points long, x_min long, x_max long, y_min long, y_max long, n_rows long, n_cols long")
 
 
 def column_boxes(grouped: DataFrame, least: int = 2) -> DataFrame:
