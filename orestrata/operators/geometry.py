@@ -121,15 +121,22 @@ def encloses(geometry: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.transform(geometry["rings"], crossings), F.lit(0), lambda a, n: a + n) % 2 == 1
 
 
-def within(points: DataFrame, polygons: DataFrame, cell: float, x: str = "x", y: str = "y", geometry: str = "geometry") -> DataFrame:
+def within(points: DataFrame, polygons: DataFrame, cell: float, x: str = "x", y: str = "y", geometry: str = "geometry", part: int = 2000) -> DataFrame:
     """``points`` with the columns of each polygon that holds them.
 
-    Both meet by square cells of ``cell`` width: a point lies in one, a polygon in those of its box. A cell of about a polygon's size keeps both the copies of
-    polygons and the points they are compared with few.
+    Places meet shapes by square cells of ``cell`` width: a place lies in one, a polygon in those of its box. A cell of about a polygon's size keeps both the copies of
+    polygons and the places they are compared with few. Equal places and equal shapes are compared once, and a crowded cell's places are dealt into parts of ``part`` at most or so.
     """
     of = lambda c: F.floor(c / cell)
-    spread = polygons.where(F.col(f"{geometry}.kind") == "Polygon").select("*", *[b.alias(f"_{n}") for b, n in zip(bounds(F.col(geometry)), ("x0", "y0", "x1", "y1"))])
+    shapes = polygons.where(F.col(f"{geometry}.kind") == "Polygon").select(F.col(geometry).alias("_g")).distinct()
+    spread = shapes.select("*", *[b.alias(f"_{n}") for b, n in zip(bounds(F.col("_g")), ("x0", "y0", "x1", "y1"))])
     spread = spread.withColumn("_cx", F.explode(F.sequence(of(F.col("_x0")), of(F.col("_x1"))))).withColumn("_cy", F.explode(F.sequence(of(F.col("_y0")), of(F.col("_y1")))))
-    met = points.withColumns({"_cx": of(F.col(x)), "_cy": of(F.col(y))}).join(spread, ["_cx", "_cy"])
-    in_box = F.col(x).between(F.col("_x0"), F.col("_x1")) & F.col(y).between(F.col("_y0"), F.col("_y1"))
-    return met.where(in_box & encloses(F.col(geometry), F.col(x), F.col(y))).drop("_cx", "_cy", "_x0", "_y0", "_x1", "_y1")
+    px, py = F.col("_px"), F.col("_py")
+    places = points.select(F.col(x).alias("_px"), F.col(y).alias("_py")).distinct().withColumns({"_cx": of(px), "_cy": of(py)})
+    crowds = places.groupBy("_cx", "_cy").agg(F.ceil(F.count("*") / part).alias("_parts"))
+    places = places.join(crowds, ["_cx", "_cy"]).withColumn("_part", F.pmod(F.xxhash64("_px", "_py"), F.col("_parts"))).drop("_parts")
+    spread = spread.join(crowds, ["_cx", "_cy"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    in_box = px.between(F.col("_x0"), F.col("_x1")) & py.between(F.col("_y0"), F.col("_y1"))
+    held = places.join(spread, ["_cx", "_cy", "_part"]).where(in_box & encloses(F.col("_g"), px, py)).select("_px", "_py", "_g")
+    near = points.join(held, (F.col(x) == px) & (F.col(y) == py)).drop("_px", "_py")
+    return near.join(polygons, F.col("_g") == F.col(geometry)).drop("_g")

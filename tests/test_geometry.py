@@ -40,6 +40,25 @@ def test_points_in_polygons(spark):
         assert got == [(1.0, 1.0, 1), (1.0, 1.0, 2), (4.0, 3.9, 1), (5.0, 5.0, 2), (9.99, 9.99, 1)]  # ring 2's hole lies outside it
 
 
+def test_copies_of_places_and_polygons_are_compared_once(spark, monkeypatch):
+    """What is compared is distinct; every copy is told, and a crowded cell's places are dealt into parts."""
+    rings = [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]]
+    polygons = spark.createDataFrame([(k, ("Polygon", rings)) for k in range(30)], f"k int, geometry {geometry.GEOMETRY}")
+    points = spark.createDataFrame([(i, float(i % 5 + 8), 5.0) for i in range(100)], "i int, x double, y double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def encloses(g, x, y):
+        count = F.udf(lambda v: seen.add(1) or v, "double").asNondeterministic()
+        return plain(g, x, y) & (count(x) == x)
+
+    plain = geometry.encloses
+    monkeypatch.setattr(geometry, "encloses", encloses)
+    got = geometry.within(points, polygons, 25.0, part=2)
+    assert got.columns == ["i", "x", "y", "k", "geometry"]
+    assert sorted((r.i, r.k) for r in got.collect()) == [(i, k) for i in range(100) if i % 5 < 2 for k in range(30)]
+    assert 0 < seen.value <= 50
+
+
 def test_boxes(spark):
     b = one(spark, geometry.box(*[F.lit(v) for v in (-1, -2, 3, 4)]))
     assert [(p.x, p.y) for p in b.rings[0]] == [(3, -2), (3, 4), (-1, 4), (-1, -2), (3, -2)]
