@@ -101,14 +101,17 @@ def location_features(locations: DataFrame, samples: DataFrame | None = None) ->
         # What a coordinate lacks is left out, as text is made of it; a location without any has no list.
         d = d.withColumn("_props", F.when(F.size("coordinates") > 0, _with_member(F.col("_props"), "coordinates", F.to_json("coordinates"))).otherwise(F.col("_props")))
     if samples is not None:
-        fields = [c for c in samples.columns if c not in ("location_id", "assays", "doc_id")]
-        nested = samples.groupBy("location_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_samples"))
+        nested = samples.groupBy("location_id").agg(F.array_sort(F.collect_list(F.struct(*_nested_fields(samples)))).alias("_samples"))
         d = d.join(nested, "location_id", "left")
         more = _with_member(F.col("_props"), "samples", F.to_json("_samples"))
         d = d.withColumn("_props", F.when(F.col("_samples").isNotNull(), more).otherwise(F.col("_props")))
     return d.select("doc_id", "location_id", F.concat(F.lit('{"type":"Feature","geometry":'), "_point", F.lit(',"properties":'), "_props", F.lit("}")).alias("feature"))
 
 
+def _nested_fields(samples: DataFrame) -> list[str]:
+    return [c for c in samples.columns if c not in ("location_id", "assays", "doc_id")]
+
+
 def sample_features(samples: DataFrame, locations: DataFrame) -> DataFrame:
     """``doc_id, sample_id, feature`` of samples with a location, at its place, with their assays if there are any."""
     here = locations.select("location_id", "doc_id", "longitude", "latitude", F.col("name").alias("location_name"))
@@ -131,6 +134,39 @@ def totals(locations: DataFrame, samples: DataFrame, observations: DataFrame) ->
     return whole.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("total_locations", "total_samples", "total_observations")])
 
 
+_HEAD = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::4326"}},'
+
+
+def pieces(locations: DataFrame, samples: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``doc_id, place, part, text``: each document's collection with nested samples in pieces that, one after another by ``place``, are its text.
+
+    A document or a location may have any number of samples, so none is put together: no task holds more than a piece, and nothing as wide as a piece is grouped.
+    ``part`` is ``open``, ``feature``, ``location`` (a feature up to its samples), ``nested``, ``end`` or ``close``. The text is that of :func:`collections`;
+    the samples of a location differ from each other.
+    """
+    none, kinds = F.lit(""), {"open": 0, "location": 1, "sample": 2, "close": 3}
+    place = lambda kind, a=none, b=0, c=none: F.struct(F.lit(kinds[kind]).alias("kind"), a.alias("id"), F.lit(b).alias("step"), c.alias("nested")).alias("place")
+    fields = F.struct(*_nested_fields(samples))
+    least = samples.groupBy("location_id").agg(F.min(fields).alias("_least"))
+    first = locations.groupBy("doc_id").agg(F.min("location_id").alias("_first"))
+    own = location_features(locations).join(least, "location_id", "left").join(first, "doc_id")
+    comma = lambda first: F.when(first, "").otherwise(",")
+    lid, has = F.format_string("%020d", "location_id"), F.col("_least").isNotNull()
+    text = F.concat(comma(F.col("location_id") == F.col("_first")), F.when(has, F.concat(F.substring("feature", F.lit(1), F.length("feature") - 2), F.lit(',"samples":['))).otherwise(F.col("feature")))
+    heads = own.select("doc_id", place("location", lid), F.when(has, "location").otherwise("feature").alias("part"), text.alias("text"))
+    ends = own.where(has).select("doc_id", place("location", lid, 2), F.lit("end").alias("part"), F.lit("]}}").alias("text"))
+    within = samples.select("location_id", fields.alias("_s")).join(least, "location_id").join(locations.select("location_id", "doc_id"), "location_id")
+    nested = within.select("doc_id", place("location", lid, 1, F.col("_s.sample_id").cast("string")), F.lit("nested").alias("part"), F.concat(comma(F.col("_s") == F.col("_least")), F.to_json("_s")).alias("text"))
+    features = sample_features(samples, locations).select("doc_id", place("sample", F.col("sample_id").cast("string")), F.lit("feature").alias("part"), F.concat(F.lit(","), "feature").alias("text"))
+    opened = first.select("doc_id", place("open"), F.lit("open").alias("part"), F.lit(_HEAD + '"features":[').alias("text"))
+    told = metadata.select("doc_id", F.to_json(F.struct(*[c for c in metadata.columns if c != "doc_id"])).alias("_m"))
+    closed = first.join(told, "doc_id", "left").select("doc_id", place("close"), F.lit("close").alias("part"), F.concat(F.lit("]"), F.coalesce(F.concat(F.lit(',"metadata":'), "_m"), F.lit("")), F.lit("}")).alias("text"))
+    out = opened
+    for d in (heads, nested, ends, features, closed):
+        out = out.unionByName(d)
+    return out
+
+
 def collections(features: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """One GeoJSON FeatureCollection a document. ``features`` has ``doc_id, place`` (its order) and ``feature``; ``metadata`` a row a document, whose nulls are left out."""
     d = features.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "feature"))).alias("fs"))
@@ -138,7 +174,7 @@ def collections(features: DataFrame, metadata: DataFrame | None = None) -> DataF
     if metadata is not None:
         d = d.join(metadata.select("doc_id", F.to_json(F.struct(*[c for c in metadata.columns if c != "doc_id"])).alias("_m")), "doc_id", "left")
         body = F.concat(body, F.coalesce(F.concat(F.lit(',"metadata":'), "_m"), F.lit("")))
-    head = F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::4326"}},')
+    head = F.lit(_HEAD)
     return d.select("doc_id", F.size("fs").alias("n_features"), F.concat(head, body, F.lit("}")).alias("geojson"))
 
 

@@ -123,30 +123,61 @@ def observation_nodes(observations: DataFrame, base: str = BASE) -> DataFrame:
     return d.select("doc_id", F.col("observation_id").cast("string").alias("id"), node.alias("node"))
 
 
-def documents(metadata: DataFrame, locations: DataFrame, samples: DataFrame, observations: DataFrame, base: str = BASE, vocab: str = "urn:report:vocab#") -> DataFrame:
-    """``doc_id, jsonld``: one document with its context, its metadata and its nodes (``doc_id, id, node``), each kind by id.
+KINDS = ("about", "hasPart", "mentions")
 
-    Nodes meet in one shuffle by document; ``metadata`` has one row a document.
-    """
-    kinds = (("about", locations), ("hasPart", samples), ("mentions", observations))
-    nodes = None
-    for k, d in kinds:
-        d = d.select("doc_id", F.lit(k).alias("kind"), F.struct("id", "node").alias("n"))
-        nodes = d if nodes is None else nodes.unionByName(d)
-    lists = nodes.groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("n")))).alias(k) for k, _ in kinds])
+
+def _frame(metadata: DataFrame, base: str, vocab: str) -> DataFrame:
+    """``doc_id, head, tail``: the members of each document before and after its lists of nodes, in braces."""
     m = metadata.select("doc_id", *[_text(metadata, c, metadata.schema[c].dataType.simpleString() if c in metadata.columns else "string").alias(c) for c in METADATA])
     file = F.regexp_extract(F.col("source_file").cast("string"), r"([^/]*)$", 1)
     terms = [(k, F.lit(f'{{"@id":"{i}","@type":"{t}"}}')) for k, i, t in CONTEXT]
     spaces = [("@vocab", _json(F.lit("https://schema.org/"))), ("geo", _json(F.lit("https://www.w3.org/2003/01/geo/wgs84_pos#"))), ("geological", _json(F.lit(vocab)))]
-    node = _object(
+    head = _object(
         ("@context", _object(*spaces, *terms)), ("@id", _id(base, "document", F.regexp_replace(file, r"(?<=.)\.[^.]+$", ""))), ("@type", F.lit('"geological:GeologicalDocument"')),
         ("name", _json(F.coalesce(_some(F.col("title")), F.concat(F.lit("Geological Report: "), file)))), ("description", _json(F.concat(F.lit("Geological data extracted from "), file))), ("dateCreated", _json(F.col("processing_date"))),
         ("author", _object(("@type", F.lit('"Person"')), ("name", _json(F.coalesce(_some(F.col("author")), F.lit("Unknown")))))),
         ("publisher", _object(("@type", F.lit('"Organization"')), ("name", _json(_some(F.col("company")))))),
-        *[(k, _array(F.transform(F.coalesce(k, F.array().cast("array<struct<id:string,node:string>>")), lambda n: n["node"]))) for k, _ in kinds],
-        ("additionalProperty", _properties([(c, F.col(c)) for c in ALWAYS], [(c, _some(F.col(c))) for c in KNOWN])),
     )
-    return m.join(lists, "doc_id", "left").select("doc_id", node.alias("jsonld"))
+    tail = _object(("additionalProperty", _properties([(c, F.col(c)) for c in ALWAYS], [(c, _some(F.col(c))) for c in KNOWN])))
+    return m.select("doc_id", head.alias("head"), tail.alias("tail"))
+
+
+def _opened(head: Column) -> Column:
+    return F.substring(head, F.lit(1), F.length(head) - 1)
+
+
+def documents(metadata: DataFrame, locations: DataFrame, samples: DataFrame, observations: DataFrame, base: str = BASE, vocab: str = "urn:report:vocab#") -> DataFrame:
+    """``doc_id, jsonld``: one document with its context, its metadata and its nodes (``doc_id, id, node``), each kind by id.
+
+    Nodes meet in one shuffle by document; ``metadata`` has one row a document. A document is one text here; :func:`pieces` has no such bound.
+    """
+    nodes = None
+    for k, d in zip(KINDS, (locations, samples, observations)):
+        d = d.select("doc_id", F.lit(k).alias("kind"), F.struct("id", "node").alias("n"))
+        nodes = d if nodes is None else nodes.unionByName(d)
+    lists = nodes.groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("n")))).alias(k) for k in KINDS])
+    nodes_of = lambda k: F.concat(F.lit(f',"{k}":'), _array(F.transform(F.coalesce(k, F.array().cast("array<struct<id:string,node:string>>")), lambda n: n["node"])))
+    text = F.concat(_opened(F.col("head")), *[nodes_of(k) for k in KINDS], F.lit(","), F.substring("tail", F.lit(2), F.length("tail")))
+    return _frame(metadata, base, vocab).join(lists, "doc_id", "left").select("doc_id", text.alias("jsonld"))
+
+
+def pieces(metadata: DataFrame, locations: DataFrame, samples: DataFrame, observations: DataFrame, base: str = BASE, vocab: str = "urn:report:vocab#") -> DataFrame:
+    """``doc_id, place, part, text``: the document of :func:`documents` in pieces that, one after another by ``place``, are its text.
+
+    A document may have any number of nodes, so it isn't put together: no task holds more than a piece, and only ids are grouped.
+    ``part`` is ``head``, ``tail``, the name of a list (its nodes), or ``between`` two lists. The nodes of a list differ in their ids.
+    """
+    frame, none = _frame(metadata, base, vocab), F.lit("")
+    place = lambda at, node=none: F.struct(F.lit(at).alias("at"), node.alias("id")).alias("place")
+    piece = lambda at, part, text: frame.select("doc_id", place(at), F.lit(part).alias("part"), text.alias("text"))
+    out = piece(0, "head", F.concat(_opened(F.col("head")), F.lit(f',"{KINDS[0]}":[')))
+    for n, (k, d) in enumerate(zip(KINDS, (locations, samples, observations))):
+        least = frame.select("doc_id").join(d.groupBy("doc_id").agg(F.min("id").alias("_least")), "doc_id")
+        text = F.concat(F.when(F.col("id") == F.col("_least"), "").otherwise(","), "node")
+        out = out.unionByName(d.join(least, "doc_id").select("doc_id", place(2 * n + 1, F.col("id")), F.lit(k).alias("part"), text.alias("text")))
+        if n + 1 < len(KINDS):
+            out = out.unionByName(piece(2 * n + 2, "between", F.lit(f'],"{KINDS[n + 1]}":[')))
+    return out.unionByName(piece(2 * len(KINDS), "tail", F.concat(F.lit("],"), F.substring("tail", F.lit(2), F.length("tail")))))
 
 
 def location_layer(locations: DataFrame) -> DataFrame:
